@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import mixing, packing, sstable
+from . import mixing, packing, sstable, substrings
 
 
 def tokenizer_path() -> str:
@@ -26,10 +26,15 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = substrings.remove_repeats(_table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack_documents(_table(spark, sf_dir, "documents"), tokenizer_path(), end_id=0)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "sequence_length", "step")
 
 
-QUERIES = {"op1_sstable": op1_sstable, "op4_mixing": op4_mixing, "op8_packing": op8_packing}
-ORACLES = {"op4_mixing": mixing.SQL}
+QUERIES = {"op1_sstable": op1_sstable, "op4_mixing": op4_mixing, "op7_substrings": op7_substrings, "op8_packing": op8_packing}
+ORACLES = {"op4_mixing": mixing.SQL, "op7_substrings": substrings.SQL}
