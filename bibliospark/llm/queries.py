@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import mixing, packing, sstable, substrings
+from . import jaccard, mixing, packing, sstable, substrings
 
 
 def tokenizer_path() -> str:
@@ -22,6 +22,11 @@ def op1_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sstable.read_shards(manifest).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = jaccard.near_duplicates(_table(spark, sf_dir, "documents"), n=3, num=90, den=100)
+    return found.select("doc_id", "n_shingles", "component_id")
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -36,5 +41,5 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "sequence_length", "step")
 
 
-QUERIES = {"op1_sstable": op1_sstable, "op4_mixing": op4_mixing, "op7_substrings": op7_substrings, "op8_packing": op8_packing}
-ORACLES = {"op4_mixing": mixing.SQL, "op7_substrings": substrings.SQL}
+QUERIES = {"op1_sstable": op1_sstable, "op3_jaccard": op3_jaccard, "op4_mixing": op4_mixing, "op7_substrings": op7_substrings, "op8_packing": op8_packing}
+ORACLES = {"op3_jaccard": jaccard.SQL, "op4_mixing": mixing.SQL, "op7_substrings": substrings.SQL}

@@ -22,10 +22,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from . import countmin
 from .common import WordHashes, bundles, bytes_of, packed_gaps, stored, unpacked_gaps, window_hashes
 
-ROWS, RANGE_BITS = 2, 20
-
 
 class Windows:
     """All windows of a bundle of documents, in ascending order of identifier, and their order by hash."""
@@ -56,92 +55,37 @@ class Windows:
         return out
 
 
-def _counters(h1: np.ndarray, bits: int) -> list[np.ndarray]:
-    mask = np.uint64((1 << bits) - 1)
-    return [h1 & mask, (h1 >> np.uint64(32)) & mask]
-
-
 def _sketches(rows: DataFrame, n: int, bits: int, bundle_bytes: int) -> DataFrame:
-    """(cell, salt, once, twice): a bundle's counters by row and range; counters of two or more documents are in both."""
-    low = min(bits, RANGE_BITS)
+    """The windows of each bundle, counted once or, if two of its documents hold them, twice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for table in bundles(batches, "text", bundle_bytes):
             w = Windows(table, n, hashes, False)
-            if not len(w.h1):
-                continue
-            h = w.h1[w.order]
-            distinct = h[w.begins]
-            last = w.order[np.append(w.begins[1:], len(h)) - 1]
-            several = w.ids[w.doc[w.order[w.begins]]] != w.ids[w.doc[last]]
-            out: dict[str, list] = {"cell": [], "salt": [], "once": [], "twice": []}
-            for row, (one, two) in enumerate(zip(_counters(distinct, bits), _counters(distinct[several], bits))):
-                every = np.sort(one.astype(np.uint32))
-                again = np.unique(np.concatenate([every[1:][every[1:] == every[:-1]], two.astype(np.uint32)]))
-                every = np.unique(every)
-                edges = np.arange((1 << (bits - low)) + 1, dtype=np.int64) << low
-                a, b = np.searchsorted(every, edges), np.searchsorted(again, edges)
-                for r in range(len(edges) - 1):
-                    if a[r + 1] > a[r]:
-                        out["cell"].append(row << 20 | r)
-                        out["salt"].append(int(distinct[0] % np.uint64(1 << 16)))
-                        out["once"].append(packed_gaps(every[a[r] : a[r + 1]] - np.uint32(edges[r])))
-                        out["twice"].append(packed_gaps(again[b[r] : b[r + 1]] - np.uint32(edges[r])))
-            yield pa.RecordBatch.from_pydict(out, pa.schema([("cell", pa.int32()), ("salt", pa.int32()), ("once", pa.binary()), ("twice", pa.binary())]))
-
-    return rows.mapInArrow(run, "cell int, salt int, once binary, twice binary")
-
-
-def _merged(sketches: DataFrame, low: int, salts: int) -> DataFrame:
-    """Saturating sums of sketches; each task holds one byte a counter of the cells that it is dealt."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[tuple[int, int], np.ndarray] = {}
-        for batch in batches:
-            for cell, salt, once, twice in zip(*(batch.column(c).to_pylist() for c in ("cell", "salt", "once", "twice"))):
-                if (cell, salt) not in sums:
-                    sums[cell, salt] = np.zeros(1 << low, np.uint8)
-                held = sums[cell, salt]
-                for blob in (once, twice):
-                    at = unpacked_gaps(blob)
-                    held[at] = np.minimum(held[at] + 1, 2)
-        for (cell, _), held in sums.items():
-            yield pa.RecordBatch.from_pydict({"cell": pa.array([cell], pa.int32()), "salt": pa.array([0], pa.int32()), "once": [packed_gaps(np.flatnonzero(held))], "twice": [packed_gaps(np.flatnonzero(held > 1))]})
+            if len(w.h1):
+                last = w.order[np.append(w.begins[1:], len(w.h1)) - 1]
+                distinct = w.h1[w.order[w.begins]]
+                several = w.ids[w.doc[w.order[w.begins]]] != w.ids[w.doc[last]]
+                yield countmin.counted(distinct, distinct[several], bits)
 
-    dealt = sketches.withColumn("salt", F.col("salt") % salts).repartition("cell", "salt")
-    return dealt.mapInArrow(run, "cell int, salt int, once binary, twice binary")
+    return rows.mapInArrow(run, countmin.SCHEMA)
 
 
 def repeated_windows(rows: DataFrame, n: int, most_bits: int, bundle_bytes: int) -> DataFrame:
     """(doc_id, text_key, windows): packed starts of the windows that a smaller identifier holds too; several rows a document."""
     spark = rows.sparkSession
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    bits = min(most_bits, max(16, (size // 3).bit_length()))
-    low = min(bits, RANGE_BITS)
-    merged = _sketches(rows, n, bits, bundle_bytes)
-    if size > 512 * bundle_bytes:
-        merged = _merged(merged, low, 16)
-    merged = _merged(merged, low, 1)
-    bitmaps = [np.zeros(1 << bits >> 3, np.uint8) for _ in range(ROWS)]
-    for cell, twice in merged.select("cell", "twice").toLocalIterator():  # at most ROWS * 2^(bits - low) rows
-        held = np.zeros(1 << low, np.uint8)
-        held[unpacked_gaps(bytes(twice))] = 1
-        begin = (cell & (1 << 20) - 1) << low >> 3
-        bitmaps[cell >> 20][begin : begin + (1 << low >> 3)] = np.packbits(held, bitorder="little")
-    shared = spark.sparkContext.broadcast([b.tobytes() for b in bitmaps])
+    bits = countmin.bits_for(size // 6, most_bits)
+    repeated = countmin.Repeated(spark, _sketches(rows, n, bits, bundle_bytes), bits, many=size > 512 * bundle_bytes)
     shards = max(211, size >> 23)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        maps = [np.frombuffer(b, np.uint8) for b in shared.value]
         for table in bundles(batches, "text", bundle_bytes):
             w = Windows(table, n, hashes, True)
             owner = w.ids[w.doc]
             again = owner > w.first_ids()
-            open_ = ~again
-            for bitmap, at in zip(maps, _counters(w.h1, bits)):
-                open_ &= (bitmap[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+            open_ = ~again & repeated.of(w.h1)
             out: dict[str, list] = {c: [] for c in ("shard", "h1", "h2", "doc", "pos", "ids", "keys", "windows")}
 
             def put(shard, h1=None, h2=None, doc=None, pos=None, ids=None, keys=None, windows=None):
