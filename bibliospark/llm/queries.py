@@ -4,7 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import jaccard, mixing, packing, sstable, substrings
+from . import covertree, jaccard, mixing, mtree, packing, sstable, substrings
+
+
+def op9_mtree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("long").alias("vec_id"), mtree.integers(F.col("embedding")).alias("v"))
+    return mtree.top_k(vectors, F.col("vec_id") % 50 == 0, k=5)
 
 
 def tokenizer_path() -> str:
@@ -31,6 +36,10 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_covertree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return covertree.near_duplicates(_table(spark, sf_dir, "embeddings"), cosine=0.93)
+
+
 def op7_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = substrings.remove_repeats(_table(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
@@ -41,5 +50,5 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "sequence_length", "step")
 
 
-QUERIES = {"op1_sstable": op1_sstable, "op3_jaccard": op3_jaccard, "op4_mixing": op4_mixing, "op7_substrings": op7_substrings, "op8_packing": op8_packing}
-ORACLES = {"op3_jaccard": jaccard.SQL, "op4_mixing": mixing.SQL, "op7_substrings": substrings.SQL}
+QUERIES = {"op1_sstable": op1_sstable, "op3_jaccard": op3_jaccard, "op4_mixing": op4_mixing, "op6_covertree": op6_covertree, "op7_substrings": op7_substrings, "op8_packing": op8_packing, "op9_mtree": op9_mtree}
+ORACLES = {"op3_jaccard": jaccard.SQL, "op4_mixing": mixing.SQL, "op6_covertree": covertree.SQL, "op7_substrings": substrings.SQL, "op9_mtree": mtree.SQL}
