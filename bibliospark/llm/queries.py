@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import covertree, jaccard, mixing, mtree, packing, sstable, substrings
+from . import covertree, jaccard, language, licenses, mixing, mtree, packing, sstable, substrings
 
 
 def op9_mtree(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -12,6 +12,10 @@ def op9_mtree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mtree.top_k(vectors, F.col("vec_id") % 50 == 0, k=5)
 
 
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(_table(spark, sf_dir, "documents"))
+
+
 def tokenizer_path() -> str:
     import public_tokenizers
 
@@ -36,6 +40,13 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    out = language.held_out(F.col("doc_id"))
+    net = language.fit(docs, ~out)
+    return language.identify(docs.select("doc_id", "text"), net).select("doc_id", out.alias("held_out"), "lang_pred", "score")
+
+
 def op6_covertree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return covertree.near_duplicates(_table(spark, sf_dir, "embeddings"), cosine=0.93)
 
@@ -50,5 +61,5 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "sequence_length", "step")
 
 
-QUERIES = {"op1_sstable": op1_sstable, "op3_jaccard": op3_jaccard, "op4_mixing": op4_mixing, "op6_covertree": op6_covertree, "op7_substrings": op7_substrings, "op8_packing": op8_packing, "op9_mtree": op9_mtree}
+QUERIES = {"op1_sstable": op1_sstable, "op3_jaccard": op3_jaccard, "op4_mixing": op4_mixing, "op5_language": op5_language, "op6_covertree": op6_covertree, "op7_substrings": op7_substrings, "op8_packing": op8_packing, "op9_mtree": op9_mtree, "op10_licenses": op10_licenses}
 ORACLES = {"op3_jaccard": jaccard.SQL, "op4_mixing": mixing.SQL, "op6_covertree": covertree.SQL, "op7_substrings": substrings.SQL, "op9_mtree": mtree.SQL}

@@ -6,24 +6,48 @@ there; pieces repeat, and their ids are kept in two bounded memories (piece, the
 
 from __future__ import annotations
 
+import array
 import os
 import re
+import sys
 
 import numpy as np
 import regex
 
-#: A space that the fast cut would treat wrongly: at an end of the text or beside other white space.
-_ODD = re.compile(r"\A | \Z| \s|\s ")
+#: White space other than a space or a line feed.
+_OTHER = re.compile(r"[^\S \n]")
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 #: The words that the byte-level pre-tokenizer finds (fixed by the vocabulary's format).
 _WORDS = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
 _PLAIN = re.compile(r"[\x20-\x7e\n\xa1-\xff]*\Z")
+#: Bytes that the byte-level alphabet shows as themselves; the others are 256 and on, in order (fixed by the format).
+_SHOWN = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_HIDDEN = {b: chr(256 + n) for n, b in enumerate(b for b in range(256) if b not in _SHOWN)}
+_ALPHABET = [_HIDDEN.get(b, chr(b)) for b in range(256)]
+_SPACE = _ALPHABET[32]
+
+
+class Memory(dict):
+    """Ids by text, computed when missing; the last ``bound`` of them and those before are kept."""
+
+    def __init__(self, compute, bound: int):
+        self.compute, self.bound, self.old = compute, bound, {}
+
+    def __missing__(self, text: str) -> bytes:
+        value = self.old.get(text)
+        if value is None:
+            value = self.compute(text)
+        if len(self) >= self.bound:
+            self.old = dict(self)
+            self.clear()
+        self[text] = value
+        return value
 
 
 class Encoder:
     """Encodes texts; ``width`` is the bytes an id needs. Equal to the library's own encoding of the whole text."""
 
-    PIECES, WORDS = 300_000, 500_000
+    PIECES, WORDS = 250_000, 400_000
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -33,45 +57,53 @@ class Encoder:
         kind = type(self.tokenizer.pre_tokenizer).__name__
         self.cuts = kind == "ByteLevel" and self.tokenizer.normalizer is None
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.model = self.tokenizer.model
+        if hasattr(self.model, "_resize_cache"):  # words are remembered here, once
+            self.model._resize_cache(0)
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.type = np.dtype(f"<u{self.width}")
-        self.pieces: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
-
-    def _library(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, self.type).tobytes() for e in found]
-
-    def _learn(self, missing: list[str]) -> None:
-        """Fill the memory of pieces; each stands for the piece with a space before it."""
-        plain, other = [], []
-        for p in missing:
-            (plain if _PLAIN.match(p) and not any(a in p for a in self.added) else other).append(p)
-        split = [_WORDS.findall(" " + p) for p in plain]
-        words = self.words
-        new = list({w for ws in split for w in ws if w not in words})
-        if len(words) + len(new) > self.WORDS:
-            words.clear()
-            new = list({w for ws in split for w in ws})
-        words.update(zip(new, self._library(new)))
-        for p, ws in zip(plain, split):
-            self.pieces[p] = b"".join([words[w] for w in ws])
-        self.pieces.update(zip(other, self._library([" " + p for p in other])))
+        self.code = array.array("H" if self.width == 2 else "I").typecode
+        self.pieces = Memory(self._piece, self.PIECES)
+        self.words = Memory(self._word, self.WORDS)
+
+    def _packed(self, ids: list[int]) -> bytes:
+        return array.array(self.code, ids).tobytes() if sys.byteorder == "little" else np.array(ids, self.type).tobytes()
+
+    def _whole(self, text: str) -> bytes:
+        return self._packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
+
+    def _word(self, word: str) -> bytes:
+        """A word of the pre-tokenizer, given to the library's model in the byte-level alphabet."""
+        if word.isascii() and word.isprintable():
+            shown = word.replace(" ", _SPACE)
+        else:
+            shown = "".join(map(_ALPHABET.__getitem__, word.encode()))
+        return self._packed([t.id for t in self.model.tokenize(shown)])
+
+    def _piece(self, piece: str) -> bytes:
+        """Ids of a space and the piece."""
+        if piece.isascii() or _PLAIN.match(piece):
+            if piece.isalpha():
+                return self.words[" " + piece]
+            if piece[-1:] in (".", ",") and piece[:-1].isalpha():
+                return self.words[" " + piece[:-1]] + self.words[piece[-1]]
+        return self._text(" " + piece)
+
+    def _text(self, text: str) -> bytes:
+        if not _PLAIN.match(text) or any(a in text for a in self.added):
+            return self._whole(text)
+        return b"".join(map(self.words.__getitem__, _WORDS.findall(text)))
 
     def packed(self, texts: list[str]) -> list[bytes]:
         """Little-endian ids of each text, in ``width`` bytes an id."""
         if not self.cuts:
-            return self._library(texts)
-        split = [_CUT.split(t) if _ODD.search(t) else t.split(" ") for t in texts]
-        pieces = self.pieces
-        missing = {p for parts in split for p in parts[1:] if p not in pieces}
-        if len(pieces) + len(missing) > self.PIECES:
-            pieces.clear()
-            missing = {p for parts in split for p in parts[1:]}
-        self._learn(list(missing))
-        first = self._library([parts[0] for parts in split])
-        get = pieces.__getitem__
-        return [f + b"".join(map(get, parts[1:])) for f, parts in zip(first, split)]
+            return [self._whole(t) for t in texts]
+        out, get = [], self.pieces.__getitem__
+        for t in texts:
+            odd = "  " in t or " \n" in t or "\n " in t or t[:1] == " " or t[-1:] == " " or _OTHER.search(t)
+            parts = _CUT.split(t) if odd else t.split(" ")
+            out.append(self._text(parts[0]) + b"".join(map(get, parts[1:])))
+        return out
 
 
 _encoders: dict[str, Encoder] = {}

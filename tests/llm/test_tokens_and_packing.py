@@ -33,7 +33,7 @@ def test_pieces_equal_whole_texts(text):
 
 def test_small_memory_gives_the_same():
     code = Encoder(tokenizer_path())
-    code.PIECES, code.WORDS = 3, 2
+    code.pieces.bound, code.words.bound = 3, 2
     for text in ("one two three four five six", "two, three. four's 12 13", "one one"):
         assert np.frombuffer(code.packed([text])[0], code.type).tolist() == direct(text)
 
