@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import covertree, jaccard, language, licenses, mixing, mtree, packing, sstable, substrings
+from . import covertree, jaccard, language, licenses, mixing, mtree, packing, pseudonyms, sstable, substrings
 
 
 def op9_mtree(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,6 +22,10 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+#: The registered query's key; a real one is a secret that the caller passes.
+KEY = "registered query"
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -31,6 +35,12 @@ def op1_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sstable.read_shards(manifest).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op2_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = pseudonyms.pseudonymise(docs, KEY)
+    return found.select("doc_id", "text", F.size("pii_found").cast("long").alias("n_found"), F.array_join("pii_found.kind", ",").alias("kinds"))
+
+
 def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = jaccard.near_duplicates(_table(spark, sf_dir, "documents"), n=3, num=90, den=100)
     return found.select("doc_id", "n_shingles", "component_id")
@@ -61,5 +71,5 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "sequence_length", "step")
 
 
-QUERIES = {"op1_sstable": op1_sstable, "op3_jaccard": op3_jaccard, "op4_mixing": op4_mixing, "op5_language": op5_language, "op6_covertree": op6_covertree, "op7_substrings": op7_substrings, "op8_packing": op8_packing, "op9_mtree": op9_mtree, "op10_licenses": op10_licenses}
+QUERIES = {"op1_sstable": op1_sstable, "op2_pseudonyms": op2_pseudonyms, "op3_jaccard": op3_jaccard, "op4_mixing": op4_mixing, "op5_language": op5_language, "op6_covertree": op6_covertree, "op7_substrings": op7_substrings, "op8_packing": op8_packing, "op9_mtree": op9_mtree, "op10_licenses": op10_licenses}
 ORACLES = {"op3_jaccard": jaccard.SQL, "op4_mixing": mixing.SQL, "op6_covertree": covertree.SQL, "op7_substrings": substrings.SQL, "op9_mtree": mtree.SQL}
