@@ -78,22 +78,39 @@ def thresholds(sizes: DataFrame, budgets: DataFrame, name: str = "mix") -> DataF
     return final
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0) -> DataFrame:
-    """All documents with (doc_id, source, size, source_size, target, taken): a document is taken as often as its
-    source's whole epochs and once more when its hash lies below the threshold of the rest."""
-    sizes = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text").cast("string")).alias("size"), hash60(F.col("doc_id")).alias("h")), "sizes")
+def _sizes(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text").cast("string")).alias("size"), hash60(F.col("doc_id")).alias("h"))
+
+
+def plan(sizes: DataFrame, weights: tuple[int, ...], share: float, most: float) -> DataFrame:
+    """(source, source_size, target, whole, threshold), a row a source: whole epochs, and the hashes below which a document is taken once more."""
     targets = stored(source_targets(sizes, weights, share, most), "targets")
     epochs = targets.withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
     rest = F.col("target") - F.col("whole") * F.col("source_size")
-    limits = stored(thresholds(sizes, epochs.select("source", F.lit(0).alias("budget_no"), rest.alias("budget"))), "limits")
+    limits = thresholds(sizes, epochs.select("source", F.lit(0).alias("budget_no"), rest.alias("budget")))
     e, t = epochs.alias("e"), limits.alias("t")
-    plan = e.join(t, F.col("e.source").eqNullSafe(F.col("t.source")), "left").select("e.*", "t.threshold")
-    s, p = sizes.alias("s"), plan.alias("p")
+    return stored(e.join(t, F.col("e.source").eqNullSafe(F.col("t.source")), "left").select("e.*", F.coalesce("t.threshold", F.lit(0)).cast("long").alias("threshold")), "plan")
+
+
+def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0) -> DataFrame:
+    """All documents with (doc_id, source, size, source_size, target, copies, taken): a document is taken as often as
+    its source's whole epochs and once more when its hash lies below the threshold of the rest."""
+    sizes = stored(_sizes(docs), "sizes")
+    s, p = sizes.alias("s"), plan(sizes, weights, share, most).alias("p")
     mixed = s.join(p, F.col("s.source").eqNullSafe(F.col("p.source")))
-    copies = F.col("p.whole") + F.when(F.col("s.h") < F.coalesce(F.col("p.threshold"), F.lit(0)), 1).otherwise(0)
+    copies = F.col("p.whole") + F.when(F.col("s.h") < F.col("p.threshold"), 1).otherwise(0)
     return mixed.select("s.doc_id", "s.source", "s.size", "p.source_size", "p.target", copies.alias("copies"), (F.col("s.size") * copies).cast("long").alias("taken"))
 
 
+def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0) -> DataFrame:
+    """The documents with all their columns, each row as often as the mix takes it. Texts are not shuffled where the plan is small."""
+    p = plan(stored(_sizes(docs), "sizes"), weights, share, most).alias("p")
+    d = docs.alias("d")
+    copies = F.col("p.whole") + F.when(hash60(F.col("d.doc_id")) < F.col("p.threshold"), 1).otherwise(0)
+    taken = d.join(p, F.col("d.source").cast("string").eqNullSafe(F.col("p.source"))).select("d.*", F.array_repeat(F.lit(0), copies.cast("int")).alias("_copies"))
+    return taken.withColumn("_copy", F.explode("_copies")).drop("_copies", "_copy")
+
+
 #: The same mix for DuckDB: documents of a source by hash, whole hashes below the rest of the target or nearest to it.
 SQL = r"""
 WITH sizes AS (

@@ -1,15 +1,56 @@
-"""A training-data pipeline of the operators in bibliospark.llm, each stage written and read again."""
+"""A training-data pipeline of the operators in bibliospark.llm, each stage written and read again.
+
+Stages, in order: language ID (rejected documents go), n-gram Jaccard join (one document of each group stays), PII
+pseudonyms, mixing sources to target weights (rows as often as they are taken), packing into sequences.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from bibliospark.llm import mixing, packing
+from bibliospark.llm import jaccard, language, mixing, packing, pseudonyms
 from bibliospark.llm.common import stored
-from bibliospark.llm.queries import tokenizer_path
+from bibliospark.llm.queries import KEY, tokenizer_path
+
+#: Documents are rejected when they have no letter or no language reaches this share.
+LEAST_SCORE = 0.5
+
+
+def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a known language; a null lang becomes the one found. Without labelled documents all are kept."""
+    net = language.fit(docs)
+    if net is None:
+        return docs
+    found = language.identify(docs, net).where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE))
+    return found.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
+
+
+def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates: five-word shingles, similarity 0.8 or more."""
+    return jaccard.one_of_each(docs, n=5, num=80, den=100)
+
+
+def replace_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return pseudonyms.pseudonymise(docs, KEY).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.mixed_documents(docs).select(*docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of sequences with their ids."""
+    return packing.pack_documents(docs, tokenizer_path(), end_id=0)
+
 
-STAGES: list = []
-#: Sequence packing and a trained model are beyond SQL; the tests hold each stage against a brute-force version.
+STAGES = [
+    ("language id", keep_languages),
+    ("ngram jaccard join", keep_one_of_each),
+    ("pii", replace_pii),
+    ("mixing", mix_sources),
+    ("packing", pack),
+]
+#: A trained network, keyed hashes and a tokenizer are beyond SQL; the tests hold each stage against a brute-force version.
 ORACLE_SQL = None
 
 
