@@ -9,7 +9,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: Lower-cases A-Z only.
@@ -40,19 +39,57 @@ def bytes_of(column: pa.Array) -> list[bytes]:
     return [b"" if v is None else v.encode("utf-8", "surrogatepass") if isinstance(v, str) else v for v in column.to_pylist()]
 
 
-class WordHashes(dict):
-    """word -> 64-bit hash, remembered up to a bound."""
+_BLANK = np.zeros(256, bool)
+_BLANK[[9, 10, 11, 12, 13, 32]] = True
+_BYTES = np.random.default_rng(20_011).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_LOWERED = _BYTES[[b + 32 if 65 <= b <= 90 else b for b in range(256)]]
+_BASE = 0x9E3779B97F4A7C15
+_INVERSE = pow(_BASE, -1, 1 << 64)
+_powers: dict[int, np.ndarray] = {}
 
-    BOUND = 400_000
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.BOUND:
-            self.clear()
-        self[word] = value = xxhash.xxh3_64_intdigest(word)
-        return value
+def _power(base: int, count: int) -> np.ndarray:
+    """1, base, base^2, ... modulo 2^64."""
+    held = _powers.get(base)
+    if held is None or len(held) < count:
+        ones = np.full(max(count, 1 << 21), base, np.uint64)
+        ones[0] = 1
+        with np.errstate(over="ignore"):
+            held = _powers[base] = np.multiply.accumulate(ones)
+    return held[:count]
 
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+
+def word_hashes(texts: list[bytes], lower: bool = False, most_bytes: int = 1 << 21) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of all words of all texts, number of words of each text).
+
+    Words are the runs of bytes other than the six ASCII blanks; lower: A-Z as a-z. A word's hash is the polynomial of
+    its bytes' random numbers, from running sums over the joined texts, then mixed.
+    """
+    found, counts, begin = [], [], 0
+    while begin < len(texts):
+        end, size = begin, 0
+        while end < len(texts) and (end == begin or size + len(texts[end]) < most_bytes):
+            size += len(texts[end]) + 1
+            end += 1
+        raw = np.frombuffer(b"\n" + b"\n".join(texts[begin:end]) + b"\n", np.uint8)
+        blank = _BLANK[raw]
+        edges = np.flatnonzero(blank[1:] != blank[:-1]) + 1
+        starts, ends = edges[0::2], edges[1::2]
+        with np.errstate(over="ignore"):
+            sums = np.cumsum((_LOWERED if lower else _BYTES)[raw] * _power(_BASE, len(raw)), dtype=np.uint64)
+            hashed = (sums[ends - 1] - sums[starts - 1]) * _power(_INVERSE, len(raw))[starts]
+            found.append(mixed(hashed + (ends - starts).astype(np.uint64)))
+        lengths = np.array([len(t) for t in texts[begin:end]], np.int64)
+        places = np.concatenate([[1], 1 + np.cumsum(lengths + 1)])
+        counts.append(np.diff(np.searchsorted(starts, places)))
+        begin = end
+    return (np.concatenate(found), np.concatenate(counts)) if found else (np.empty(0, np.uint64), np.empty(0, np.int64))
+
+
+def distinct(x: np.ndarray) -> np.ndarray:
+    """Sorted distinct values."""
+    x = np.sort(x)
+    return x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x
 
 
 def mixed(x: np.ndarray) -> np.ndarray:

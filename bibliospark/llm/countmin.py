@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import packed_gaps, unpacked_gaps
+from .common import distinct, packed_gaps, unpacked_gaps
 
 ROWS, RANGE_BITS = 2, 20
 SCHEMA = "cell int, salt int, once binary, twice binary"
@@ -37,8 +37,8 @@ def counted(once: np.ndarray, twice: np.ndarray, bits: int) -> pa.RecordBatch:
     edges = np.arange((1 << (bits - low)) + 1, dtype=np.int64) << low
     for row, (one, two) in enumerate(zip(places(once, bits), places(twice, bits))):
         every = np.sort(one.astype(np.uint32))
-        again = np.unique(np.concatenate([every[1:][every[1:] == every[:-1]], two.astype(np.uint32)]))
-        every = np.unique(every)
+        again = distinct(np.concatenate([every[1:][every[1:] == every[:-1]], two.astype(np.uint32)]))
+        every = distinct(every)
         a, b = np.searchsorted(every, edges), np.searchsorted(again, edges)
         for r in np.flatnonzero(np.diff(a)):
             out["cell"].append(row << 20 | int(r))

@@ -25,19 +25,27 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from . import countmin
-from .common import WordHashes, bundles, bytes_of, components, packed_gaps, scratch, stored, unpacked_gaps, window_hashes
+from .common import bundles, bytes_of, components, distinct, packed_gaps, stored, unpacked_gaps, window_hashes, word_hashes
 
 #: Bins of the shingle counts and of the suffix filter's histogram.
 COUNT_BITS, SUFFIX_BINS = 20, 32
 FOLLOWERS = 500
 
 
-def shingles(text: bytes, n: int, hashes: WordHashes) -> np.ndarray:
-    """Sorted distinct hashes of the n-word shingles of a text, A-Z lower-cased."""
-    words = hashes.of(text.lower().split())
-    if not len(words):
-        return np.empty(0, np.uint64)
-    return np.unique(window_hashes(words, min(n, len(words)), 7 * (n - min(n, len(words)))))
+def shingle_hashes(texts: list[bytes], n: int) -> list[np.ndarray]:
+    """Hashes of the n-word shingles of each text, A-Z lower-cased; of all its words where they are fewer."""
+    words, counts = word_hashes(texts, lower=True)
+    every = window_hashes(words, n)
+    out, begin = [], 0
+    for count in counts.tolist():
+        if count >= n:
+            out.append(every[begin : begin + count - n + 1])
+        elif count:
+            out.append(window_hashes(words[begin : begin + count], count, n - count))
+        else:
+            out.append(np.empty(0, np.uint64))
+        begin += count
+    return out
 
 
 def _bin_counts(rows: DataFrame, n: int, many: bool) -> np.ndarray:
@@ -45,14 +53,10 @@ def _bin_counts(rows: DataFrame, n: int, many: bool) -> np.ndarray:
     width = 1 << 16
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, sums = WordHashes(), np.zeros(1 << COUNT_BITS, np.int64)
-        for batch in batches:
-            for text in bytes_of(batch.column("text")):
-                words = hashes.of(text.lower().split())
-                h = window_hashes(words, min(n, len(words)), 7 * (n - min(n, len(words)))) if len(words) else words
-                sums += np.bincount((h >> np.uint64(64 - COUNT_BITS)).astype(np.int64), minlength=0 if len(h) < 1 else 1 << COUNT_BITS) if len(h) > 4096 else 0
-                if 0 < len(h) <= 4096:
-                    np.add.at(sums, (h >> np.uint64(64 - COUNT_BITS)).astype(np.int64), 1)
+        sums = np.zeros(1 << COUNT_BITS, np.int64)
+        for table in bundles(batches, "text", 4 << 20):
+            h = np.concatenate(shingle_hashes(bytes_of(table["text"]), n))
+            sums += np.bincount((h >> np.uint64(64 - COUNT_BITS)).astype(np.int64), minlength=1 << COUNT_BITS)
         yield from rows_of(sums, int(xxhash.xxh3_64_intdigest(sums.tobytes()) % 16))
 
     def rows_of(sums: np.ndarray, salt: int) -> Iterator[pa.RecordBatch]:
@@ -82,7 +86,7 @@ def _bin_counts(rows: DataFrame, n: int, many: bool) -> np.ndarray:
 
 def _need(a: Column, b: Column, num: int, den: int) -> Column:
     """Least overlap of two sets of these sizes whose Jaccard similarity is num / den at least."""
-    return F.expr("1") * F.ceil((a + b) * num / F.lit(num + den) - F.lit(1e-9))
+    return F.ceil((a + b) * num / F.lit(num + den) - F.lit(1e-9))
 
 
 class Join:
@@ -105,11 +109,10 @@ class Join:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             from pyspark import TaskContext
 
-            part, number, hashes, counts = TaskContext.get().partitionId(), 0, WordHashes(), shared.value
-            for batch in batches:
+            part, number, counts = TaskContext.get().partitionId(), 0, shared.value
+            for batch in bundles(batches, "text", 4 << 20):
                 out: dict[str, list] = {c: [] for c in ("n_shingles", "k1", "k2", "prefix", "bins")}
-                for text in bytes_of(batch.column("text")):
-                    s = shingles(text, n, hashes)
+                for s in map(distinct, shingle_hashes(bytes_of(batch["text"]), n)):
                     key = xxhash.xxh3_128_intdigest(s.tobytes())
                     order = np.lexsort((s, counts[(s >> np.uint64(64 - COUNT_BITS)).astype(np.int64)]))
                     keep = len(s) - -(-num * len(s) // den) + 1 if len(s) else 0
@@ -117,8 +120,9 @@ class Join:
                         out[c].append(v)
                 first = part << 33 | number
                 number += batch.num_rows
+                batch = batch.combine_chunks()
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(range(first, first + batch.num_rows), pa.int64()), batch.column("doc_id"), batch.column("text_key"), pa.array(out["n_shingles"], pa.int64()), pa.array(out["k1"], pa.int64()), pa.array(out["k2"], pa.int64()), pa.array(out["prefix"], pa.binary()), pa.array(out["bins"], pa.list_(pa.int16()))],
+                    [pa.array(range(first, first + batch.num_rows), pa.int64()), batch["doc_id"].combine_chunks(), batch["text_key"].combine_chunks(), pa.array(out["n_shingles"], pa.int64()), pa.array(out["k1"], pa.int64()), pa.array(out["k2"], pa.int64()), pa.array(out["prefix"], pa.binary()), pa.array(out["bins"], pa.list_(pa.int16()))],
                     names=["row", "doc_id", "text_key", "n_shingles", "k1", "k2", "prefix", "bins"])
 
         return stored(self.rows.mapInArrow(run, "row long, doc_id long, text_key long, n_shingles long, k1 long, k2 long, prefix binary, bins array<smallint>"), "sets")
@@ -128,9 +132,9 @@ class Join:
 
         def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for table in bundles(batches, "prefix", 16 << 20):
-                tokens, times = np.unique(np.frombuffer(b"".join(table["prefix"].to_pylist()), np.uint64), return_counts=True)
+                tokens = np.sort(np.frombuffer(b"".join(table["prefix"].to_pylist()), np.uint64))
                 if len(tokens):
-                    yield countmin.counted(tokens, tokens[times > 1], bits)
+                    yield countmin.counted(distinct(tokens), distinct(tokens[1:][tokens[1:] == tokens[:-1]]), bits)
 
         repeated = countmin.Repeated(self.spark, self.sets.select("prefix").mapInArrow(count, countmin.SCHEMA), bits, self.many)
 
@@ -175,16 +179,16 @@ class Join:
         n, num, den = self.n, self.num, self.den
 
         def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            hashes, leader, held = WordHashes(), None, None
-            for batch in batches:
+            leader = held = None
+            for batch in bundles(batches, "text", 4 << 20):
                 out: dict[str, list] = {"a": [], "b": []}
-                for a, b, t in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), bytes_of(batch.column("text"))):
-                    s = shingles(t, n, hashes)
+                for a, b, s in zip(batch["a"].to_pylist(), batch["b"].to_pylist(), map(distinct, shingle_hashes(bytes_of(batch["text"]), n))):
                     if b is None:
                         leader, held = a, s
                         continue
                     assert a == leader
-                    both = len(s) + len(held) - len(np.union1d(s, held))
+                    joined = np.sort(np.concatenate([s, held]))
+                    both = int((joined[1:] == joined[:-1]).sum())
                     if den * both >= num * (len(s) + len(held) - both):
                         out["a"].append(a)
                         out["b"].append(b)
@@ -199,7 +203,7 @@ class Join:
 
         def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                keys = np.unique(batch.column("text_key").to_numpy()).view(np.uint64)
+                keys = distinct(batch.column("text_key").to_numpy().view(np.uint64))
                 if len(keys):
                     yield countmin.counted(keys, keys, bits)
 

@@ -23,19 +23,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import countmin
-from .common import WordHashes, bundles, bytes_of, packed_gaps, stored, unpacked_gaps, window_hashes
+from .common import bundles, bytes_of, packed_gaps, stored, unpacked_gaps, window_hashes, word_hashes
 
 
 class Windows:
     """All windows of a bundle of documents, in ascending order of identifier, and their order by hash."""
 
-    def __init__(self, table: pa.Table, n: int, hashes: WordHashes, second: bool):
+    def __init__(self, table: pa.Table, n: int, second: bool):
         table = table.filter(table["doc_id"].is_valid()).sort_by([("doc_id", "ascending")])
         self.ids = table["doc_id"].to_numpy()
         self.keys = table["text_key"].to_numpy()
-        found = [hashes.of(t.split()) for t in bytes_of(table["text"])]
-        counts = np.array([len(f) for f in found], np.int64)
-        words = np.concatenate(found) if found else np.empty(0, np.uint64)
+        words, counts = word_hashes(bytes_of(table["text"]))
         doc = np.repeat(np.arange(len(counts)), counts)
         inside = np.flatnonzero(doc[: max(0, len(doc) - n + 1)] == doc[n - 1 :])
         self.doc = doc[inside]
@@ -59,9 +57,8 @@ def _sketches(rows: DataFrame, n: int, bits: int, bundle_bytes: int) -> DataFram
     """The windows of each bundle, counted once or, if two of its documents hold them, twice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for table in bundles(batches, "text", bundle_bytes):
-            w = Windows(table, n, hashes, False)
+            w = Windows(table, n, False)
             if len(w.h1):
                 last = w.order[np.append(w.begins[1:], len(w.h1)) - 1]
                 distinct = w.h1[w.order[w.begins]]
@@ -80,9 +77,8 @@ def repeated_windows(rows: DataFrame, n: int, most_bits: int, bundle_bytes: int)
     shards = max(211, size >> 23)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for table in bundles(batches, "text", bundle_bytes):
-            w = Windows(table, n, hashes, True)
+            w = Windows(table, n, True)
             owner = w.ids[w.doc]
             again = owner > w.first_ids()
             open_ = ~again & repeated.of(w.h1)
@@ -100,7 +96,8 @@ def repeated_windows(rows: DataFrame, n: int, most_bits: int, bundle_bytes: int)
             shard = np.sort(shard)
             for part in np.split(np.arange(len(pick)), np.flatnonzero(np.diff(shard)) + 1) if len(pick) else []:
                 at = pick[part]
-                docs, doc = np.unique(w.doc[at], return_inverse=True)
+                new = np.concatenate([[True], w.doc[at][1:] != w.doc[at][:-1]])  # windows are in order of document
+                docs, doc = w.doc[at][new], np.cumsum(new) - 1
                 put(int(shard[part[0]]), w.h1[at].tobytes(), w.h2[at].tobytes(), doc.astype("<u4").tobytes(), w.pos[at].astype("<u4").tobytes(), w.ids[docs].tobytes(), w.keys[docs].tobytes())
             yield pa.RecordBatch.from_pydict(out, pa.schema([("shard", pa.int64()), *((c, pa.binary()) for c in list(out)[1:])]))
 
@@ -128,7 +125,8 @@ def repeated_windows(rows: DataFrame, n: int, most_bits: int, bundle_bytes: int)
 def _known(doc: np.ndarray, pos: np.ndarray, ids: np.ndarray, keys: np.ndarray) -> tuple:
     """One row for many documents: their identifiers and keys, and (count, starts) of each as packed gaps."""
     order = np.lexsort((pos, doc))
-    docs, begins = np.unique(doc[order], return_index=True)
+    begins = np.flatnonzero(np.concatenate([[True], np.diff(doc[order]) != 0])) if len(order) else order
+    docs = doc[order][begins]
     ends = np.append(begins[1:], len(order))
     blobs = [packed_gaps(pos[order[i:j]]) for i, j in zip(begins, ends)]
     lengths = np.array([len(b) for b in blobs], "<u4").tobytes()
@@ -148,7 +146,7 @@ def _by_document(found: DataFrame) -> DataFrame:
     return found.mapInArrow(run, "doc_id long, text_key long, windows binary").groupBy("doc_id", "text_key").agg(F.collect_list("windows").alias("windows"))
 
 
-def remove_repeats(docs: DataFrame, n: int = 13, most_bits: int = 28, bundle_bytes: int = 24 << 20) -> DataFrame:
+def remove_repeats(docs: DataFrame, n: int = 13, most_bits: int = 28, bundle_bytes: int = 6 << 20) -> DataFrame:
     """(doc_id, n_words, n_removed, text): every document without the words that repeated windows cover."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     rows = rows.withColumn("text_key", F.xxhash64("text"))
