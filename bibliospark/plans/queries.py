@@ -199,13 +199,13 @@ def dup_differences(spark, sf_dir):
 @query(_DOI + """
 , members AS (SELECT d.doc_id, array_to_string(d.ords, '|') AS ords, r.* EXCLUDE (doc_id) FROM by_doi d JOIN refs r ON r.doc_id = d.doc_id AND list_contains(d.ords, r.ref_ord)),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY doc_id, ords ORDER BY (coalesce(doi, '') <> '')::INT DESC, (authors <> '')::INT + (year IS NOT NULL)::INT + (title IS NOT NULL)::INT + (journal IS NOT NULL)::INT + (volume IS NOT NULL)::INT + (pages IS NOT NULL)::INT DESC, ref_ord) AS n FROM members)
-SELECT doc_id, ords, first(ref_ord ORDER BY n) AS ref_ord, first(title ORDER BY n) AS title, first(year ORDER BY n) AS year, first(authors ORDER BY n) AS authors, first(journal ORDER BY n) FILTER (journal IS NOT NULL) AS journal, first(volume ORDER BY n) FILTER (volume IS NOT NULL) AS volume,
+SELECT doc_id, ords, first(ref_ord ORDER BY n) AS ref_ord, first(title ORDER BY n) AS title, CAST(first(year ORDER BY n) AS VARCHAR) AS year, first(authors ORDER BY n) AS authors, first(journal ORDER BY n) FILTER (journal IS NOT NULL) AS journal, first(volume ORDER BY n) FILTER (volume IS NOT NULL) AS volume,
   first(issue ORDER BY n) FILTER (issue IS NOT NULL) AS issue, first(pages ORDER BY n) FILTER (pages IS NOT NULL) AS pages, first(doi ORDER BY n) FILTER (doi IS NOT NULL) AS doi FROM ranked GROUP BY doc_id, ords""")
 def dup_merged(spark, sf_dir):
     r = corpus.refs(spark, sf_dir)
     g = duplicates.by_doi(r).select("doc_id", F.lit("doi_match").alias("match_type"), "ords")
     m = duplicates.merged(r, g).withColumn("ords", F.array_join(F.transform("ords", lambda x: x.cast("string")), "|"))
-    return m.select("doc_id", "ords", "ref_ord", "title", "year", "authors", "journal", "volume", "issue", "pages", "doi")
+    return m.select("doc_id", "ords", "ref_ord", "title", F.col("year").cast("string").alias("year"), "authors", "journal", "volume", "issue", "pages", "doi")
 
 
 _SCORE = "round((authors <> '')::INT * 0.25 + (year IS NOT NULL)::INT * 0.2 + (title IS NOT NULL)::INT * 0.25 + (journal IS NOT NULL)::INT * 0.15 + (doi IS NOT NULL OR pages IS NOT NULL)::INT * 0.15, 6)::DOUBLE"
@@ -219,7 +219,7 @@ def completeness_scores(spark, sf_dir):
 @query(f"""
 , s AS (SELECT *, {_SCORE} AS score FROM refs)
 SELECT doc_id, count(*) AS total, count(CASE WHEN score < 1 THEN 1 END) AS incomplete, avg(score) AS average_score, count(CASE WHEN score < 1 AND authors = '' THEN 1 END) AS missing_authors, count(CASE WHEN score < 1 AND year IS NULL THEN 1 END) AS missing_year, count(CASE WHEN score < 1 AND title IS NULL THEN 1 END) AS missing_title,
-  count(CASE WHEN score < 1 AND journal IS NULL THEN 1 END) AS missing_journal, count(CASE WHEN score < 1 AND doi IS NULL AND pages IS NULL THEN 1 END) AS missing_identifier FROM s GROUP BY doc_id""".replace("avg(score)", "round(avg(score), 2)"))
+  count(CASE WHEN score < 1 AND journal IS NULL THEN 1 END) AS missing_journal, count(CASE WHEN score < 1 AND doi IS NULL AND pages IS NULL THEN 1 END) AS missing_identifier FROM s GROUP BY doc_id""".replace("avg(score)", "floor(sum(CAST(round(score * 100) AS INT)) / count(*) + 0.5) / 100"))
 def completeness_report(spark, sf_dir):
     return quality.report(corpus.refs(spark, sf_dir))
 
@@ -286,7 +286,7 @@ _STYLES = {
 
 def _style_sql(name: str) -> str:
     who, sep, year, quotes, volume, pages, doi = _STYLES[name]
-    big = "list_reduce(list_transform(string_split(title, ' '), lambda w: upper(substr(w, 1, 1)) || lower(substr(w, 2))), lambda x, y: x || ' ' || y)"
+    big = "list_reduce(list_transform(regexp_extract_all(title, '[A-Za-z]+|[^A-Za-z]+'), lambda w: upper(substr(w, 1, 1)) || lower(substr(w, 2))), lambda x, y: x || y)"
     title = big if name in ("mla", "chicago") else "title"
     title = f"'\"' || {title} || '\"'" if quotes else title
     middle = f"journal, {volume}, {pages}"
@@ -336,8 +336,8 @@ def ris_entries(spark, sf_dir):
     return formats.ris_entries(corpus.refs(spark, sf_dir)).drop("warnings")
 
 
-_ROWS = "SELECT doc_id AS lib_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY ref_ord) AS INT) AS item, authors, {title} AS title, year, journal, volume, issue, pages, doi FROM refs"
-_flat = lambda df: df.select("lib_id", "item", F.array_join("authors", "|").alias("authors"), "title", "year", "journal", "volume", "issue", "pages", "doi")
+_ROWS = "SELECT doc_id AS lib_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY ref_ord) AS INT) AS item, authors, {title} AS title, CAST(year AS VARCHAR) AS year, journal, volume, issue, pages, doi FROM refs"
+_flat = lambda df: df.select("lib_id", "item", F.array_join("authors", "|").alias("authors"), "title", F.col("year").cast("string").alias("year"), "journal", "volume", "issue", "pages", "doi")
 
 
 @query(_ROWS.format(title="coalesce(title, '')"))
