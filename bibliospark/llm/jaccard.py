@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from . import countmin
-from .common import bundles, bytes_of, components, distinct, packed_gaps, stored, unpacked_gaps, window_hashes, word_hashes
+from .common import bundles, bytes_of, components, distinct, packed_gaps, small_batches, stored, unpacked_gaps, window_hashes, word_hashes
 
 #: Bins of the shingle counts and of the suffix filter's histogram.
 COUNT_BITS, SUFFIX_BINS = 20, 32
@@ -94,6 +94,7 @@ class Join:
 
     def __init__(self, docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, most_bits: int = 27):
         self.spark, self.n, self.num, self.den = docs.sparkSession, n, num, den
+        small_batches(self.spark)
         rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
         self.rows = rows.withColumn("text_key", F.xxhash64("text"))
         total = self.rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0

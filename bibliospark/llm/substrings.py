@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import countmin
-from .common import bundles, bytes_of, packed_gaps, stored, unpacked_gaps, window_hashes, word_hashes
+from .common import bundles, bytes_of, packed_gaps, small_batches, stored, unpacked_gaps, window_hashes, word_hashes
 
 
 class Windows:
@@ -146,8 +146,9 @@ def _by_document(found: DataFrame) -> DataFrame:
     return found.mapInArrow(run, "doc_id long, text_key long, windows binary").groupBy("doc_id", "text_key").agg(F.collect_list("windows").alias("windows"))
 
 
-def remove_repeats(docs: DataFrame, n: int = 13, most_bits: int = 28, bundle_bytes: int = 6 << 20) -> DataFrame:
+def remove_repeats(docs: DataFrame, n: int = 13, most_bits: int = 28, bundle_bytes: int = 3 << 20) -> DataFrame:
     """(doc_id, n_words, n_removed, text): every document without the words that repeated windows cover."""
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     rows = rows.withColumn("text_key", F.xxhash64("text"))
 
