@@ -184,7 +184,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     for _ in range(rounds):
         both = now.select(F.col("v").alias("u"), F.col("m").alias("w")).unionAll(now.select(F.col("m").alias("u"), F.col("v").alias("w")))
         least = both.groupBy("u").agg(F.least(F.min("w"), F.col("u")).alias("least"))
-        large = both.where("w > u").join(least, "u").select(F.col("w").alias("v"), F.col("least").alias("m")).where("v <> m").distinct()
+        large = both.where("w > u").join(least, "u").select(F.col("w").alias("v"), F.col("least").alias("m")).where("v <> m")
         large = stored(large, "edges")
         small_least = large.groupBy(F.col("v").alias("u")).agg(F.min("m").alias("least"))
         small = large.join(small_least, F.col("v") == F.col("u")).select(F.explode(F.array(F.struct(F.col("m").alias("v"), F.col("least").alias("m")), F.struct(F.col("v"), F.col("least").alias("m")))).alias("e")).select("e.*").where("v <> m").distinct()

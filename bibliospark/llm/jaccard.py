@@ -4,7 +4,7 @@
    right; this one keeps common shingles out of the prefixes.
 2. A document's prefix holds a shingle of every document that it may link to. Documents with the same set form one
    class from here on. Prefix shingles that no other prefix holds are dropped by a count-min bitmap.
-3. Leader rounds: in every bucket of classes that share a prefix shingle, each class is compared with one leader.
+3. Leaders: in every bucket of classes that share a prefix shingle, each class is compared with one of them.
    That is linear in the bucket, and joins groups of near copies without making their pairs.
 4. What is left, classes of different components that share a prefix shingle, is compared pair by pair.
 A pair that passes the length, positional and suffix filters is verified once, on whole texts; components follow
@@ -218,45 +218,39 @@ class Join:
         w = wanted.alias("w")
         return r.join(w, F.col("r.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("r.text_key") == F.col("w.text_key"))).select("w.row", "r.text")
 
-    def links(self) -> tuple[DataFrame, DataFrame]:
-        """(links, tested pairs) of classes: all of the leader rounds, then all that the components do not join."""
-        links = tested = None
-        index = self.index
-        for turn in range(2):
-            pick = F.min_by("c", F.xxhash64("c", F.lit(turn))) if turn else F.min("c")
-            leaders = index.groupBy("token").agg(pick.alias("leader"), F.count("*").alias("n")).where("n > 1")
-            leaders = stored(leaders.select("token", "leader"), "leaders")
-            i, led = index.alias("i"), index.select("token", F.col("c").alias("leader"), "size", "pos").join(leaders, ["token", "leader"], "left_semi").alias("l")
-            found = i.join(led, (F.col("i.token") == F.col("l.token")) & (F.col("i.c") != F.col("l.leader")) & self._may_link("i", "l"))
-            pairs = found.select(F.col("l.leader").alias("a"), F.col("i.c").alias("b")).distinct()
-            index, links, tested = self._step(pairs, links, tested)
+    def _candidates(self, found: DataFrame, tested: DataFrame | None = None) -> DataFrame:
+        pairs = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        return stored(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "candidates")
+
+    def _classed(self) -> DataFrame:
+        """(k1, k2, component) of every class: links to leaders first, then links between what those leave apart."""
+        leaders = self.index.groupBy("token").agg(F.min("c").alias("leader"), F.count("*").alias("n")).where("n > 1")
+        leaders = stored(leaders.select("token", "leader"), "leaders")
+        i, led = self.index.alias("i"), self.index.select("token", F.col("c").alias("leader"), "size", "pos").join(leaders, ["token", "leader"], "left_semi").alias("l")
+        found = i.join(led, (F.col("i.token") == F.col("l.token")) & (F.col("i.c") != F.col("l.leader")) & self._may_link("i", "l"))
+        tested = self._candidates(found.select(F.col("l.leader").alias("a"), F.col("i.c").alias("b")))
+        part = components(self._verified(tested)).withColumnRenamed("node", "c")
+        classes = self.classes.join(part, "c", "left").withColumn("component", F.coalesce("component", "c"))
+
+        index = stored(self.index.join(part, "c", "left").withColumn("component", F.coalesce("component", "c")), "indexed")
+        apart = index.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("token")
+        index = stored(index.join(apart, "token", "left_semi"), "apart")
         x, y = index.alias("x"), index.alias("y")
         found = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.c") < F.col("y.c")) & (F.col("x.component") != F.col("y.component")) & self._may_link("x", "y"))
-        pairs = found.select(F.col("x.c").alias("a"), F.col("y.c").alias("b")).distinct()
-        _, links, tested = self._step(pairs, links, tested, last=True)
-        return links, tested
-
-    def _step(self, pairs: DataFrame, links: DataFrame | None, tested: DataFrame | None, last: bool = False) -> tuple:
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = stored(pairs, "candidates")
-        tested = pairs if tested is None else tested.unionAll(pairs)
-        new = self._verified(pairs)
-        links = new if links is None else links.unionAll(new)
-        if last:
-            return None, links, tested
-        part = components(links)
-        index = self.index.join(part.withColumnRenamed("node", "c"), "c", "left").withColumn("component", F.coalesce("component", "c"))
-        index = stored(index, "indexed")
-        open_ = index.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("token")
-        return stored(index.join(open_, "token", "left_semi"), "open"), links, tested
+        rest = self._candidates(found.select(F.col("x.c").alias("a"), F.col("y.c").alias("b")), tested)
+        if rest.isEmpty():
+            return classes
+        links = self._verified(rest)
+        if links.isEmpty():
+            return classes
+        of = lambda end: part.select(F.col("c").alias(end), F.col("component").alias(f"of_{end}"))
+        links = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b"))
+        top = components(links).select(F.col("node").alias("component"), F.col("component").alias("top"))
+        return classes.join(top, "component", "left").select("k1", "k2", F.coalesce("top", "component").alias("component"))
 
     def components(self) -> DataFrame:
-        """(doc_id, text_key, n_shingles, component_id) of every row."""
-        links, _ = self.links()
-        part = components(links)
-        classes = self.classes.join(part.withColumnRenamed("node", "c"), "c", "left").select("k1", "k2", F.coalesce("component", "c").alias("component"))
+        """(doc_id, text_key, n_shingles, component_id, kept, row) of every row."""
+        classes = self._classed().select("k1", "k2", "component")
         placed = stored(self.sets.select("row", "doc_id", "text_key", "n_shingles", "k1", "k2").join(classes, ["k1", "k2"], "left").select("row", "doc_id", "text_key", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component")).alias("component")), "placed")
         least = placed.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("component_id"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first"))
         out = placed.join(least, "component", "left")

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import countmin
-from .common import bundles, bytes_of, packed_gaps, small_batches, stored, unpacked_gaps, window_hashes, word_hashes
+from .common import bundles, bytes_of, packed_gaps, small_batches, unpacked_gaps, window_hashes, word_hashes
 
 
 class Windows:
@@ -88,8 +88,8 @@ def repeated_windows(rows: DataFrame, n: int, most_bits: int, bundle_bytes: int)
                 for c, v in zip(out, (shard, h1, h2, doc, pos, ids, keys, windows)):
                     out[c].append(v)
 
-            if again.any():  # known here: no need to ask
-                put(*_known(w.doc[again], w.pos[again], w.ids, w.keys))
+            if again.any():  # known here: goes with the others, past the grouping
+                put(int(w.h1[0] % np.uint64(shards)), *_known(w.doc[again], w.pos[again], w.ids, w.keys)[1:])
             pick = np.flatnonzero(open_)
             shard = ((w.h1[pick] >> np.uint64(16)) % np.uint64(shards)).astype(np.int64)
             pick = pick[np.argsort(shard, kind="stable")]
@@ -102,10 +102,13 @@ def repeated_windows(rows: DataFrame, n: int, most_bits: int, bundle_bytes: int)
             yield pa.RecordBatch.from_pydict(out, pa.schema([("shard", pa.int64()), *((c, pa.binary()) for c in list(out)[1:])]))
 
     schema = "shard long, h1 binary, h2 binary, doc binary, pos binary, ids binary, keys binary, windows binary"
-    sent = stored(rows.mapInArrow(send, schema), "windows")
 
     def group(key: tuple, table: pa.Table) -> pa.Table:
         """The windows of one hash range, exactly grouped; about 2^23 bytes of text a range."""
+        known = table.filter(table["windows"].is_valid()).select(["ids", "keys", "windows"])
+        table = table.filter(table["h1"].is_valid())
+        if not len(table):
+            return known
         parts = {c: [np.frombuffer(b, t) for b in table[c].to_pylist()] for c, t in (("h1", "<u8"), ("h2", "<u4"), ("doc", "<u4"), ("pos", "<u4"), ("ids", "<i8"), ("keys", "<i8"))}
         shift = np.concatenate([[0], np.cumsum([len(i) for i in parts["ids"]])[:-1]]).astype(np.int64)
         doc = np.concatenate([d.astype(np.int64) + s for d, s in zip(parts["doc"], shift)])
@@ -116,10 +119,9 @@ def repeated_windows(rows: DataFrame, n: int, most_bits: int, bundle_bytes: int)
         least = np.repeat(np.minimum.reduceat(owner, begins), np.diff(np.append(begins, len(a))))
         again = order[owner > least]
         _, _, _, _, _, kept_ids, kept_keys, windows = _known(doc[again], pos[again].astype(np.int64), ids, keys)
-        return pa.table({"ids": [kept_ids], "keys": [kept_keys], "windows": [windows]})
+        return pa.concat_tables([known, pa.table({"ids": [kept_ids], "keys": [kept_keys], "windows": [windows]}, known.schema)])
 
-    asked = sent.where("shard is not null").groupBy("shard").applyInArrow(group, "ids binary, keys binary, windows binary")
-    return sent.where("shard is null").select("ids", "keys", "windows").unionAll(asked)
+    return rows.mapInArrow(send, schema).groupBy("shard").applyInArrow(group, "ids binary, keys binary, windows binary")
 
 
 def _known(doc: np.ndarray, pos: np.ndarray, ids: np.ndarray, keys: np.ndarray) -> tuple:
