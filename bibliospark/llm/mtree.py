@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .common import stored
 
-PAGE = 64
+PAGE = 256
 
 
 class MTree:
@@ -36,24 +36,27 @@ class MTree:
         self.computed = 0
         self.root = self._build(np.arange(len(x)), None) if len(x) else None
 
-    def _far(self, i: int, members: np.ndarray) -> np.ndarray:
-        return np.sqrt(((self.x[members] - self.x[i]) ** 2).sum(1) + (self.lift[members] - self.lift[i]) ** 2)
+    def _far(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Distances of the rows i and j; lifted, all rows have the same length."""
+        inner = self.x[i] @ self.x[j].T + np.outer(self.lift[i], self.lift[j])
+        return np.sqrt(np.maximum(2.0 * self.most - 2.0 * inner, 0.0))
 
     def _build(self, members: np.ndarray, parent: int | None) -> tuple:
-        """A page: (is leaf, objects, radii, distances to the parent's object, child pages)."""
-        to_parent = self._far(parent, members) if parent is not None else None
+        """A page: (is leaf, objects, their vectors, radii, distances to the parent's object, child pages)."""
+        apart = lambda own: self._far(np.array([parent]), own)[0] if parent is not None else None
         if len(members) <= self.page:
-            return True, members, np.zeros(len(members)), to_parent, None
-        pivots = members[np.linspace(0, len(members) - 1, self.page).astype(int)]
-        far = np.stack([self._far(p, members) for p in pivots])
+            return True, members, self.x[members], np.zeros(len(members)), apart(members), None
+        wanted = min(self.page, max(2, -(-2 * len(members) // self.page)))  # children about half full
+        pivots = members[np.linspace(0, len(members) - 1, wanted).astype(int)]
+        far = self._far(pivots, members)
         near = far.argmin(0)
         groups = [np.flatnonzero(near == g) for g in range(len(pivots))]
         if max(len(g) for g in groups) == len(members):  # pivots alike: deal evenly
-            groups = np.array_split(np.arange(len(members)), self.page)
-        held = [(p, g) for p, g in zip(range(len(pivots)), groups) if len(g)]
+            groups = np.array_split(np.arange(len(members)), wanted)
+        held = [(p, g) for p, g in enumerate(groups) if len(g)]
         objects = pivots[[p for p, _ in held]]
         radii = np.array([far[p, g].max() for p, g in held])
-        return False, objects, radii, self._far(parent, objects) if parent is not None else None, [self._build(members[g], pivots[p]) for p, g in held]
+        return False, objects, self.x[objects], radii, apart(objects), [self._build(members[g], pivots[p]) for p, g in held]
 
     def search(self, q: np.ndarray, k: int, ids: list[list[int]], own: int) -> list[tuple[int, int]]:
         """The k best (score, identifier); ids: identifiers of each row of x; own: the identifier left out."""
@@ -64,7 +67,7 @@ class MTree:
         heap: list[tuple[float, int, tuple, float | None]] = [(0.0, 0, self.root, None)] if self.root else []
         pushed = 0
         while heap:
-            bound, _, (leaf, objects, radii, to_parent, children), parent_far = heapq.heappop(heap)
+            bound, _, (leaf, objects, vectors, radii, to_parent, children), parent_far = heapq.heappop(heap)
             limit = np.sqrt(max(0.0, constant - 2.0 * best[0][0])) + slack if len(best) == k else np.inf
             if bound > limit:
                 break
@@ -72,10 +75,10 @@ class MTree:
             if parent_far is not None:
                 open_ = np.flatnonzero(np.abs(parent_far - to_parent) - radii <= limit)
             self.computed += len(open_)
-            score = self.x[objects[open_]] @ q
-            far = np.sqrt(np.maximum(constant - 2.0 * score, 0.0))
+            score = (vectors if len(open_) == len(objects) else vectors[open_]) @ q
             if leaf:
-                for i in np.argsort(-score, kind="stable"):
+                some = np.flatnonzero(score >= best[0][0]) if len(best) == k else np.arange(len(score))
+                for i in some[np.argsort(-score[some], kind="stable")]:
                     s = int(score[i])
                     if len(best) == k and s < best[0][0]:
                         break
@@ -85,6 +88,7 @@ class MTree:
                             if len(best) > k:
                                 heapq.heappop(best)
                 continue
+            far = np.sqrt(np.maximum(constant - 2.0 * score, 0.0))
             for i in np.flatnonzero(far - radii[open_] <= limit):
                 pushed += 1
                 at = open_[i]
