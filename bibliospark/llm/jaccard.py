@@ -22,7 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from . import countmin
 from .common import bundles, bytes_of, components, distinct, packed_gaps, small_batches, stored, unpacked_gaps, window_hashes, word_hashes
@@ -200,15 +200,7 @@ class Join:
 
     def _texts(self, wanted: DataFrame) -> DataFrame:
         """(row, text) of the wanted rows. A bitmap of their text keys keeps other texts out of the shuffle."""
-        bits = countmin.bits_for(4 * wanted.count(), 26)
-
-        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                keys = distinct(batch.column("text_key").to_numpy().view(np.uint64))
-                if len(keys):
-                    yield countmin.counted(keys, keys, bits)
-
-        asked = countmin.Repeated(self.spark, wanted.select("text_key").mapInArrow(count, countmin.SCHEMA), bits, False)
+        asked = _bitmap(wanted)
 
         def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -268,14 +260,36 @@ def one_of_each(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> D
     found = Join(docs, n, num, den).components()
     gone = found.where("not kept").groupBy("doc_id", "text_key").agg(F.count("*").alias("gone"))
     kept = found.where("kept").select("doc_id", "text_key").distinct().withColumn("stays", F.lit(True))
-    some = gone.join(kept.alias("k"), gone.doc_id.eqNullSafe(F.col("k.doc_id")) & (gone.text_key == F.col("k.text_key")), "left").select(gone.doc_id, gone.text_key, "stays")
-    d = docs.withColumn("_key", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))).alias("d")
-    g = some.alias("g")
+    some = gone.join(kept.alias("k"), gone.doc_id.eqNullSafe(F.col("k.doc_id")) & (gone.text_key == F.col("k.text_key")), "left").select(gone.doc_id, gone.text_key, "gone", "stays")
+    some = stored(some, "gone")
+    bitmap = _bitmap(some)
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(bitmap.of(batch.column("_key").to_numpy().view(np.uint64)))], names=[*batch.schema.names, "_maybe"])
+
+    keyed = docs.withColumn("_key", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    marked = keyed.mapInArrow(mark, T.StructType([*keyed.schema.fields, T.StructField("_maybe", T.BooleanType())]))
+    # only rows whose text may be a copy's are joined; the others' texts are not shuffled
+    d, g = marked.where("_maybe").alias("d"), some.alias("g")
     on = F.col("d.doc_id").cast("long").eqNullSafe(F.col("g.doc_id")) & (F.col("d._key") == F.col("g.text_key"))
-    whole = d.join(g.where("stays is null"), on, "left_anti")
-    twice = g.where("stays")
-    once = whole.join(twice, on, "left_semi").dropDuplicates(["doc_id", "_key"])
-    return whole.join(twice, on, "left_anti").unionByName(once).select(*docs.columns)
+    joined = d.join(g, on, "left").select("d.*", F.col("g.gone").isNotNull().alias("_gone"), F.coalesce(F.col("g.stays"), F.lit(False)).alias("_stays"))
+    once = joined.where("_gone and _stays").dropDuplicates(["doc_id", "_key"])
+    out = marked.where("not _maybe").select(*docs.columns).unionByName(joined.where("not _gone").select(*docs.columns))
+    return out.unionByName(once.select(*docs.columns))
+
+
+def _bitmap(wanted: DataFrame) -> countmin.Repeated:
+    """A bitmap in which every text_key of the table is found; of a size set by their number, 2 * 2^26 bits at most."""
+    bits = countmin.bits_for(4 * wanted.count(), 26)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = distinct(batch.column("text_key").to_numpy().view(np.uint64))
+            if len(keys):
+                yield countmin.counted(keys, keys, bits)
+
+    return countmin.Repeated(wanted.sparkSession, wanted.select("text_key").mapInArrow(count, countmin.SCHEMA), bits, False)
 
 
 SQL = r"""
