@@ -497,3 +497,14 @@ def document_rewritten(spark, sf_dir):
 
 _canonical = ", ".join(f"('{line.split(' = ', 1)[1]}')" for line in journals.JOURNALS.strip().splitlines())
 ORACLES["known_journals"] = f"SELECT DISTINCT canonical FROM (VALUES {_canonical}) t(canonical)"
+
+_quoted = lambda v: str(v).lower() if isinstance(v, bool) else f"'{v}'"
+ORACLES["styles"] = "SELECT * FROM (VALUES " + ", ".join("(" + ", ".join(map(_quoted, row)) + ")" for row in render.STYLES) + ") t(style, author, last_sep, year_place, year, title, quotes, grouped, volume, pages, doi)"
+ORACLES["typo_suggestions"] = oracle(_CITE_NAMES + """
+, missing AS (SELECT doc_id, min(cit_ord) AS cit_ord, text, any_value(ca[1]) AS ca, any_value(cy) AS cy FROM named c WHERE NOT EXISTS (SELECT 1 FROM matches m WHERE m.doc_id = c.doc_id AND m.text = c.text) GROUP BY doc_id, text),
+unused AS (SELECT *, lower(last1) AS ra FROM refs r WHERE authors <> '' AND NOT EXISTS (SELECT 1 FROM matches m WHERE m.doc_id = r.doc_id AND m.ref_id = r.ref_id)),
+near AS (SELECT u.doc_id, u.ref_ord, m.cit_ord, 'Possible typo match: ' || m.text || ' (possible typo: ''' || u.ra || ''' not ''' || m.ca || '''' || CASE WHEN abs(m.cy - u.year) > 0 THEN '; year differs: ' || u.year || ' vs ' || m.cy ELSE '' END || ')' AS s
+  FROM unused u JOIN missing m ON u.doc_id = m.doc_id WHERE u.ra <> m.ca AND coalesce(abs(m.cy - u.year) <= 2, true) AND CASE WHEN contains(u.ra, m.ca) OR contains(m.ca, u.ra) THEN abs(length(u.ra) - length(m.ca)) <= 2 ELSE levenshtein(m.ca, u.ra) <= CASE WHEN length(m.ca) <= 6 THEN 1 ELSE 2 END END),
+best AS (SELECT doc_id, ref_ord, arg_min(s, cit_ord) AS s FROM near GROUP BY ALL),
+every AS (SELECT doc_id, ref_ord FROM refs r WHERE NOT EXISTS (SELECT 1 FROM matches m WHERE m.doc_id = r.doc_id AND m.ref_id = r.ref_id))
+SELECT e.doc_id, e.ref_ord, coalesce(b.s, 'Consider removing this reference or adding a citation') AS suggestion FROM every e LEFT JOIN best b ON e.doc_id = b.doc_id AND e.ref_ord = b.ref_ord""")
