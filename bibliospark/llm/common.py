@@ -166,6 +166,7 @@ def bundles(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int) ->
                 held.append(batch.slice(begin, end - begin))
                 yield pa.Table.from_batches(held)
                 held, size, begin = [], 0, end
+                pa.default_memory_pool().release_unused()
         if begin < len(lengths):
             held.append(batch.slice(begin))
     if held:
