@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -53,20 +54,24 @@ _LOWERED = _BYTES[[b + 32 if 65 <= b <= 90 else b for b in range(256)]]
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _powers: dict[int, np.ndarray] = {}
+try:
+    _trim = ctypes.CDLL(None).malloc_trim
+except (OSError, AttributeError):  # not glibc
+    _trim = None
 
 
 def _power(base: int, count: int) -> np.ndarray:
     """1, base, base^2, ... modulo 2^64."""
     held = _powers.get(base)
     if held is None or len(held) < count:
-        ones = np.full(max(count, 1 << 21), base, np.uint64)
+        ones = np.full(max(count, 1 << 19), base, np.uint64)
         ones[0] = 1
         with np.errstate(over="ignore"):
             held = _powers[base] = np.multiply.accumulate(ones)
     return held[:count]
 
 
-def word_hashes(texts: list[bytes], lower: bool = False, most_bytes: int = 1 << 21) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(texts: list[bytes], lower: bool = False, most_bytes: int = 1 << 19) -> tuple[np.ndarray, np.ndarray]:
     """(hashes of all words of all texts, number of words of each text).
 
     Words are the runs of bytes other than the six ASCII blanks; lower: A-Z as a-z. A word's hash is the polynomial of
@@ -150,6 +155,13 @@ def unpacked_gaps(blob: bytes) -> np.ndarray:
     return total if width == 8 else total[raw != (255 if width == 1 else 65535)]
 
 
+def give_back() -> None:
+    """Return freed memory to the system: workers outlive their tasks, and two share an executor."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
 def bundles(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int) -> Iterator[pa.Table]:
     """Arrow batches regrouped so that each table holds at most about most_bytes of the column.
 
@@ -166,7 +178,7 @@ def bundles(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int) ->
                 held.append(batch.slice(begin, end - begin))
                 yield pa.Table.from_batches(held)
                 held, size, begin = [], 0, end
-                pa.default_memory_pool().release_unused()
+                give_back()
         if begin < len(lengths):
             held.append(batch.slice(begin))
     if held:

@@ -20,7 +20,7 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import bytes_of
+from .common import bytes_of, give_back, small_batches
 
 WIDTHS, FILTERS, WINDOW = (2, 3, 4), 24, 256
 
@@ -109,6 +109,7 @@ def windows_of(text: bytes, size: int = WINDOW) -> np.ndarray:
 def fit(docs: DataFrame, usable: Column | None = None, per_language: int = 400, windows: int = 6, most_languages: int = 64) -> ByteConvNet | None:
     """Train on documents with a language; ``usable`` says which may be learnt from. The documents of a language with
     the smallest identifier hashes are taken; the languages with most documents where there are more than most_languages."""
+    small_batches(docs.sparkSession)
     some = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (usable if usable is not None else F.lit(True)))
     share = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1 << 40)) / float(1 << 40)
     counts = some.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "lang").limit(most_languages)
@@ -140,6 +141,7 @@ def fit(docs: DataFrame, usable: Column | None = None, per_language: int = 400,
 
 def identify(docs: DataFrame, net: ByteConvNet | None, batch_windows: int = 256) -> DataFrame:
     """The documents' columns with lang_pred and score of every whole text."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(net)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,6 +166,7 @@ def identify(docs: DataFrame, net: ByteConvNet | None, batch_windows: int = 256)
                 for i, b in zip(ask, best):
                     labels[i] = net.languages[b]
                 scores[ask] = p[np.arange(len(best)), best]
+            give_back()
             rest = batch.select([n for n in batch.schema.names if n not in ("_text", "_lettered")])
             yield pa.RecordBatch.from_arrays([*rest.columns, pa.array(labels), pa.array(scores)], names=[*rest.schema.names, "_lang_pred", "_score"])
 

@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import bytes_of
+from .common import bytes_of, small_batches
 
 #: Phrases whose words in a row give a label (fixed values).
 BASE = {
@@ -141,6 +141,7 @@ def scan_licenses(docs: DataFrame, base: dict[str, str] | None = None, templates
 
     score: 1 where a template accepts, else 0.5 where a base phrase stands, else 0.
     """
+    small_batches(docs.sparkSession)
     base, templates = BASE if base is None else base, TEMPLATES if templates is None else templates
     schema = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, n_covered long, score double"
 

@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import bundles
+from .common import bundles, small_batches
 from .tokens import encoder
 
 TIERS = (256, 512, 1024)
@@ -105,6 +105,8 @@ class Packer:
 def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, tiers: tuple[int, ...] = TIERS, step_sequences: int = 64, bundle_bytes: int = 8 << 20) -> DataFrame:
     """Pieces of all documents with their ids (little-endian unsigned 32-bit); columns as in ``SCHEMA``."""
 
+    small_batches(docs.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 

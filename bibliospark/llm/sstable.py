@@ -23,7 +23,7 @@ import zstandard
 from pyarrow import fs
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import bundles, scratch, stored
+from .common import bundles, scratch, small_batches, stored
 from .tokens import encoder
 
 MAGIC = b"TKSST001"
@@ -178,6 +178,7 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int, block_bytes: int
     Range-partitioned on doc_id, so shard order is identifier order. Each task writes under a name of its own and
     reports it in its row: what a lost or repeated task left behind is never read.
     """
+    small_batches(docs.sparkSession)
     folder = scratch(docs.sparkSession, "tokens")
     shards = shards or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
