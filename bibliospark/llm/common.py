@@ -10,6 +10,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
+import zstandard
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: Lower-cases A-Z only.
@@ -142,7 +143,10 @@ def packed_gaps(values: np.ndarray) -> bytes:
                 out[at] = gaps % top
             else:
                 out = gaps.astype(f"<u{width}")
-            return bytes([width]) + out.tobytes()
+            if width == 1:
+                return b"\x01" + out.tobytes()
+            planes = out.view(np.uint8).reshape(-1, 2)  # the high bytes are few values: they compress well
+            return b"\x02" + len(out).to_bytes(8, "little") + planes[:, 0].tobytes() + zstandard.ZstdCompressor(level=1).compress(planes[:, 1].tobytes())
     return b"\x08" + gaps.astype("<u8").tobytes()
 
 
@@ -150,9 +154,14 @@ def unpacked_gaps(blob: bytes) -> np.ndarray:
     if not blob:
         return np.empty(0, np.int64)
     width = blob[0]
+    if width == 2:
+        count = int.from_bytes(blob[1:9], "little")
+        high = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob[9 + count :]), np.uint8)
+        raw = np.frombuffer(blob, np.uint8, count, 9).astype(np.int64) | high.astype(np.int64) << 8
+        return np.cumsum(raw)[raw != 65535]
     raw = np.frombuffer(blob, f"<u{width}", offset=1).astype(np.int64)
     total = np.cumsum(raw)
-    return total if width == 8 else total[raw != (255 if width == 1 else 65535)]
+    return total if width == 8 else total[raw != 255]
 
 
 def give_back() -> None:

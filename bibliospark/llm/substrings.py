@@ -37,7 +37,9 @@ class Windows:
         doc = np.repeat(np.arange(len(counts)), counts)
         inside = np.flatnonzero(doc[: max(0, len(doc) - n + 1)] == doc[n - 1 :])
         self.doc = doc[inside]
-        self.pos = inside - np.concatenate([[0], np.cumsum(counts)[:-1]]).astype(np.int64)[self.doc] if len(counts) else inside
+        self.at = inside  # where each window begins in all words of the bundle
+        self.starts = (np.cumsum(counts) - counts).astype(np.int64)
+        self.pos = inside - self.starts[self.doc]
         self.h1 = window_hashes(words, n)[inside]
         self.h2 = window_hashes(words, n, 1)[inside].astype(np.uint32) if second else None
         self.order = np.argsort(self.h1, kind="stable")
@@ -97,8 +99,8 @@ def repeated_windows(rows: DataFrame, n: int, most_bits: int, bundle_bytes: int)
             for part in np.split(np.arange(len(pick)), np.flatnonzero(np.diff(shard)) + 1) if len(pick) else []:
                 at = pick[part]
                 new = np.concatenate([[True], w.doc[at][1:] != w.doc[at][:-1]])  # windows are in order of document
-                docs, doc = w.doc[at][new], np.cumsum(new) - 1
-                put(int(shard[part[0]]), w.h1[at].tobytes(), w.h2[at].tobytes(), doc.astype("<u4").tobytes(), w.pos[at].astype("<u4").tobytes(), w.ids[docs].tobytes(), w.keys[docs].tobytes())
+                docs = w.doc[at][new]
+                put(int(shard[part[0]]), w.h1[at].tobytes(), w.h2[at].tobytes(), packed_gaps(w.starts[docs]), packed_gaps(w.at[at]), w.ids[docs].tobytes(), w.keys[docs].tobytes())
             yield pa.RecordBatch.from_pydict(out, pa.schema([("shard", pa.int64()), *((c, pa.binary()) for c in list(out)[1:])]))
 
     schema = "shard long, h1 binary, h2 binary, doc binary, pos binary, ids binary, keys binary, windows binary"
@@ -109,7 +111,10 @@ def repeated_windows(rows: DataFrame, n: int, most_bits: int, bundle_bytes: int)
         table = table.filter(table["h1"].is_valid())
         if not len(table):
             return known
-        parts = {c: [np.frombuffer(b, t) for b in table[c].to_pylist()] for c, t in (("h1", "<u8"), ("h2", "<u4"), ("doc", "<u4"), ("pos", "<u4"), ("ids", "<i8"), ("keys", "<i8"))}
+        parts = {c: [np.frombuffer(b, t) for b in table[c].to_pylist()] for c, t in (("h1", "<u8"), ("h2", "<u4"), ("ids", "<i8"), ("keys", "<i8"))}
+        starts, places = ([unpacked_gaps(b) for b in table[c].to_pylist()] for c in ("doc", "pos"))
+        parts["doc"] = [np.searchsorted(s, p, "right") - 1 for s, p in zip(starts, places)]
+        parts["pos"] = [p - s[d] for s, p, d in zip(starts, places, parts["doc"])]
         shift = np.concatenate([[0], np.cumsum([len(i) for i in parts["ids"]])[:-1]]).astype(np.int64)
         doc = np.concatenate([d.astype(np.int64) + s for d, s in zip(parts["doc"], shift)])
         h1, h2, pos, ids, keys = (np.concatenate(parts[c]) for c in ("h1", "h2", "pos", "ids", "keys"))
