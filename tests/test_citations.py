@@ -166,3 +166,10 @@ def test_unknown_library_kind(spark):
         formats.read_library(spark, "x", "endnote")
 
 
+def test_works_has_every_part_once(spark, tmp_path):
+    from bibliospark.plans import corpus
+
+    spark.range(0, 2501).selectExpr("id AS p_partkey", "'part ' || id AS p_name", "'TYPE' AS p_type", "1 AS p_size").write.parquet(f"{tmp_path}/part.parquet")
+    spark.range(0, 2501).selectExpr("id AS l_orderkey", "id AS l_partkey").write.parquet(f"{tmp_path}/lineitem.parquet")
+    w = corpus.works(spark, str(tmp_path)).collect()
+    assert len(w) == len({r.doi for r in w}) == 2501
