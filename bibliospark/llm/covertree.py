@@ -116,13 +116,10 @@ def dual(s: CoverTree, t: CoverTree, cosine: float) -> Iterator[tuple[np.ndarray
                     i, j = i[once], j[once]
                 stack.append((level + 1, i, j))
             else:
-                i, j = s.rows[i], t.rows[j]
                 if s is t:
-                    once = i != j
-                    i, j = np.minimum(i, j)[once], np.maximum(i, j)[once]
-                    key = np.unique(i * len(s.x) + j)  # a leaf paired with itself yields both orders
-                    i, j = key // len(s.x), key % len(s.x)
-                yield i, j
+                    once = i < j  # by place: a leaf paired with itself yields both orders; of two leaves the first comes first
+                    i, j = i[once], j[once]
+                yield s.rows[i], t.rows[j]
 
 
 class _Sums:

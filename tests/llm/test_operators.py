@@ -229,6 +229,15 @@ def test_cover_tree(spark):
     assert covertree.near_duplicates(df.limit(0)).collect() == []
 
 
+def test_cover_tree_pairs_of_a_large_leaf_come_once():
+    x = np.concatenate([np.ones((500, 1)), np.random.default_rng(5).normal(size=(500, 7)) * 0.005], 1)
+    x /= np.sqrt((x**2).sum(1, keepdims=True))
+    assert (x @ x.T).min() > 0.999
+    tree = covertree.CoverTree(x)
+    pairs = [tuple(sorted(p)) for i, j in covertree.dual(tree, tree, 0.93) for p in zip(i.tolist(), j.tolist())]
+    assert len(pairs) == 500 * 499 // 2 and len(set(pairs)) == len(pairs)
+
+
 @pytest.mark.parametrize("block,query_block", [(8192, 2048), (50, 3)])
 def test_m_tree(spark, block, query_block):
     rows = [(*r, "x") for r in vectors()]
