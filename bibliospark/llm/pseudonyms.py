@@ -7,6 +7,11 @@ digits - or, where the valid values are a range, the value's number is split by
 way. Check digits are computed anew. Both are permutations, so different values stay different, and the same value
 gets the same pseudonym in every document, however it is punctuated.
 
+A number, an expiry date or a word beside a value does not hide it: a run of digit groups is searched for the cards in
+it (any sub-run of 13 to 19 digits between group borders with right check digits, usual groupings first, then longer
+ones), IBANs have the length of their country, phones of +1 and +7 eleven digits. Phones of other countries have no known
+length and take a number of two to four digits that follows.
+
 Defined cases: null text stays null; empty text and invalid numbers stay as they are; repeated rows get equal
 results; e-mail domains, country codes and the first digit of cards are kept.
 """
@@ -17,18 +22,31 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 ROUNDS = 8
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
+#: IBAN lengths by country.
+_LENGTHS = {15: "NO", 16: "BE", 18: "DK|FI|FK|FO|GL|NL|SD", 19: "MK|SI", 20: "AT|BA|EE|KZ|LT|LU|MN|XK", 21: "CH|HR|LI|LV", 22: "BG|BH|CR|DE|GB|GE|IE|ME|RS|VA", 23: "AE|GI|IL|IQ|OM|SO|TL",
+            24: "AD|CZ|ES|MD|PK|RO|SA|SE|SK|TN|VG", 25: "LY|PT|ST", 26: "IS|TR", 27: "BI|DJ|FR|GR|IT|MC|MR|SM", 28: "AL|AZ|BY|CY|DO|GT|HN|HU|LB|NI|PL|SV", 29: "BR|EG|PS|QA|UA", 30: "JO|KW|MU|YE", 31: "MT|SC", 32: "LC", 33: "RU"}
+_COUNTRIES = "|".join(_LENGTHS.values())
+_IBANS = "|".join(rf"(?:{names})[0-9]{{2}}(?: ?[A-Z0-9]){{{n - 4}}}(?![A-Za-z0-9])" for n, names in _LENGTHS.items())
+#: A run of digit groups ends before a group that begins a date, an address or a number with points.
+_NEXT = r"[./][0-9]{1,2}[./][0-9]{4}|(?:\.[0-9]{1,3}){3}|\.[0-9]{3}[.-][0-9]{4}|[A-Za-z0-9._%+-]*+@[A-Za-z0-9]"
+#: Not after more than 15 digits of a phone (Java asks for a pattern whose longest match is plain to see).
+_LONG = "".join(rf"(?<!\+{'[ .()-]{0,2}[0-9]' * n})" for n in range(16, 24))
 #: Candidates by kind; the first that matches at a place is taken.
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9])",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
+    "iban": rf"(?<![A-Za-z0-9])(?:{_IBANS}|[A-Z]{{2}}[0-9]{{2}}(?:(?: (?!(?:{_COUNTRIES})[0-9]{{2}}))?[A-Z0-9]{{4}}){{2,7}}(?: ?[A-Z0-9]{{1,3}})?(?![A-Za-z0-9]))",
     "ip": rf"(?<![0-9.])(?:{_OCTET}\.){{3}}{_OCTET}(?![0-9]|\.[0-9])",
     "iso_date": r"(?<![0-9./-])[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9]|[./-][0-9])",
     "date": r"(?<![0-9./-])[0-9]{1,2}([./])[0-9]{1,2}\1[0-9]{4}(?![0-9]|[./-][0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9]|-[0-9])",
-    "phone": r"(?<![0-9+])(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,3}|\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4})(?![0-9]|[.-][0-9])",
-    "card": r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])",
+    "phone": r"(?<![0-9+])(?:\+[17](?:[ .()-]{0,2}[0-9]){10}|\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,3}" + _LONG + r"|\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4})(?![0-9]|[.-][0-9])",
+    "card": rf"(?<![0-9])[0-9](?:[ -]?[0-9]){{12}}[0-9 -]*(?<=[0-9])(?![0-9]|{_NEXT})",
 }
 ANY = "|".join(PATTERNS.values())
+#: What may stand between the cards of a run of digit groups; a card, and its usual groupings.
+INNER = "|".join([PATTERNS["iso_date"], PATTERNS["ssn"], r"(?<![0-9-])[0-9]{3}-[0-9]{3}-[0-9]{4}(?![0-9]|[.-][0-9])"])
+CARD = r"^[0-9](?:[ -]?[0-9]){12,18}$"
+USUAL = r"^(?:[0-9]{13,19}|[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{4}(?:\1[0-9]{1,3})?|[0-9]{4}([ -])[0-9]{6}\2[0-9]{4,5})$"
 #: Days of a 400-year cycle from 1800-01-01, as a product; areas and groups of social security numbers, and serials.
 DAYS, AREAS, SERIALS = (189, 773), 898 * 99, 9999
 
@@ -199,22 +217,83 @@ def _kind(m: Column) -> Column:
     return out.otherwise(F.lit("card"))
 
 
-def replaced(candidate: Column, key: str) -> Column:
+def replaced(candidate: Column, key: str, kinds: tuple[str, ...] = tuple(_MAKERS)) -> Column:
     """The pseudonym of a candidate, null where it is not valid."""
     kind = _kind(candidate)
     out = F
-    for name, maker in _MAKERS.items():
-        out = out.when(kind == name, maker(candidate, key))
+    for name in kinds:
+        out = out.when(kind == name, _MAKERS[name](candidate, key))
     return out
 
 
+_PIECE = "struct<kind:string,new:string,old:string>"
+
+
+def _piece(kind: Column, new: Column, old: Column) -> Column:
+    return F.struct(kind.alias("kind"), new.alias("new"), old.alias("old")).cast(_PIECE)
+
+
+def _plain(text: Column) -> Column:
+    return _piece(F.lit(None), F.lit(None), text)
+
+
+def _cards(text: Column, key: str) -> Column:
+    """The pieces of a run of digit groups: its cards and what is between them."""
+    spans = "array<struct<s:int,e:int>>"
+    groups = F.filter(F.split(text, "(?<=[0-9])(?![0-9])|(?<![0-9])(?=[0-9])"), lambda g: g != "")
+    start = F.struct(F.lit(0).alias("at"), F.array().cast(spans).alias("out"))
+
+    def place(a: Column, g: Column) -> Column:
+        end = a["at"] + F.length(g)
+        here = F.struct(a["at"].alias("s"), end.alias("e"))
+        return F.struct(end.alias("at"), F.when(g.rlike("^[0-9]"), F.concat(a["out"], F.array(here))).otherwise(a["out"]).alias("out"))
+
+    places = F.aggregate(groups, start, place, lambda a: a["out"])
+
+    def runs(p: Column, ps: Column, i: Column) -> Column:
+        texts = F.transform(F.slice(ps, i + 1, 19), lambda q: F.struct(p["s"].alias("s"), q["e"].alias("e"), F.substr(text, p["s"] + 1, q["e"] - p["s"]).alias("old")))
+        fit = F.filter(texts, lambda r: r["old"].rlike(CARD))
+        made = F.transform(fit, lambda r: F.struct(F.when(r["old"].rlike(USUAL), 0).otherwise(1).alias("odd"), (-F.length(_only(r["old"], "0-9"))).alias("digits"), r["s"].alias("s"), r["e"].alias("e"), r["old"].alias("old"), _card(r["old"], key).alias("new")))
+        return F.filter(made, lambda r: r["new"].isNotNull())
+
+    found = F.flatten(F.transform(F.array(places), lambda ps: F.flatten(F.transform(ps, lambda p, i: runs(p, ps, i)))))
+    none = F.array().cast("array<struct<s:int,e:int,old:string,new:string>>")
+
+    def pick(a: Column, r: Column) -> Column:
+        one = F.array(F.struct(r["s"].alias("s"), r["e"].alias("e"), r["old"].alias("old"), r["new"].alias("new")))
+        return F.when(F.exists(a, lambda x: (x["s"] < r["e"]) & (r["s"] < x["e"])), a).otherwise(F.concat(a, one))
+
+    picked = F.array_sort(F.aggregate(F.array_sort(found), none, pick))
+    begin = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{_PIECE}>").alias("out"))
+
+    def put(a: Column, r: Column) -> Column:
+        gap = _plain(F.substr(text, a["at"] + 1, r["s"] - a["at"]))
+        return F.struct(r["e"].alias("at"), F.concat(a["out"], F.array(gap, _piece(F.lit("card"), r["new"], r["old"]))).alias("out"))
+
+    return F.aggregate(picked, begin, put, lambda a: F.concat(a["out"], F.array(_plain(F.substr(text, a["at"] + 1, F.length(text))))))
+
+
+def pieces(m: Column, key: str) -> Column:
+    """A candidate as an array of pieces: values with their pseudonyms and what is between them."""
+    whole = F.array(_piece(_kind(m), replaced(m, key, tuple(k for k in _MAKERS if k not in ("iban", "card"))), m))
+    inner = lambda x: F.when(x.isNotNull(), F.array(_piece(_kind(x), replaced(x, key, ("iso_date", "ssn", "phone")), x))).otherwise(F.array().cast(f"array<{_PIECE}>"))
+    among = F.flatten(F.zip_with(F.split(m, INNER, -1), F.regexp_extract_all(m, F.lit(INNER), F.lit(0)), lambda part, x: F.concat(_cards(part, key), inner(x))))
+    usual = F.when(m.rlike(USUAL), _card(m, key))
+    cards = F.when(usual.isNotNull(), F.array(_piece(F.lit("card"), usual, m))).otherwise(among)
+    # an IBAN of no known country may have taken words that follow
+    cuts = F.array(m, F.regexp_replace(m, " [A-Z0-9]+$", ""), F.regexp_replace(m, " [A-Z0-9]+ [A-Z0-9]+$", ""))
+    iban = F.get(F.filter(F.transform(cuts, lambda c: _piece(F.lit("iban"), _iban(c, key), c)), lambda c: c["new"].isNotNull()), F.lit(0))
+    ibans = F.transform(F.array(iban), lambda c: F.when(c.isNotNull(), F.array(c, _plain(F.substr(m, F.length(c["old"]) + 1, F.length(m))))).otherwise(F.array(_plain(m))))[0]
+    return F.when(_kind(m) == "card", cards).when(_kind(m) == "iban", ibans).otherwise(whole)
+
+
 def pseudonymise(docs: DataFrame, key: str, column: str = "text") -> DataFrame:
     """The documents' columns, ``text`` with pseudonyms, and pii_found: an array of (kind, pseudonym) in order."""
     text = F.col(column).cast("string")
     found = F.when(text.rlike(ANY), F.regexp_extract_all(text, F.lit(ANY), F.lit(0)))
     held = docs.withColumn("_candidates", found)
-    made = F.transform("_candidates", lambda m: F.struct(_kind(m).alias("kind"), replaced(m, key).alias("new"), m.alias("old")))
+    made = F.transform("_candidates", lambda m: pieces(m, key))
     held = held.withColumn("_made", made)
-    joined = F.array_join(F.zip_with(F.split(text, ANY, -1), F.col("_made"), lambda part, m: F.concat(part, F.coalesce(m["new"], m["old"], F.lit("")))), "")
-    valid = F.transform(F.filter(F.coalesce("_made", F.array().cast("array<struct<kind:string,new:string,old:string>>")), lambda m: m["new"].isNotNull()), lambda m: F.struct(m["kind"].alias("kind"), m["new"].alias("pseudonym")))
+    joined = F.array_join(F.zip_with(F.split(text, ANY, -1), F.col("_made"), lambda part, ps: F.concat(part, F.coalesce(F.array_join(F.transform(ps, lambda m: F.coalesce(m["new"], m["old"])), ""), F.lit("")))), "")
+    valid = F.transform(F.filter(F.coalesce(F.flatten("_made"), F.array().cast(f"array<{_PIECE}>")), lambda m: m["new"].isNotNull()), lambda m: F.struct(m["kind"].alias("kind"), m["new"].alias("pseudonym")))
     return held.withColumn("pii_found", valid).withColumn(column, F.when(F.size("pii_found") > 0, joined).otherwise(text)).drop("_candidates", "_made")

@@ -369,6 +369,21 @@ def test_pseudonyms_in_texts(spark):
     assert pseudonyms.pseudonymise(make(spark, []), "key").collect() == []
 
 
+@pytest.mark.parametrize("text,value,rest", [
+    ("4111 1111 1111 1111 12/25", r"(\d{4} ){3}\d{4}", "@ 12/25"), ("4111111111111111 123", r"\d{16}", "@ 123"), ("12 4111 1111 1111 1111", r"(\d{4} ){3}\d{4}", "12 @"),
+    ("1234 4111 1111 1111 1111 x", r"(\d{4} ){3}\d{4}", "1234 @ x"), ("4111 1111 1111 1111 12.3.2024", r"(\d{4} ){3}\d{4}", None), ("4111 1111 1111 1111 2020-02-29", r"(\d{4} ){3}\d{4}", None),
+    ("ES91 2100 0418 4502 0005 1332 BIC", r"ES\d\d( \d{4}){5}", "@ BIC"), ("ES9121000418450200051332 CODE A", r"ES\d{22}", "@ CODE A"),
+    ("+1 (988) 555-2485 12", r"\+1 \(\d{3}\) \d{3}-\d{4}", "@ 12"), ("+1 (988) 555-2485 4111 1111 1111 1111", r"(\d{4} ){3}\d{4}", None)])
+def test_pseudonyms_of_values_beside_numbers_and_words(spark, text, value, rest):
+    alone = {"4": "4111 1111 1111 1111", "E": "ES91 2100 0418 4502 0005 1332", "+": "+1 (988) 555-2485"}
+    out, *same = pseudonyms.pseudonymise(make(spark, [(0, text), *enumerate(alone.values(), 1)]), "key").orderBy("doc_id").collect()
+    found = [re.sub(r"\W", "", v.pseudonym) for v in out.pii_found]
+    kinds = {"4": same[0], "E": same[1], "+": same[2]}
+    held = "4" if "4111" in text else text[0]
+    assert re.sub(r"\W", "", kinds[held].pii_found[0].pseudonym) in found and re.sub(r"\W", "", alone[held]) not in re.sub(r"\W", "", out.text)
+    assert rest is None and len(found) == 2 or out.text in [rest.replace("@", v.pseudonym) for v in out.pii_found] and re.search(value, out.text)
+
+
 def test_op2_changes_only_what_it_found(spark, sf_dir):
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
     for r in queries.op2_pseudonyms(spark, sf_dir).collect():
