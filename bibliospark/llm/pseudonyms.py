@@ -277,9 +277,7 @@ def pieces(m: Column, key: str) -> Column:
     """A candidate as an array of pieces: values with their pseudonyms and what is between them."""
     whole = F.array(_piece(_kind(m), replaced(m, key, tuple(k for k in _MAKERS if k not in ("iban", "card"))), m))
     inner = lambda x: F.when(x.isNotNull(), F.array(_piece(_kind(x), replaced(x, key, ("iso_date", "ssn", "phone")), x))).otherwise(F.array().cast(f"array<{_PIECE}>"))
-    among = F.flatten(F.zip_with(F.split(m, INNER, -1), F.regexp_extract_all(m, F.lit(INNER), F.lit(0)), lambda part, x: F.concat(_cards(part, key), inner(x))))
-    usual = F.when(m.rlike(USUAL), _card(m, key))
-    cards = F.when(usual.isNotNull(), F.array(_piece(F.lit("card"), usual, m))).otherwise(among)
+    cards = F.flatten(F.zip_with(F.split(m, INNER, -1), F.regexp_extract_all(m, F.lit(INNER), F.lit(0)), lambda part, x: F.concat(_cards(part, key), inner(x))))
     # an IBAN of no known country may have taken words that follow
     cuts = F.array(m, F.regexp_replace(m, " [A-Z0-9]+$", ""), F.regexp_replace(m, " [A-Z0-9]+ [A-Z0-9]+$", ""))
     iban = F.get(F.filter(F.transform(cuts, lambda c: _piece(F.lit("iban"), _iban(c, key), c)), lambda c: c["new"].isNotNull()), F.lit(0))
