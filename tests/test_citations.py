@@ -173,3 +173,16 @@ def test_works_has_every_part_once(spark, tmp_path):
     spark.range(0, 2501).selectExpr("id AS l_orderkey", "id AS l_partkey").write.parquet(f"{tmp_path}/lineitem.parquet")
     w = corpus.works(spark, str(tmp_path)).collect()
     assert len(w) == len({r.doi for r in w}) == 2501
+
+
+def test_web_suggestions_find_every_contained_name(spark):
+    import re
+
+    from bibliospark.operators import works as lookup
+
+    families, cited = ["van Gogh", "Lindqvist", "Li", "Smith", "Smithson", "Ito", None], ["Gogh", "Li", "Smith", "Smithson", "Vito", "Lindqvist"]
+    w = spark.createDataFrame([(f"10.1/{i}{y}", "A title", [("A.", f)], y) for i, f in enumerate(families) for y in (2018, 2020, 2024, None)], "doi string, title string, authors array<struct<given string, family string>>, year int")
+    missing = spark.createDataFrame([(1, i, f"({c}, 2020)", "a context") for i, c in enumerate(cited)], "doc_id long, cit_ord int, text string, context string")
+    got = {r.cit_ord: set(re.findall(r"10\.1/\w+", r.found)) for r in lookup.web_suggestions(missing, w, most=99).collect()}
+    agree = lambda c, f: f is not None and (c.lower() in f.lower() or f.lower() in c.lower())
+    assert got == {i: {f"10.1/{k}{y}" for k, f in enumerate(families) if agree(c, f) for y in (2018, 2020, None)} for i, c in enumerate(cited)}
