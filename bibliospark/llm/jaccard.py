@@ -4,11 +4,15 @@
    right; this one keeps common shingles out of the prefixes.
 2. A document's prefix holds a shingle of every document that it may link to. Documents with the same set form one
    class from here on. Prefix shingles that no other prefix holds are dropped by a count-min bitmap.
-3. Leaders: in every bucket of classes that share a prefix shingle, each class is compared with one of them.
-   That is linear in the bucket, and joins groups of near copies without making their pairs.
-4. What is left, classes of different components that share a prefix shingle, is compared pair by pair.
-A pair that passes the length, positional and suffix filters is verified once, on whole texts; components follow
-from the links. Leaders with many followers are dealt to several tasks, each with the leader's text.
+3. Leaders: in every bucket of classes that share a prefix shingle, each class is compared with one of them, then, in
+   buckets whose classes are still of different components, with a few more in each
+   round while rounds link enough (small buckets have few pairs and wait for step 4). A round is linear in the bucket,
+   and rounds join groups of near copies without making their pairs.
+4. What is left, classes of different components that share a prefix shingle, is compared pair by pair. A pair is made
+   at the first of a run of shared prefix shingles only: where both have the same one before, it was made there.
+A pair that passes the length and positional filters, and the suffix filter on parity bits (of which two sets cannot
+differ in more places than in elements), is verified once, on whole texts; components follow from the links. Leaders
+with many followers are dealt to several tasks, each with the leader's text. Shingles are told apart by 64-bit hashes.
 
 Defined cases: null and empty texts have no set and link with nothing; a text with fewer words than n has one
 shingle, all its words; repeated identifiers are documents of their own; a null identifier takes part but never
@@ -22,13 +26,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from . import countmin
 from .common import bundles, bytes_of, components, distinct, packed_gaps, small_batches, stored, unpacked_gaps, window_hashes, word_hashes
 
-#: Bins of the shingle counts and of the suffix filter's histogram.
-COUNT_BITS, SUFFIX_BINS = 20, 32
+#: Bins of the shingle counts; leaders of a bucket in a round after the first; one pair in so many must link for another round.
+COUNT_BITS, LEADERS, WORTH = 20, 16, 60
 FOLLOWERS = 500
 
 
@@ -89,6 +93,20 @@ def _need(a: Column, b: Column, num: int, den: int) -> Column:
     return F.ceil((a + b) * num / F.lit(num + den) - F.lit(1e-9))
 
 
+def _parity(s: np.ndarray) -> np.ndarray:
+    """Parity bits of a set of hashes, two to four an element, as 64-bit words; halves fold into a set of half the bits."""
+    bits = max(64, 1 << (2 * len(s) - 1).bit_length() if len(s) else 64)
+    odd = np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
+
+
+def _apart(a: Column, b: Column) -> Column:
+    """Places in which two parities differ, at most the number of elements that only one set holds."""
+    fold = lambda x, n: F.when(F.size(x) > n, F.zip_with(F.slice(x, 1, n), F.slice(x, n + 1, n), lambda u, v: u.bitwiseXOR(v))).otherwise(x)
+    least = F.least(F.size(a), F.size(b))
+    return F.aggregate(F.zip_with(fold(a, least), fold(b, least), lambda u, v: F.bit_count(u.bitwiseXOR(v))), F.lit(0), lambda s, x: s + x)
+
+
 class Join:
     """One run over a table of documents; ``num / den`` is the least similarity."""
 
@@ -103,7 +121,7 @@ class Join:
         self.index = self._index(countmin.bits_for(total * (den - num) // den // 6, most_bits))
 
     def _sets(self) -> DataFrame:
-        """(row, doc_id, text_key, n_shingles, k1, k2, prefix, bins): k1 and k2 are 128 bits of the set's hash."""
+        """(row, doc_id, text_key, n_shingles, k1, k2, prefix, parity): k1 and k2 are 128 bits of the set's hash."""
         n, num, den = self.n, self.num, self.den
         shared = self.spark.sparkContext.broadcast(np.minimum(_bin_counts(self.rows, n, self.many), (1 << 32) - 1).astype(np.uint32))
 
@@ -112,24 +130,27 @@ class Join:
 
             part, number, counts = TaskContext.get().partitionId(), 0, shared.value
             for batch in bundles(batches, "text", 4 << 20):
-                out: dict[str, list] = {c: [] for c in ("n_shingles", "k1", "k2", "prefix", "bins")}
+                out: dict[str, list] = {c: [] for c in ("n_shingles", "k1", "k2", "prefix", "parity")}
                 for s in map(distinct, shingle_hashes(bytes_of(batch["text"]), n)):
                     key = xxhash.xxh3_128_intdigest(s.tobytes())
                     order = np.lexsort((s, counts[(s >> np.uint64(64 - COUNT_BITS)).astype(np.int64)]))
                     keep = len(s) - -(-num * len(s) // den) + 1 if len(s) else 0
-                    for c, v in (("n_shingles", len(s)), ("k1", (key >> 64) - (1 << 63)), ("k2", (key & (1 << 64) - 1) - (1 << 63)), ("prefix", s[order[:keep]].tobytes()), ("bins", np.minimum(np.bincount((s >> np.uint64(59)).astype(np.int64), minlength=SUFFIX_BINS), 32767).tolist())):
+                    for c, v in (("n_shingles", len(s)), ("k1", (key >> 64) - (1 << 63)), ("k2", (key & (1 << 64) - 1) - (1 << 63)), ("prefix", s[order[:keep]].tobytes()), ("parity", _parity(s))):
                         out[c].append(v)
                 first = part << 33 | number
                 number += batch.num_rows
                 batch = batch.combine_chunks()
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(range(first, first + batch.num_rows), pa.int64()), batch["doc_id"].combine_chunks(), batch["text_key"].combine_chunks(), pa.array(out["n_shingles"], pa.int64()), pa.array(out["k1"], pa.int64()), pa.array(out["k2"], pa.int64()), pa.array(out["prefix"], pa.binary()), pa.array(out["bins"], pa.list_(pa.int16()))],
-                    names=["row", "doc_id", "text_key", "n_shingles", "k1", "k2", "prefix", "bins"])
+                    [pa.array(range(first, first + batch.num_rows), pa.int64()), batch["doc_id"].combine_chunks(), batch["text_key"].combine_chunks(), pa.array(out["n_shingles"], pa.int64()), pa.array(out["k1"], pa.int64()), pa.array(out["k2"], pa.int64()), pa.array(out["prefix"], pa.binary()), pa.array(out["parity"], pa.list_(pa.int64()))],
+                    names=["row", "doc_id", "text_key", "n_shingles", "k1", "k2", "prefix", "parity"])
 
-        return stored(self.rows.mapInArrow(run, "row long, doc_id long, text_key long, n_shingles long, k1 long, k2 long, prefix binary, bins array<smallint>"), "sets")
+        return stored(self.rows.mapInArrow(run, "row long, doc_id long, text_key long, n_shingles long, k1 long, k2 long, prefix binary, parity array<long>"), "sets")
 
     def _index(self, bits: int) -> DataFrame:
-        """(token, c, size, pos): prefix shingles that several prefixes may hold; c is a class, the row of one of its documents."""
+        """(token, c, size, pos, prev): prefix shingles that several prefixes may hold, each with the one before it.
+
+        c is a class, the row of one of its documents.
+        """
 
         def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for table in bundles(batches, "prefix", 16 << 20):
@@ -141,19 +162,23 @@ class Join:
 
         def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                tokens, positions = [], []
+                tokens, positions, before = [], [], []
                 for blob in batch.column("prefix").to_pylist():
                     t = np.frombuffer(blob, np.uint64)
                     at = np.flatnonzero(repeated.of(t))
                     tokens.append(t[at].astype(np.int64))
                     positions.append(at.astype(np.int32))
-                yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("n_shingles"), pa.array(tokens, pa.list_(pa.int64())), pa.array(positions, pa.list_(pa.int32()))], names=["c", "size", "tokens", "positions"])
+                    before.append(np.concatenate([tokens[-1][:1], tokens[-1][:-1]]))  # the first has itself
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("row"), batch.column("n_shingles"), pa.array(tokens, pa.list_(pa.int64())), pa.array(positions, pa.list_(pa.int32())), pa.array(before, pa.list_(pa.int64()))],
+                    names=["c", "size", "tokens", "positions", "before"])
 
         own = self.sets.where("n_shingles > 0")
         self.classes = stored(own.groupBy("k1", "k2").agg(F.min("row").alias("c")), "classes")
-        picked = own.select("row", "n_shingles", "prefix").mapInArrow(pick, "c long, size long, tokens array<long>, positions array<int>").where(F.size("tokens") > 0)
+        picked = own.select("row", "n_shingles", "prefix").mapInArrow(pick, "c long, size long, tokens array<long>, positions array<int>, before array<long>").where(F.size("tokens") > 0)
         picked = picked.join(self.classes.select("c"), "c", "left_semi")
-        return stored(picked.select("c", "size", F.explode(F.arrays_zip("tokens", "positions")).alias("t")).select(F.col("t.tokens").alias("token"), "c", "size", F.col("t.positions").alias("pos")), "index")
+        spread = picked.select("c", "size", F.explode(F.arrays_zip("tokens", "positions", "before")).alias("t"))
+        return stored(spread.select(F.col("t.tokens").alias("token"), "c", "size", F.col("t.positions").alias("pos"), F.col("t.before").alias("prev")), "index")
 
     def _may_link(self, a: str, b: str) -> Column:
         """Length and positional filter on a shared prefix shingle."""
@@ -161,17 +186,14 @@ class Join:
         left = F.least(na - pa_, nb - pb)
         return (na * self.den >= nb * self.num) & (nb * self.den >= na * self.num) & (left >= _need(na, nb, self.num, self.den))
 
-    def _verified(self, pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) of classes that link: suffix filter, then whole texts."""
-        bins = self.sets.select(F.col("row"), F.col("n_shingles").alias("size"), "bins")
-        near = pairs.join(bins.select(F.col("row").alias("a"), F.col("size").alias("size_a"), F.col("bins").alias("bins_a")), "a")
-        near = near.join(bins.select(F.col("row").alias("b"), F.col("size").alias("size_b"), F.col("bins").alias("bins_b")), "b")
-        apart = F.aggregate(F.zip_with("bins_a", "bins_b", lambda x, y: F.abs(x.cast("int") - y.cast("int"))), F.lit(0), lambda s, x: s + x)
-        near = stored(near.where(apart <= F.col("size_a") + F.col("size_b") - 2 * _need(F.col("size_a"), F.col("size_b"), self.num, self.den)).select("a", "b"), "pairs")
-
-        wanted = near.select(F.explode(F.array("a", "b")).alias("row")).distinct()
-        wanted = stored(self.sets.select("row", "doc_id", "text_key").join(wanted, "row", "left_semi"), "wanted")
-        texts = stored(self._texts(wanted), "texts")
+    def _verified(self, pairs: DataFrame, texts: DataFrame | None = None) -> DataFrame:
+        """The pairs (a, b) of classes that link: suffix filter, then whole texts (those given, or read for these pairs)."""
+        sets = self.sets.select(F.col("row"), F.col("n_shingles").alias("size"), "parity")
+        near = pairs.join(sets.select(F.col("row").alias("a"), F.col("size").alias("size_a"), F.col("parity").alias("parity_a")), "a")
+        near = near.join(sets.select(F.col("row").alias("b"), F.col("size").alias("size_b"), F.col("parity").alias("parity_b")), "b")
+        most = F.col("size_a") + F.col("size_b") - 2 * _need(F.col("size_a"), F.col("size_b"), self.num, self.den)
+        near = stored(near.where(_apart(F.col("parity_a"), F.col("parity_b")) <= most).select("a", "b"), "pairs")
+        texts = self._texts(near.select(F.explode(F.array("a", "b")).alias("row")).distinct()) if texts is None else texts
         salt = F.pmod(F.xxhash64("b"), F.ceil(F.col("followers") / FOLLOWERS))
         salted = near.join(near.groupBy("a").agg(F.count("*").alias("followers")), "a").select("a", "b", salt.alias("salt"))
         text = texts.select(F.col("row"), F.col("text"))
@@ -198,8 +220,9 @@ class Join:
         dealt = leaders.unionAll(followers).repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
         return stored(dealt.select("a", "b", "text").mapInArrow(verify, "a long, b long"), "links")
 
-    def _texts(self, wanted: DataFrame) -> DataFrame:
-        """(row, text) of the wanted rows. A bitmap of their text keys keeps other texts out of the shuffle."""
+    def _texts(self, rows: DataFrame) -> DataFrame:
+        """(row, text) of these rows. A bitmap of their text keys keeps other texts out of the shuffle."""
+        wanted = stored(self.sets.select("row", "doc_id", "text_key").join(rows, "row", "left_semi"), "wanted")
         asked = _bitmap(wanted)
 
         def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -208,43 +231,65 @@ class Join:
 
         r = self.rows.mapInArrow(pick, "doc_id long, text string, text_key long").dropDuplicates(["doc_id", "text_key"]).alias("r")
         w = wanted.alias("w")
-        return r.join(w, F.col("r.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("r.text_key") == F.col("w.text_key"))).select("w.row", "r.text")
+        return stored(r.join(w, F.col("r.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("r.text_key") == F.col("w.text_key"))).select("w.row", "r.text"), "texts")
 
     def _candidates(self, found: DataFrame, tested: DataFrame | None = None) -> DataFrame:
         pairs = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         return stored(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "candidates")
 
+    def _followers(self, index: DataFrame, leaders: DataFrame) -> DataFrame:
+        """Pairs (a, b) of a bucket's leader and each other class that may link to it; leaders: (token, l)."""
+        i = index.alias("i")
+        met = i.join(leaders.select("token", "l.*").alias("l"), "token").where((F.col("i.c") != F.col("l.c")) & self._may_link("i", "l"))
+        met = met.where(F.col("i.component") != F.col("l.component")) if "component" in index.columns else met
+        return met.select(F.col("l.c").alias("a"), F.col("i.c").alias("b"))
+
+    def _left(self, index: DataFrame, part: DataFrame, least: int) -> DataFrame:
+        """The index with components and bucket sizes n, without buckets of one component or of fewer classes than least."""
+        index = stored(index.join(part, "c", "left").withColumn("component", F.coalesce("component", "c")), "indexed")
+        apart = index.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n"))
+        return stored(index.join(apart.where((F.col("low") != F.col("high")) & (F.col("n") >= least)).select("token", "n"), "token"), "apart")
+
     def _classed(self) -> DataFrame:
-        """(k1, k2, component) of every class: links to leaders first, then links between what those leave apart."""
-        leaders = self.index.groupBy("token").agg(F.min("c").alias("leader"), F.count("*").alias("n")).where("n > 1")
-        leaders = stored(leaders.select("token", "leader"), "leaders")
-        i, led = self.index.alias("i"), self.index.select("token", F.col("c").alias("leader"), "size", "pos").join(leaders, ["token", "leader"], "left_semi").alias("l")
-        found = i.join(led, (F.col("i.token") == F.col("l.token")) & (F.col("i.c") != F.col("l.leader")) & self._may_link("i", "l"))
-        tested = self._candidates(found.select(F.col("l.leader").alias("a"), F.col("i.c").alias("b")))
-        part = components(self._verified(tested)).withColumnRenamed("node", "c")
-        classes = self.classes.join(part, "c", "left").withColumn("component", F.coalesce("component", "c"))
-
-        index = stored(self.index.join(part, "c", "left").withColumn("component", F.coalesce("component", "c")), "indexed")
-        apart = index.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("token")
-        index = stored(index.join(apart, "token", "left_semi"), "apart")
-        x, y = index.alias("x"), index.alias("y")
-        found = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.c") < F.col("y.c")) & (F.col("x.component") != F.col("y.component")) & self._may_link("x", "y"))
-        rest = self._candidates(found.select(F.col("x.c").alias("a"), F.col("y.c").alias("b")), tested)
-        if rest.isEmpty():
-            return classes
-        links = self._verified(rest)
-        if links.isEmpty():
-            return classes
-        of = lambda end: part.select(F.col("c").alias(end), F.col("component").alias(f"of_{end}"))
-        links = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b"))
-        top = components(links).select(F.col("node").alias("component"), F.col("component").alias("top"))
-        return classes.join(top, "component", "left").select("k1", "k2", F.coalesce("top", "component").alias("component"))
+        """(k1, k2, component) of every class: links to leaders in rounds, then links between what those leave apart."""
+        first = self.index.groupBy("token").agg(F.min(F.struct("c", "size", "pos")).alias("l"), F.count("*").alias("n")).where("n > 1")
+        tested = self._candidates(self._followers(self.index, stored(first.select("token", "l"), "leaders")))
+        links = self._verified(tested)
+        part = components(links)
+        columns = self.index.columns
+        left = self._left(self.index, part.withColumnRenamed("node", "c"), 3)  # a bucket of two is tested
+        if not left.isEmpty():
+            texts = self._texts(left.select(F.col("c").alias("row")).distinct())
+            turn, grown = 0, True
+            while grown:
+                turn += 1
+                order = Window.partitionBy("token").orderBy(F.xxhash64("c", F.lit(turn)), "c")
+                led = left.where(F.col("n") > 4 * LEADERS).withColumn("place", F.row_number().over(order)).where(F.col("place") <= LEADERS)
+                led = stored(led.select("token", F.struct("c", "component", "size", "pos").alias("l")), "leaders")
+                found = self._candidates(self._followers(left, led), tested)
+                tested = tested.unionAll(found)
+                more = self._verified(found, texts)
+                linked = more.count()
+                grown = linked >= LEADERS and linked * WORTH > found.count()  # else the pairs that are left cost less than further rounds
+                if linked:
+                    links = links.unionAll(more)
+                    part = components(links)
+                    left = self._left(left.select(*columns), part.withColumnRenamed("node", "c"), 3)
+            x, y = left.alias("x"), left.alias("y")
+            on = (F.col("x.token") == F.col("y.token")) & (F.col("x.c") < F.col("y.c")) & (F.col("x.component") != F.col("y.component"))
+            fresh = (F.col("x.prev") != F.col("y.prev")) | (F.col("x.prev") == F.col("x.token")) | (F.col("y.prev") == F.col("y.token"))
+            rest = self._candidates(x.join(y, on & fresh & self._may_link("x", "y")).select(F.col("x.c").alias("a"), F.col("y.c").alias("b")), tested)
+            more = self._verified(rest, texts)
+            if not more.isEmpty():
+                part = components(links.unionAll(more))
+        return self.classes.join(part.withColumnRenamed("node", "c"), "c", "left").withColumn("component", F.coalesce("component", "c"))
 
     def components(self) -> DataFrame:
         """(doc_id, text_key, n_shingles, component_id, kept, row) of every row."""
         classes = self._classed().select("k1", "k2", "component")
         placed = stored(self.sets.select("row", "doc_id", "text_key", "n_shingles", "k1", "k2").join(classes, ["k1", "k2"], "left").select("row", "doc_id", "text_key", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component")).alias("component")), "placed")
         least = placed.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("component_id"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first"))
+        least = stored(least, "least")  # apart from the join, so that a large component's rows can be split
         out = placed.join(least, "component", "left")
         kept = F.col("component").isNull() | (F.col("first.row") == F.col("row"))
         return out.select("doc_id", "text_key", "n_shingles", F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), kept.alias("kept"), "row")
