@@ -2,9 +2,11 @@
 
 Vectors of one label and equal components form one class. Large labels are cut into cells around pivots, a vector
 being sent to another cell only when the cell's covering radius lets it have a partner there; cells are cut into
-blocks of bounded size. A task builds cover trees (nested levels, halving radii, actual covering radii) of its block
+blocks of bounded size (cells beyond it, where pivots are few, into several). A task builds cover trees (nested levels, halving radii, actual covering radii) of its block
 and of the vectors sent to it, walks both at once, prunes pairs of nodes whose balls are farther apart than the
-threshold allows, and verifies what is left by cosine in double precision. It returns sums and a spanning forest of
+threshold allows, and verifies what is left by cosine in double precision. All pairs of children of two nodes are tested
+by one product of matrices. Vectors without clusters are all about as far from each other, so that nothing can be pruned
+above the single vectors: then pairs within a label are all tested, in that cheap form. A task returns sums and a spanning forest of
 its links, never the pairs of a group of copies.
 
 Defined cases: rows without a label, identifier or usable vector (null, zero, null or non-finite components) link
@@ -24,29 +26,32 @@ from .common import components, stored
 
 #: Radii of the levels, on the unit sphere; below the last, vectors are compared directly.
 RADII = tuple(2.0 / (1 << i) for i in range(6))
-#: Vectors of a block, and sent vectors compared with it in one task; the most pivots in all.
-BLOCK, SENT, PIVOTS = 2048, 16384, 4096
-_CHUNK = 100_000
+#: Numbers in the vectors of a block; vectors sent to a block in one task, as a multiple of the block; the most pivots in all.
+NUMBERS, SENT, PIVOTS = 1 << 19, 3, 4096
+_CHUNK, _DENSE = 100_000, 256
 
 
 class CoverTree:
-    """Levels of nodes: centers (row of x), covering radii and the nodes' children on the next level."""
+    """Levels of nodes: centers (row of x), covering radii and where the nodes' children on the next level begin.
+
+    The last level's children are the vectors, ``rows`` of x in order. ``points`` holds the centers of each level, and
+    the vectors, one after the other, so that all pairs of children of two nodes are one product of matrices.
+    """
 
     def __init__(self, x: np.ndarray):
         self.x = x
-        self.centers: list[np.ndarray] = []
         self.radii: list[np.ndarray] = []
-        self.begins: list[np.ndarray] = []  # on each level, where each node's children begin; the last level's are rows
-        members = [np.arange(len(x))]
-        centers = [0]
-        for level, r in enumerate(RADII):
-            self.centers.append(np.array(centers))
-            self.radii.append(np.array([self._far(c, m).max() for c, m in zip(centers, members)]))
+        self.begins: list[np.ndarray] = []
+        self.points: list[np.ndarray] = []
+        members, centers = [np.arange(len(x))], [0]
+        for level in range(len(RADII)):
+            self.points.append(x[centers])
+            self.radii.append(np.array([self._far(c, m).max() if len(m) > 1 else 0.0 for c, m in zip(centers, members)]))
             if level == len(RADII) - 1:
                 break
             below_centers, below_members, begins = [], [], [0]
             for c, m in zip(centers, members):
-                for center, own in self._net(c, m, RADII[level + 1]):
+                for center, own in self._net(c, m, RADII[level + 1]) if len(m) > 1 else [(c, m)]:
                     below_centers.append(center)
                     below_members.append(own)
                 begins.append(len(below_centers))
@@ -54,14 +59,13 @@ class CoverTree:
             centers, members = below_centers, below_members
         self.begins.append(np.concatenate([[0], np.cumsum([len(m) for m in members])]))
         self.rows = np.concatenate(members)
+        self.points.append(x[self.rows])
 
     def _far(self, center: int, members: np.ndarray) -> np.ndarray:
         return np.sqrt(((self.x[members] - self.x[center]) ** 2).sum(1))
 
     def _net(self, center: int, members: np.ndarray, r: float) -> list[tuple[int, np.ndarray]]:
         """Centers more than r apart, the node's own first, with the members within r of each."""
-        if len(members) == 1:
-            return [(center, members)]
         found, rest, candidates = [], members, np.array([center])
         while len(rest):
             picked: list[int] = []
@@ -101,24 +105,37 @@ def _children(begins: np.ndarray, a: np.ndarray, b_begins: np.ndarray, b: np.nda
 
 def dual(s: CoverTree, t: CoverTree, cosine: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs of rows (of s, of t) whose cosine may reach the threshold; for s is t each pair once."""
-    reach = np.sqrt(2.0 - 2.0 * cosine) + 1e-9
+    reach = np.sqrt(2.0 - 2.0 * cosine) + 1e-7
+    none = np.zeros(1)
+
+    def near(level: int, i, j, product: np.ndarray) -> np.ndarray:
+        """Of children with these places and inner products, those whose balls are near enough."""
+        r = reach + (s.radii[level + 1][i] + t.radii[level + 1][j] if level + 1 < len(RADII) else none)
+        return 2.0 - 2.0 * product <= r * r
+
     stack = [(0, np.array([0]), np.array([0]))]
     while stack:
         level, a, b = stack.pop()
-        ca, cb = s.centers[level][a], t.centers[level][b]
-        far = np.sqrt(((s.x[ca] - t.x[cb]) ** 2).sum(1))
-        near = far <= reach + s.radii[level][a] + t.radii[level][b]
-        a, b = a[near], b[near]
-        for i, j in _children(s.begins[level], a, t.begins[level], b):
-            if level < len(RADII) - 1:
-                if s is t:
-                    once = i <= j
-                    i, j = i[once], j[once]
-                stack.append((level + 1, i, j))
+        p, q = s.points[level + 1], t.points[level + 1]
+        dense = (s.begins[level][a + 1] - s.begins[level][a]) * (t.begins[level][b + 1] - t.begins[level][b]) >= _DENSE
+        found = []
+        for u, v in zip(a[dense].tolist(), b[dense].tolist()):  # nodes with many children: one product of matrices
+            end, last = s.begins[level][u + 1], t.begins[level][v + 1]
+            step = max(1, _CHUNK * 10 // int(last - t.begins[level][v]))
+            for begin in range(s.begins[level][u], end, step):
+                i, j = np.arange(begin, min(end, begin + step)), np.arange(t.begins[level][v], last)
+                x, y = np.nonzero(near(level, i[:, None], j[None, :], p[i[0] : i[-1] + 1] @ q[j[0] : j[-1] + 1].T))
+                found.append((i[x], j[y]))
+        for i, j in _children(s.begins[level], a[~dense], t.begins[level], b[~dense]):
+            some = near(level, i, j, np.einsum("ij,ij->i", p[i], q[j]))
+            found.append((i[some], j[some]))
+        for i, j in found:
+            if s is t:  # by place: a node paired with itself yields both orders; of two nodes the first comes first
+                once = i <= j if level + 1 < len(RADII) else i < j
+                i, j = i[once], j[once]
+            if level + 1 < len(RADII):
+                stack += [(level + 1, i[k : k + _CHUNK], j[k : k + _CHUNK]) for k in range(0, len(i), _CHUNK)]
             else:
-                if s is t:
-                    once = i < j  # by place: a leaf paired with itself yields both orders; of two leaves the first comes first
-                    i, j = i[once], j[once]
                 yield s.rows[i], t.rows[j]
 
 
@@ -142,8 +159,11 @@ class _Sums:
                 self.root = up
 
 
-def near_duplicates(vectors: DataFrame, cosine: float = 0.93, block: int = BLOCK, sent: int = SENT) -> DataFrame:
-    """(vec_id, n_links, component_id, kept) of every row of (vec_id, embedding, label)."""
+def near_duplicates(vectors: DataFrame, cosine: float = 0.93, block: int | None = None, sent: int | None = None) -> DataFrame:
+    """(vec_id, n_links, component_id, kept) of every row of (vec_id, embedding, label).
+
+    block: vectors of a block, by default as many as hold NUMBERS numbers; sent: vectors compared with them in a task.
+    """
     spark = vectors.sparkSession
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").alias("label"), F.col("embedding").cast("array<double>").alias("v"))
     finite = F.forall("v", lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) != float("inf")), F.lit(False))) & F.exists("v", lambda x: x != 0)
@@ -152,15 +172,16 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.93, block: int = BLOCK
     classes = rows.where("usable").groupBy("label", "v").agg(F.min("vec_id").alias("least"), F.count("*").alias("w"))
     classes = stored(classes.withColumn("c", F.monotonically_increasing_id()).withColumn("key", F.concat_ws(" ", F.col("label").cast("string"), F.size("v"))), "classes")
 
+    total, dim = classes.agg(F.count("*"), F.max(F.size("v"))).first()
+    block = block or max(64, NUMBERS // (dim or 1))
+    sent = sent or SENT * block
     sizes = classes.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("c").alias("h"), "v")).alias("first"))
-    total = classes.count()
-    block = max(block, -(-total // PIVOTS))
     large = {r.key: (r.n, r.v) for r in sizes.where(F.col("n") > block).select("key", "n", "first.v").collect()}  # at most total / block
     pivots = {k: [v] for k, (_, v) in large.items()}
     if large:
         counts = spark.createDataFrame([(k, n) for k, (n, _) in large.items()], "key string, n long")
-        sample = classes.join(F.broadcast(counts), "key").where(F.pmod(F.xxhash64("c"), F.lit(1 << 30)) < F.lit((1 << 30) // block))
-        for r in sample.select("key", "v").toLocalIterator():  # about total / block
+        sample = classes.join(F.broadcast(counts), "key").where(F.pmod(F.xxhash64("c"), F.lit(1 << 30)) < F.lit((1 << 30) // max(block, total // PIVOTS)))
+        for r in sample.select("key", "v").toLocalIterator():  # about total / block, PIVOTS at most
             pivots[r.key].append(r.v)
     unit = lambda x: x / np.sqrt((x**2).sum(-1, keepdims=True))
     pivots = {k: unit(np.unique(np.array(p), axis=0)) for k, p in pivots.items()}
