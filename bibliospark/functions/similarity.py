@@ -46,7 +46,13 @@ def word_jaccard(a: Column, b: Column) -> Column:
     from .text import split_words
 
     x, y = F.array_distinct(split_words(F.lower(a))), F.array_distinct(split_words(F.lower(b)))
-    return F.when(F.lower(a) == F.lower(b), 1.0).when((F.size(x) == 0) | (F.size(y) == 0), 0.0).otherwise(F.size(F.array_intersect(x, y)) / F.size(F.array_union(x, y)))
+    return F.when(F.lower(a) == F.lower(b), 1.0).otherwise(jaccard(x, y))
+
+
+def jaccard(x: Column, y: Column) -> Column:
+    """Of arrays of distinct values; 0 when either is empty."""
+    both = F.size(F.array_intersect(x, y))
+    return F.when((F.size(x) == 0) | (F.size(y) == 0), 0.0).otherwise(both / (F.size(x) + F.size(y) - both))
 
 
 def author_overlap(a: Column, b: Column) -> Column:

@@ -62,7 +62,7 @@ def context(text: Column, start: Column, end: Column, n: int = 150) -> Column:
 
 
 def keywords(c: Column) -> Column:
-    found = F.regexp_extract_all(F.lower(c), F.lit(r"\b[a-z]{3,}\b"), F.lit(0))
+    found = F.regexp_extract_all(F.lower(c), F.lit(r"(?<![\p{L}\p{N}_])[a-z]{3,}(?![\p{L}\p{N}_])"), F.lit(0))
     return F.array_except(F.array_distinct(found), F.array(*map(F.lit, STOP_WORDS)))
 
 

@@ -32,7 +32,7 @@ SELECT doc_id, k, copy, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY k,
   CAST(1 + k % 60 AS STRING) AS volume, CASE WHEN k % 3 = 0 THEN NULL ELSE CAST(1 + k % 12 AS STRING) END AS issue, CAST(1 + k % 12 AS STRING) AS full_issue,
   CAST(1 + k % 500 AS STRING) || '-' || CAST(9 + k % 500 AS STRING) AS full_pages,
   CASE WHEN k % 5 = 0 THEN NULL ELSE CAST(1 + k % 500 AS STRING) || '-' || CAST(9 + k % 500 AS STRING) END AS pages,
-  CASE WHEN k % 2 = 0 THEN '10.1000/x' || CAST(k % 1000 AS STRING) END AS doi
+  CASE WHEN k % 2 = 0 THEN '10.1000/x' || CAST(k AS STRING) END AS doi
 FROM (SELECT b.*, 0 AS copy FROM ({_BASE}) b WHERE b.k % 11 <> 0 UNION ALL SELECT b.*, 1 AS copy FROM ({_BASE}) b WHERE b.k % 11 <> 0 AND b.k % 19 = 0
   UNION ALL SELECT b.*, 2 AS copy FROM ({_BASE}) b WHERE b.k % 11 <> 0 AND b.k % 23 = 0) c"""
 
@@ -95,14 +95,18 @@ def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def works(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A table of works, one a part, each with a DOI of its own: every 41st has been retracted in one of four ways.
+    """A table of works, one a part that is ordered, each with a DOI of its own.
 
-    REFS writes k % 1000 into a reference's DOI, so a DOI that is given names one of the first thousand works.
+    Every 41st has been retracted in one of four ways; years are in print, online or issued, and every 43rd has none.
     """
-    base = _BASE.replace("i.doc_id, i.k", "DISTINCT i.k")
-    w = _run(spark, sf_dir, base)
+    from ..operators.works import item_year
+
+    w = _run(spark, sf_dir, _BASE.replace("i.doc_id, i.k", "DISTINCT i.k"))
     mark = F.floor(F.col("k") / 41) % 4
     bad = F.col("k") % 41 == 0
     title = F.concat(F.when(bad & (mark == 3), "RETRACTED: ").otherwise(""), F.upper(F.substring("words", 1, 1)), F.expr("substr(words, 2)"))
-    return w.select(F.concat(F.lit("10.1000/x"), F.col("k").cast("string")).alias("doi"), title.alias("title"), F.array(F.struct(F.concat("first1", F.lit(".")).alias("given"), F.col("last1").alias("family"))).alias("authors"), F.col("y").alias("year"),
+    dated = (F.col("k") % 43 != 0)
+    printed, online, issued = (F.when(dated & test, F.array(*parts)) for test, parts in ((F.col("k") % 3 == 0, (F.col("y"), F.lit(5))), (F.col("k") % 3 != 2, (F.col("y") + (F.col("k") % 3 == 0).cast("int"), F.lit(11))), (F.lit(True), (F.col("y") + (F.col("k") % 3 != 2).cast("int"),))))
+    author = F.struct(F.concat("first1", F.lit(".")).alias("given"), F.col("last1").alias("family"))
+    return w.select(F.concat(F.lit("10.1000/x"), F.col("k").cast("string")).alias("doi"), title.alias("title"), F.array(author).alias("authors"), item_year(printed, online, issued).alias("year"),
                     F.when(bad & (mark == 2), "retraction").otherwise("journal-article").alias("type"), F.when(bad & (mark == 0), F.array(F.lit("Retraction"))).alias("update_types"), F.when(bad & (mark == 1), F.lit("10.1000/notice")).alias("retracted_by"), F.when(bad, F.array(F.lit(2021), (1 + F.col("k") % 12).cast("int"))).alias("updated"))

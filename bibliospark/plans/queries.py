@@ -390,18 +390,39 @@ def library_leftovers(spark, sf_dir):
     return library.summary(imports.select("doc_id", F.lit("import").alias("side"), F.col("item").alias("ord"), "ref_id", "authors", "year", "title").unionByName(left.select("doc_id", F.lit("document").alias("side"), F.col("ref_ord").alias("ord"), "ref_id", "authors", "year", "title"))).select("doc_id", "side", "ord", "summary")
 
 
-@query()
+#: The works, as of corpus.works, and the best one of each (title, authors, year) that is asked for, every pair scored.
+_WORKS = """
+, works AS (SELECT DISTINCT k, '10.1000/x' || k AS doi, CASE WHEN k % 41 = 0 AND (k // 41) % 4 = 3 THEN 'RETRACTED: ' ELSE '' END || upper(substr(words, 1, 1)) || substr(words, 2) AS title, last1, first1 || '. ' || last1 AS who, CASE WHEN k % 43 <> 0 THEN y END AS wy FROM (""" + corpus._BASE.format(lineitem="lineitem", part="part") + """) w)"""
+_BEST = _WORKS + """
+, asked AS (SELECT doc_id, ref_ord, lower(title) AS t, CASE WHEN authors = '' THEN [] ELSE list_transform(string_split(lower(authors), '|'), lambda a: split_part(a, ',', 1)) END AS ra, year AS ry FROM refs WHERE doi IS NULL AND title <> ''),
+keys AS (SELECT t, ra, ry, list_distinct(string_split(t, ' ')) AS rw FROM asked GROUP BY ALL),
+told AS (SELECT doi, lower(title) AS wt, list_distinct(string_split(lower(title), ' ')) AS ww, [lower(last1)] AS wa, wy FROM works),
+parts AS (SELECT t, ra, ry, doi, CASE WHEN t = wt THEN 1.0::DOUBLE ELSE len(list_intersect(rw, ww)) / (len(rw) + len(ww) - len(list_intersect(rw, ww))) END * 0.5::DOUBLE AS pt,
+  CASE WHEN len(ra) > 0 THEN len(list_filter(ra, lambda a: list_contains(wa, a))) / greatest(len(ra), len(wa)) * 0.3::DOUBLE END AS pa, CASE WHEN ry - wy = 0 THEN 0.2::DOUBLE WHEN abs(ry - wy) <= 1 THEN 0.1::DOUBLE WHEN ry - wy IS NOT NULL THEN 0::DOUBLE END AS py FROM keys CROSS JOIN told),
+scores AS (SELECT t, ra, ry, doi, round((pt + coalesce(pa, 0) + coalesce(py, 0)) / (0.5::DOUBLE + CASE WHEN pa IS NULL THEN 0 ELSE 0.3::DOUBLE END + CASE WHEN py IS NULL THEN 0 ELSE 0.2::DOUBLE END), 6) AS score FROM parts),
+top AS (SELECT * FROM scores WHERE score >= 0.5 QUALIFY row_number() OVER (PARTITION BY t, ra, ry ORDER BY score DESC, doi) = 1),
+best AS (SELECT a.doc_id, a.ref_ord, p.doi, p.score FROM asked a JOIN top p ON a.t = p.t AND a.ra = p.ra AND a.ry IS NOT DISTINCT FROM p.ry)"""
+
+
+@query(_BEST + " SELECT doc_id, ref_ord, doi, score FROM best")
 def doi_best_match(spark, sf_dir):
     return lookup.best(corpus.refs(spark, sf_dir), corpus.works(spark, sf_dir))
 
 
-@query()
+@query(_BEST + " SELECT r.doc_id, r.ref_ord, coalesce(r.doi, b.doi) AS doi, 'https://doi.org/' || coalesce(r.doi, b.doi) AS doi_url FROM refs r LEFT JOIN best b ON r.doc_id = b.doc_id AND r.ref_ord = b.ref_ord")
 def doi_backfill(spark, sf_dir):
     return lookup.backfilled(corpus.refs(spark, sf_dir), corpus.works(spark, sf_dir)).select("doc_id", "ref_ord", "doi", "doi_url")
 
 
+@query(_BEST + """
+, both AS (SELECT doc_id, ref_ord, 'verified' AS how, CAST(1 AS DOUBLE) AS score, doi FROM refs WHERE doi IN (SELECT doi FROM works) UNION ALL SELECT doc_id, ref_ord, 'searched', score, doi FROM best)
+SELECT b.*, 'https://doi.org/' || b.doi AS doi_url, w.title, w.who AS authors, w.wy AS year FROM both b JOIN works w ON b.doi = w.doi""".replace("both", "found"))
+def doi_resolved(spark, sf_dir):
+    return lookup.resolved(corpus.refs(spark, sf_dir), corpus.works(spark, sf_dir)).withColumn("authors", F.array_join("authors", "|"))
+
+
 _RETRACT = """
-, w AS (SELECT '10.1000/x' || (p_partkey % 1000) AS doi, CASE WHEN p_partkey % 41 = 0 THEN CASE (p_partkey // 41) % 4 WHEN 0 THEN 'update' WHEN 1 THEN 'relation' WHEN 2 THEN 'type' ELSE 'title' END END AS method, '2021-' || lpad(CAST(1 + p_partkey % 12 AS VARCHAR), 2, '0') AS at FROM part WHERE p_partkey <= 1000 AND p_partkey IN (SELECT l_partkey FROM lineitem)),
+, w AS (SELECT '10.1000/x' || p_partkey AS doi, CASE WHEN p_partkey % 41 = 0 THEN CASE (p_partkey // 41) % 4 WHEN 0 THEN 'update' WHEN 1 THEN 'relation' WHEN 2 THEN 'type' ELSE 'title' END END AS method, '2021-' || lpad(CAST(1 + p_partkey % 12 AS VARCHAR), 2, '0') AS at FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem)),
 status AS (SELECT r.doc_id, r.ref_ord, r.doi, w.method IS NOT NULL AS is_retracted, w.method, CASE WHEN w.method IS NOT NULL THEN w.at END AS date, CASE WHEN w.doi IS NULL THEN 'DOI not found' END AS error FROM refs r LEFT JOIN w ON r.doi = w.doi WHERE r.doi IS NOT NULL)"""
 
 
@@ -446,7 +467,7 @@ _STOP = ", ".join(f"'{w}'" for w in tx.STOP_WORDS)
 
 
 @query(f"""
-WITH w AS (SELECT conv_id, turn, list_filter(list_distinct(regexp_extract_all(lower(text), '\\b[a-z]{{3,}}\\b')), lambda x: NOT list_contains([{_STOP}], x)) AS ws FROM conversations),
+WITH w AS (SELECT conv_id, turn, list_filter(list_distinct(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+')), lambda x: regexp_full_match(x, '[a-z]{{3,}}') AND NOT list_contains([{_STOP}], x)) AS ws FROM conversations),
 p AS (SELECT a.conv_id, a.turn, a.ws AS x, b.ws AS y, len(list_intersect(a.ws, b.ws)) AS hits FROM w a JOIN w b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1)
 SELECT conv_id, turn, CAST(CASE WHEN len(x) > 0 AND len(y) > 0 THEN round((hits / len(y) + least(hits / 3.0, 1.0)) / 2, 6) ELSE 0 END AS DOUBLE) AS overlap FROM p""", plain=True)
 def keyword_overlap(spark, sf_dir):
