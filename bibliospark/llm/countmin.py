@@ -89,3 +89,16 @@ class Repeated:
             bitmap = np.frombuffer(raw, np.uint8)
             out &= (bitmap[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
         return out
+
+
+def members(wanted: DataFrame) -> Repeated:
+    """A bitmap in which every text_key of the table is found; of a size set by their number, 2 * 2^26 bits at most."""
+    bits = bits_for(4 * wanted.count(), 26)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = distinct(batch.column("text_key").to_numpy().view(np.uint64))
+            if len(keys):
+                yield counted(keys, keys, bits)
+
+    return Repeated(wanted.sparkSession, wanted.select("text_key").mapInArrow(count, SCHEMA), bits, False)

@@ -223,7 +223,7 @@ class Join:
     def _texts(self, rows: DataFrame) -> DataFrame:
         """(row, text) of these rows. A bitmap of their text keys keeps other texts out of the shuffle."""
         wanted = stored(self.sets.select("row", "doc_id", "text_key").join(rows, "row", "left_semi"), "wanted")
-        asked = _bitmap(wanted)
+        asked = countmin.members(wanted)
 
         def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -307,7 +307,7 @@ def one_of_each(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> D
     kept = found.where("kept").select("doc_id", "text_key").distinct().withColumn("stays", F.lit(True))
     some = gone.join(kept.alias("k"), gone.doc_id.eqNullSafe(F.col("k.doc_id")) & (gone.text_key == F.col("k.text_key")), "left").select(gone.doc_id, gone.text_key, "gone", "stays")
     some = stored(some, "gone")
-    bitmap = _bitmap(some)
+    bitmap = countmin.members(some)
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -324,19 +324,6 @@ def one_of_each(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> D
     return out.unionByName(once.select(*docs.columns))
 
 
-def _bitmap(wanted: DataFrame) -> countmin.Repeated:
-    """A bitmap in which every text_key of the table is found; of a size set by their number, 2 * 2^26 bits at most."""
-    bits = countmin.bits_for(4 * wanted.count(), 26)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys = distinct(batch.column("text_key").to_numpy().view(np.uint64))
-            if len(keys):
-                yield countmin.counted(keys, keys, bits)
-
-    return countmin.Repeated(wanted.sparkSession, wanted.select("text_key").mapInArrow(count, countmin.SCHEMA), bits, False)
-
-
 SQL = r"""
 WITH RECURSIVE words AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
 sets AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]

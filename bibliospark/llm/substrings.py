@@ -3,7 +3,7 @@
 Pass 1: each task sketches how many documents hold each window of words (two rows of saturating counters); the
 sketches are merged by counter range, and only the bitmap of counters of two or more is kept. The sketch never
 underestimates, so a window in two documents is always estimated repeated. Pass 2: only windows estimated repeated
-are sent to be grouped exactly, by 96 hash bits; of the documents of one bundle that share a window, only the one
+are sent to be grouped exactly, by 80 hash bits made of 64-bit word hashes; of the documents of one bundle that share a window, only the one
 with the smallest identifier sends it, since the others are repeats already - so a window that a third of all
 documents hold costs one entry a bundle. Last, each document drops the words that its repeated windows cover.
 
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import countmin
-from .common import bundles, bytes_of, packed_gaps, small_batches, unpacked_gaps, window_hashes, word_hashes
+from .common import bundles, bytes_of, mixed, packed_gaps, small_batches, stored, unpacked_gaps, window_hashes, word_hashes
 
 
 class Windows:
@@ -41,7 +41,7 @@ class Windows:
         self.starts = (np.cumsum(counts) - counts).astype(np.int64)
         self.pos = inside - self.starts[self.doc]
         self.h1 = window_hashes(words, n)[inside]
-        self.h2 = window_hashes(words, n, 1)[inside].astype(np.uint32) if second else None
+        self.h2 = window_hashes(words, n, 1)[inside].astype(np.uint16) if second else None
         self.order = np.argsort(self.h1, kind="stable")
         h = self.h1[self.order]
         self.begins = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.empty(0, np.int64)
@@ -90,8 +90,8 @@ def repeated_windows(rows: DataFrame, n: int, most_bits: int, bundle_bytes: int)
                 for c, v in zip(out, (shard, h1, h2, doc, pos, ids, keys, windows)):
                     out[c].append(v)
 
-            if again.any():  # known here: goes with the others, past the grouping
-                put(int(w.h1[0] % np.uint64(shards)), *_known(w.doc[again], w.pos[again], w.ids, w.keys)[1:])
+            if again.any():  # known here: goes with the others, past the grouping, to a shard of the bundle's own
+                put(int(mixed(w.ids[:1].view(np.uint64) ^ w.keys[-1:].view(np.uint64))[0] % np.uint64(shards)), *_known(w.doc[again], w.pos[again], w.ids, w.keys)[1:])
             pick = np.flatnonzero(open_)
             shard = ((w.h1[pick] >> np.uint64(16)) % np.uint64(shards)).astype(np.int64)
             pick = pick[np.argsort(shard, kind="stable")]
@@ -111,7 +111,7 @@ def repeated_windows(rows: DataFrame, n: int, most_bits: int, bundle_bytes: int)
         table = table.filter(table["h1"].is_valid())
         if not len(table):
             return known
-        parts = {c: [np.frombuffer(b, t) for b in table[c].to_pylist()] for c, t in (("h1", "<u8"), ("h2", "<u4"), ("ids", "<i8"), ("keys", "<i8"))}
+        parts = {c: [np.frombuffer(b, t) for b in table[c].to_pylist()] for c, t in (("h1", "<u8"), ("h2", "<u2"), ("ids", "<i8"), ("keys", "<i8"))}
         starts, places = ([unpacked_gaps(b) for b in table[c].to_pylist()] for c in ("doc", "pos"))
         parts["doc"] = [np.searchsorted(s, p, "right") - 1 for s, p in zip(starts, places)]
         parts["pos"] = [p - s[d] for s, p, d in zip(starts, places, parts["doc"])]
@@ -141,6 +141,8 @@ def _known(doc: np.ndarray, pos: np.ndarray, ids: np.ndarray, keys: np.ndarray)
 
 
 def _by_document(found: DataFrame) -> DataFrame:
+    """(doc_id, text_key, windows), several rows a document."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for ids, keys, windows in zip(*(batch.column(c).to_pylist() for c in ("ids", "keys", "windows"))):
@@ -150,7 +152,7 @@ def _by_document(found: DataFrame) -> DataFrame:
                     blobs = [windows[i:j] for i, j in zip(np.append(4 * n, ends[:-1]), ends)]
                     yield pa.RecordBatch.from_pydict({"doc_id": np.frombuffer(ids, "<i8"), "text_key": np.frombuffer(keys, "<i8"), "windows": blobs})
 
-    return found.mapInArrow(run, "doc_id long, text_key long, windows binary").groupBy("doc_id", "text_key").agg(F.collect_list("windows").alias("windows"))
+    return found.mapInArrow(run, "doc_id long, text_key long, windows binary")
 
 
 def remove_repeats(docs: DataFrame, n: int = 13, most_bits: int = 28, bundle_bytes: int = 3 << 20) -> DataFrame:
@@ -162,24 +164,38 @@ def remove_repeats(docs: DataFrame, n: int = 13, most_bits: int = 28, bundle_byt
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: dict[str, list] = {"doc_id": batch.column("doc_id"), "n_words": [], "n_removed": [], "text": []}
-            for text, windows in zip(bytes_of(batch.column("text")), batch.column("windows").to_pylist()):
-                words = text.split()
-                covered = np.zeros(len(words) + 1, np.int64)
-                for blob in windows or []:
-                    at = unpacked_gaps(blob)
-                    covered[at] += 1
-                    covered[at + n] -= 1
-                keep = np.cumsum(covered[:-1]) == 0
-                kept = [w for w, k in zip(words, keep.tolist()) if k]
+            found = batch.column("windows").to_pylist() if "windows" in batch.schema.names else [None] * batch.num_rows
+            for text, windows in zip(bytes_of(batch.column("text")), found):
+                words = kept = text.split()
+                if windows:
+                    covered = np.zeros(len(words) + 1, np.int64)
+                    for blob in windows:
+                        at = unpacked_gaps(blob)
+                        covered[at] += 1
+                        covered[at + n] -= 1
+                    keep = np.cumsum(covered[:-1]) == 0
+                    kept = [w for w, k in zip(words, keep.tolist()) if k]
                 out["n_words"].append(len(words))
                 out["n_removed"].append(len(words) - len(kept))
                 out["text"].append(b" ".join(kept).decode("utf-8", "replace"))
             yield pa.RecordBatch.from_pydict(out, pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("text", pa.string())]))
 
-    found = _by_document(repeated_windows(rows, n, most_bits, bundle_bytes)).alias("f")
-    r = rows.alias("r")
-    joined = r.join(found, (F.col("r.doc_id") == F.col("f.doc_id")) & (F.col("r.text_key") == F.col("f.text_key")), "left").select("r.doc_id", "r.text", "f.windows")
-    return joined.mapInArrow(cut, "doc_id long, n_words long, n_removed long, text string")
+    found = stored(_by_document(repeated_windows(rows, n, most_bits, bundle_bytes)), "repeats")
+    held = countmin.members(found)
+
+    def marked(wanted: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield batch.filter(pa.array(held.of(batch.column("text_key").to_numpy().view(np.uint64)) == wanted))
+
+        return run
+
+    schema = "doc_id long, n_words long, n_removed long, text string"
+    whole = rows.mapInArrow(lambda batches: cut(marked(False)(batches)), schema)
+    r = rows.mapInArrow(marked(True), rows.schema).alias("r")
+    f = found.groupBy("doc_id", "text_key").agg(F.collect_list("windows").alias("windows")).alias("f")
+    joined = r.join(f, (F.col("r.doc_id") == F.col("f.doc_id")) & (F.col("r.text_key") == F.col("f.text_key")), "left").select("r.doc_id", "r.text", "f.windows")
+    return whole.unionAll(joined.mapInArrow(cut, schema))
 
 
 SQL = r"""
