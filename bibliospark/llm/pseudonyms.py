@@ -5,12 +5,14 @@ dates only when they are valid (calendar day, number ranges, mod-97 and Luhn che
 are cut in two halves that are shifted in turn by a keyed hash of the other half - letters among letters, digits among
 digits - or, where the valid values are a range, the value's number is split by mixed radix and permuted the same
 way. Check digits are computed anew. Both are permutations, so different values stay different, and the same value
-gets the same pseudonym in every document, however it is punctuated.
+gets the same pseudonym in every document, however it is punctuated and, in e-mail addresses and IBANs, capitalised. A
+phone's country code stays; a number without one is taken as a national number, a trunk zero is a digit of its own.
 
 A number, an expiry date or a word beside a value does not hide it: a run of digit groups is searched for the cards in
 it (any sub-run of 13 to 19 digits between group borders with right check digits, usual groupings first, then longer
 ones), IBANs have the length of their country, phones of +1 and +7 eleven digits. Phones of other countries have no known
-length and take a number of two to four digits that follows.
+length and take a number of two to four digits that follows. The key stands in the plan as a value: plans and event logs
+are as secret as the key.
 
 Defined cases: null text stays null; empty text and invalid numbers stay as they are; repeated rows get equal
 results; e-mail domains, country codes and the first digit of cards are kept.
@@ -27,6 +29,8 @@ _LENGTHS = {15: "NO", 16: "BE", 18: "DK|FI|FK|FO|GL|NL|SD", 19: "MK|SI", 20: "AT
             24: "AD|CZ|ES|MD|PK|RO|SA|SE|SK|TN|VG", 25: "LY|PT|ST", 26: "IS|TR", 27: "BI|DJ|FR|GR|IT|MC|MR|SM", 28: "AL|AZ|BY|CY|DO|GT|HN|HU|LB|NI|PL|SV", 29: "BR|EG|PS|QA|UA", 30: "JO|KW|MU|YE", 31: "MT|SC", 32: "LC", 33: "RU"}
 _COUNTRIES = "|".join(_LENGTHS.values())
 _IBANS = "|".join(rf"(?:{names})[0-9]{{2}}(?: ?[A-Z0-9]){{{n - 4}}}(?![A-Za-z0-9])" for n, names in _LENGTHS.items())
+# Country codes of two digits; those of 1 and 7 have one digit, others three.
+TWO_DIGIT_CODES = "20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split()
 #: A run of digit groups ends before a group that begins a date, an address or a number with points.
 _NEXT = r"[./][0-9]{1,2}[./][0-9]{4}|(?:\.[0-9]{1,3}){3}|\.[0-9]{3}[.-][0-9]{4}|[A-Za-z0-9._%+-]*+@[A-Za-z0-9]"
 #: Not after more than 15 digits of a phone (Java asks for a pattern whose longest match is plain to see).
@@ -34,7 +38,7 @@ _LONG = "".join(rf"(?<!\+{'[ .()-]{0,2}[0-9]' * n})" for n in range(16, 24))
 #: Candidates by kind; the first that matches at a place is taken.
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9])",
-    "iban": rf"(?<![A-Za-z0-9])(?:{_IBANS}|[A-Z]{{2}}[0-9]{{2}}(?:(?: (?!(?:{_COUNTRIES})[0-9]{{2}}))?[A-Z0-9]{{4}}){{2,7}}(?: ?[A-Z0-9]{{1,3}})?(?![A-Za-z0-9]))",
+    "iban": rf"(?<![A-Za-z0-9])(?:(?i:{_IBANS})|[A-Z]{{2}}[0-9]{{2}}(?:(?: (?!(?:{_COUNTRIES})[0-9]{{2}}))?[A-Z0-9]{{4}}){{2,7}}(?: ?[A-Z0-9]{{1,3}})?(?![A-Za-z0-9]))",
     "ip": rf"(?<![0-9.])(?:{_OCTET}\.){{3}}{_OCTET}(?![0-9]|\.[0-9])",
     "iso_date": r"(?<![0-9./-])[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9]|[./-][0-9])",
     "date": r"(?<![0-9./-])[0-9]{1,2}([./])[0-9]{1,2}\1[0-9]{4}(?![0-9]|[./-][0-9])",
@@ -141,25 +145,33 @@ def _card(m: Column, key: str) -> Column:
 
 
 def _phone(m: Column, key: str) -> Column:
-    head = F.regexp_extract(m, r"^(\+[0-9]{1,3}[ .-]|\+[0-9]{1,3}(?=\()|\+[0-9])?", 0)
-    rest = F.substr(m, F.length(head) + 1, F.length(m))
-    count = F.length(_only(m, "0-9"))
-    return F.when(count.between(8, 15), F.concat(head, _put(rest, "0-9", permuted_text(_only(rest, "0-9"), key, "phone"))))
+    """The country code stays; the national number is permuted as digits, so that its punctuation does not matter."""
+    digits = _only(m, "0-9")
+    code = F.when(~F.startswith(m, F.lit("+")), 0).when(digits.rlike("^[17]"), 1).when(F.substring(digits, 1, 2).isin(*TWO_DIGIT_CODES), 2).otherwise(3)
+    new = F.concat(F.substr(digits, F.lit(1), code), permuted_text(F.substr(digits, code + 1, F.length(digits)), key, "phone"))
+    return F.when(F.length(digits).between(8, 15), _put(m, "0-9", new))
+
+
+def _cased(new: Column, form: Column) -> Column:
+    """The text with the form's capitals and small letters."""
+    return F.array_join(F.zip_with(_letters(new), _letters(form), lambda n, c: F.when(c.between("a", "z"), F.lower(n)).when(c.between("A", "Z"), F.upper(n)).otherwise(n)), "")
 
 
 def _email(m: Column, key: str) -> Column:
+    """The local part is permuted in small letters and gets its capitals back."""
     local = F.substring_index(m, "@", 1)
-    return F.concat(_put(local, "A-Za-z0-9", permuted_text(_only(local, "A-Za-z0-9"), key, "email")), F.substr(m, F.length(local) + 1, F.length(m)))
+    new = _put(F.lower(local), "a-z0-9", permuted_text(_only(F.lower(local), "a-z0-9"), key, "email"))
+    return F.concat(_cased(new, local), F.substr(m, F.length(local) + 1, F.length(m)))
 
 
 def _iban(m: Column, key: str) -> Column:
-    plain = _only(m, "A-Z0-9")
+    plain = _only(F.upper(m), "A-Z0-9")
     country = F.substring(plain, 1, 2)
     body = F.substr(plain, F.lit(5), F.length(plain))
     valid = (_mod97(F.concat(body, F.substring(plain, 1, 4))) == 1) & F.length(plain).between(15, 34)
     new = permuted_text(body, key, "iban")
     check = F.lpad((F.lit(98) - _mod97(F.concat(new, country, F.lit("00")))).cast("string"), 2, "0")
-    return F.when(valid, _put(m, "A-Z0-9", F.concat(country, check, new)))
+    return F.when(valid, _cased(_put(F.upper(m), "A-Z0-9", F.concat(country, check, new)), m))
 
 
 def _ip(m: Column, key: str) -> Column:
@@ -208,7 +220,7 @@ _MAKERS = {"email": _email, "iban": _iban, "ip": _ip, "iso_date": _iso_date, "da
 
 def _kind(m: Column) -> Column:
     """What a candidate is, told by its form."""
-    forms = {"email": "@", "iban": "^[A-Z]", "ip": r"^[0-9]{1,3}(\.[0-9]{1,3}){3}$", "iso_date": "^[0-9]{4}-[0-9]{2}-[0-9]{2}$",
+    forms = {"email": "@", "iban": "^[A-Za-z]{2}[0-9]", "ip": r"^[0-9]{1,3}(\.[0-9]{1,3}){3}$", "iso_date": "^[0-9]{4}-[0-9]{2}-[0-9]{2}$",
              "date": r"^[0-9]{1,2}[./][0-9]{1,2}[./][0-9]{4}$", "ssn": "^[0-9]{3}-[0-9]{2}-[0-9]{4}$",
              "phone": r"^(\+.*|\([0-9]{3}\).*|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4})$"}
     out = F
@@ -282,13 +294,14 @@ def pieces(m: Column, key: str) -> Column:
     cuts = F.array(m, F.regexp_replace(m, " [A-Z0-9]+$", ""), F.regexp_replace(m, " [A-Z0-9]+ [A-Z0-9]+$", ""))
     iban = F.get(F.filter(F.transform(cuts, lambda c: _piece(F.lit("iban"), _iban(c, key), c)), lambda c: c["new"].isNotNull()), F.lit(0))
     ibans = F.transform(F.array(iban), lambda c: F.when(c.isNotNull(), F.array(c, _plain(F.substr(m, F.length(c["old"]) + 1, F.length(m))))).otherwise(F.array(_plain(m))))[0]
-    return F.when(_kind(m) == "card", cards).when(_kind(m) == "iban", ibans).otherwise(whole)
+    kind = _kind(m)  # what is no IBAN may hold cards
+    return F.when((kind == "iban") & iban.isNotNull(), ibans).when(kind.isin("iban", "card"), cards).otherwise(whole)
 
 
 def pseudonymise(docs: DataFrame, key: str, column: str = "text") -> DataFrame:
     """The documents' columns, ``text`` with pseudonyms, and pii_found: an array of (kind, pseudonym) in order."""
     text = F.col(column).cast("string")
-    found = F.when(text.rlike(ANY), F.regexp_extract_all(text, F.lit(ANY), F.lit(0)))
+    found = F.when(text.rlike("[0-9@]"), F.regexp_extract_all(text, F.lit(ANY), F.lit(0)))
     held = docs.withColumn("_candidates", found)
     made = F.transform("_candidates", lambda m: pieces(m, key))
     held = held.withColumn("_made", made)

@@ -384,6 +384,16 @@ def test_pseudonyms_of_values_beside_numbers_and_words(spark, text, value, rest)
     assert rest is None and len(found) == 2 or out.text in [rest.replace("@", v.pseudonym) for v in out.pii_found] and re.search(value, out.text)
 
 
+@pytest.mark.parametrize("forms", [("+4930123456", "+49 30 123456", "+49-30-123456"), ("+12125550123", "+1 (212) 555-0123", "(212) 555-0123", "212.555.0123"), ("John@x.com", "john@x.com", "JOHN@X.COM"), ("AT61 1904 3002 3457 3201", "AT611904300234573201", "at61 1904 3002 3457 3201")])
+def test_equal_values_stay_linked(spark, forms):
+    rows = pseudonyms.pseudonymise(make(spark, [(i, f"x {f} EUR 500") for i, f in enumerate(forms)]), "key").orderBy("doc_id").collect()
+    new = [r.pii_found[0].pseudonym for r in rows]
+    plain = {re.sub(r"[^a-z0-9@]", "", v.lower())[-10 if forms[0] == "+12125550123" else 0 :] for v in new}
+    assert len(plain) == 1 and all(n.lower() != f.lower() for n, f in zip(new, forms))
+    assert [re.sub("[0-9]", "9", re.sub("[a-z]", "a", re.sub("[A-Z]", "A", n))) for n in new] == [re.sub("[0-9]", "9", re.sub("[a-z]", "a", re.sub("[A-Z]", "A", f))) for f in forms]
+    assert [r.text for r in rows] == [f"x {n} EUR 500" for n in new] and (forms[0][:3] != "+49" or all(n.startswith("+49") for n in new))
+
+
 def test_op2_changes_only_what_it_found(spark, sf_dir):
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
     for r in queries.op2_pseudonyms(spark, sf_dir).collect():
