@@ -26,16 +26,45 @@ BASE = {
     "cc by": "cc-by",
     "mit license": "mit",
 }
-#: Templates by label, in the markup above; public license notices (fixed values).
+#: Templates by label, in the markup above; public license texts and notices (fixed values).
 TEMPLATES = {
     "gpl-notice": "<<optional>> this work is <<end>> licensed under the gnu general public license <<optional>> version <<var 1 2>> <<end>>",
     "gpl-or-later": "under the terms of the gnu general public license as published by the free software foundation either version <<var 1 2>> of the license or <<optional>> at your option <<end>> any later version",
+    "gpl-header": """<<optional>> this program is free software you can redistribute it and or modify it <<end>> under the terms of the gnu general public license as published by
+        the free software foundation either version <<var 1 2>> of the license or <<optional>> at your option <<end>> any later version this program is distributed in the hope that it will be useful
+        but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license for more details""",
+    "lgpl-header": """under the terms of the gnu lesser general public license as published by the free software foundation either version <<var 1 2>> of the license or
+        <<optional>> at your option <<end>> any later version""",
+    "mpl-2.0-header": """this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at
+        <<optional>> <<var 1 1>> <<end>> mozilla org mpl 2 0""",
     "apache-2.0-notice": "licensed under the apache license version 2 <<optional>> 0 <<end>> <<optional>> the license <<end>>",
+    "apache-2.0-header": """licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at
+        <<optional>> <<var 1 9>> <<end>> unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or
+        conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license""",
     "cc-by-nc-notice": "licensed under cc by nc <<optional>> <<var 1 1>> 0 <<end>>",
     "mit-notice": "<<optional>> released <<end>> under the mit license",
-    "mit-text": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files <<optional>> the software <<end>> to deal in <<var 1 2>> software without restriction",
-    "bsd-text": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
-    "isc-text": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
+    "mit-grant": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files <<optional>> the software <<end>> to deal in <<var 1 2>> software without restriction",
+    "mit-text": """permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files <<optional>> the software <<end>> to deal in
+        <<var 1 2>> software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit
+        persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice
+        <<optional>> including the next paragraph <<end>> shall be included in all copies or substantial portions of the software the software is provided as is without warranty of any kind
+        express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall <<var 1 9>> be liable for any
+        claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software""",
+    "bsd-grant": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
+    "bsd-2-text": """redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met <<optional>> 1 <<end>>
+        redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer <<optional>> 2 <<end>> redistributions in binary form must
+        reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution this software is
+        provided by <<var 1 9>> as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed""",
+    "bsd-3-text": """redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met <<optional>> 1 <<end>>
+        redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer <<optional>> 2 <<end>> redistributions in binary form must
+        reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution <<optional>> 3 <<end>>
+        neither the name of <<var 1 12>> may be used to endorse or promote products derived from this software without specific prior written permission this software is provided by
+        <<var 1 9>> as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed""",
+    "isc-grant": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
+    "isc-text": """permission to use copy modify <<optional>> and or <<end>> <<optional>> and <<end>> distribute this software for any purpose with or without fee is hereby granted provided that the above
+        copyright notice and this permission notice appear in all copies the software is provided as is and <<var 1 4>> disclaims all warranties with regard to this software including all implied
+        warranties of merchantability and fitness in no event shall <<var 1 4>> be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of
+        use data or profits whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software""",
 }
 #: Every byte that is no word character, as a blank; A-Z lower-cased first.
 _WORDS = bytes(b if chr(b).isdigit() or 97 <= b <= 122 or b >= 128 else 32 for b in range(128)) + bytes(range(128, 256))
@@ -109,10 +138,11 @@ def scanner(base: dict[str, str], templates: dict[str, str]):
     automata = [(label, Automaton(t)) for label, t in templates.items()]
 
     def places(joined: bytes, needle: bytes) -> list[int]:
-        out, at = [], joined.find(needle)
+        out, at, counted, number = [], joined.find(needle), 0, 0
         while at >= 0:
-            out.append(joined.count(b" ", 0, at))
-            at = joined.find(needle, at + 1)
+            number += joined.count(b" ", counted, at)
+            out.append(number)
+            counted, at = at, joined.find(needle, at + 1)
         return out
 
     def scan(text: bytes):

@@ -313,6 +313,49 @@ def test_automaton_optional(text, accepted):
     assert any(a.longest(words, i) > 0 for i in range(len(words))) == accepted
 
 
+def as_pattern(template):
+    """The template as a regular expression over words that a blank precedes."""
+    out = ""
+    for mark, lo, hi, word in re.findall(r"<<(optional|end|var)(?: (\d+) (\d+))?>>|(\S+)", template):
+        out += {"optional": "(?:", "end": ")?", "var": rf"(?: \S+){{{lo},{hi}}}", "": " " + re.escape(word)}[mark]
+    return re.compile(out + r"(?= |$)")
+
+
+def test_templates_against_regular_expressions():
+    rng = np.random.default_rng(11)
+    patterns = {label: as_pattern(t) for label, t in licenses.TEMPLATES.items()}
+    scan = licenses.scanner(licenses.BASE, licenses.TEMPLATES)
+    seen = set()
+    for template in licenses.TEMPLATES.values():
+        for _ in range(40):
+            words, skip = [], False
+            for mark, lo, hi, word in re.findall(r"<<(optional|end|var)(?: (\d+) (\d+))?>>|(\S+)", template):
+                if mark == "optional":
+                    skip = rng.random() < 0.5
+                elif mark == "end":
+                    skip = False
+                elif not skip:
+                    words += [word] if word else ["any"] * int(rng.integers(int(lo), int(hi) + 2))
+            kind = rng.integers(4)
+            if kind == 1:
+                words[int(rng.integers(len(words)))] = "other"
+            elif kind == 2:
+                del words[int(rng.integers(len(words)))]
+            words = ["x"] * int(rng.integers(3)) + words + ["y"] * int(rng.integers(3))
+            text = " ".join(words)
+            labels = {label for label, p in patterns.items() if p.search(" " + text)}
+            assert scan(text.encode())[3] - scan(text.encode())[2] == labels, text
+            seen |= labels
+    assert seen == set(patterns)
+
+
+def test_many_hits_take_time_in_proportion():
+    import time
+
+    scan, begin = licenses.scanner(licenses.BASE, licenses.TEMPLATES), time.process_time()
+    assert len(scan(b"mit license " * 80_000)[1]) == 80_000 and time.process_time() - begin < 5
+
+
 def test_automaton_replaceable():
     a = licenses.Automaton("to <<var 1 2>> without limit")
     assert a.longest(b"to one without limit".split(), 0) == 4 and a.longest(b"to one two without limit".split(), 0) == 5
