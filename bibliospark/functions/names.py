@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from .text import fold, fold_dashes, split_words, strip
+from .text import fold, fold_dashes, let, split_words, strip
 
-NONE = F.lit
+# A last name with particles and the initials after a comma.
+PAIR = r"([A-Z][a-zA-Z'-]+(?:\s+[a-z]+)?(?:\s+[A-Z][a-zA-Z'-]+)*),\s*([A-Z]\.?\s*(?:[A-Z]\.?\s*)*)"
 
 
 def trimmed(parts: Column) -> Column:
@@ -21,11 +22,10 @@ def make_ref_id(author: Column, year: Column) -> Column:
 
 def initials_pairs(text: Column) -> Column:
     """"Last, Initials" pairs of each part between ampersands."""
-    pair = r"([A-Z][a-zA-Z'-]+(?:\s+[a-z]+)?(?:\s+[A-Z][a-zA-Z'-]+)*),\s*([A-Z]\.?\s*(?:[A-Z]\.?\s*)*)"
     parts = F.filter(F.transform(F.split(F.regexp_replace(strip(text), "[,.]+$", ""), r"\s*&\s*"), lambda p: F.regexp_replace(strip(p), ",+$", "")), lambda p: p != "")
 
     def pairs(p: Column) -> Column:
-        last, first = F.regexp_extract_all(p, F.lit(pair), F.lit(1)), F.regexp_extract_all(p, F.lit(pair), F.lit(2))
+        last, first = F.regexp_extract_all(p, F.lit(PAIR), F.lit(1)), F.regexp_extract_all(p, F.lit(PAIR), F.lit(2))
         return F.zip_with(last, first, lambda x, y: F.concat(x, F.lit(", "), strip(y)))
 
     return F.flatten(F.transform(parts, pairs))
@@ -33,11 +33,12 @@ def initials_pairs(text: Column) -> Column:
 
 def author_list(text: Column) -> Column:
     """Names of an author string: "Last, Initials" pairs, else at ampersands, else at "and", else at commas."""
-    text = F.regexp_replace(strip(text), ",+$", "")
-    pairs = initials_pairs(text)
-    commas = F.length(text) - F.length(F.replace(text, F.lit(","), F.lit("")))
-    parts = F.when(F.contains(text, F.lit(" & ")), F.split(text, " & ")).when(F.lower(text).contains(" and "), F.split(text, r"(?i)\s+and\s+")).when(F.contains(text, F.lit(", ")) & (commas > 1), F.split(text, ", ")).otherwise(F.array(text))
-    return F.when(F.size(pairs) > 0, pairs).otherwise(trimmed(parts))
+    def within(text: Column) -> Column:
+        commas = F.length(text) - F.length(F.replace(text, F.lit(","), F.lit("")))
+        parts = F.when(F.contains(text, F.lit(" & ")), F.split(text, " & ")).when(F.lower(text).contains(" and "), F.split(text, r"(?i)\s+and\s+")).when(F.contains(text, F.lit(", ")) & (commas > 1), F.split(text, ", ")).otherwise(F.array(text))
+        return let(initials_pairs(text), lambda pairs: F.when(F.size(pairs) > 0, pairs).otherwise(trimmed(parts)))
+
+    return let(F.regexp_replace(strip(text), ",+$", ""), within)
 
 
 def comma_list(text: Column) -> Column:

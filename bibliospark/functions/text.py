@@ -16,6 +16,11 @@ during through
 """.split()
 
 
+def let(value: Column, body) -> Column:
+    """body(value), the value evaluated once however often the body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def filled(c: Column) -> Column:
     """Neither null nor empty: the reference model treats both as absent."""
     return F.coalesce(c != "", F.lit(False))
@@ -121,8 +126,6 @@ def percent_text(c: Column) -> Column:
 
 def spans(text: Column, pattern: str) -> Column:
     """All matches as structs (s, e, m): 0-based start, end after the last character, text; from the gaps between them."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    pairs = F.zip_with(F.split(text, pattern, -1), found, lambda gap, m: F.struct(gap.alias("gap"), m.alias("m")))
     empty = F.array().cast("array<struct<s:int,e:int,m:string>>")
     start = F.struct(F.lit(0).alias("at"), empty.alias("out"))
 
@@ -132,4 +135,8 @@ def spans(text: Column, pattern: str) -> Column:
         one = F.when(p["m"].isNotNull(), F.array(F.struct(s.alias("s"), e.alias("e"), p["m"].alias("m")))).otherwise(empty)
         return F.struct(e.alias("at"), F.concat(acc["out"], one).alias("out"))
 
-    return F.when(F.size(found) > 0, F.aggregate(pairs, start, step, lambda a: a["out"])).otherwise(empty)
+    def within(found: Column) -> Column:
+        pairs = F.zip_with(F.split(text, pattern, -1), found, lambda gap, m: F.struct(gap.alias("gap"), m.alias("m")))
+        return F.when(F.size(found) > 0, F.aggregate(pairs, start, step, lambda a: a["out"])).otherwise(empty)
+
+    return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), within)
