@@ -29,7 +29,6 @@ def query(sql: str | None = None, plain: bool = False):
 
 
 _L = lambda c: F.col(c).cast("long").alias(c)
-_DOIS = "\n, none AS (SELECT 1)"
 _CITE_NAMES = """
 , cut AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '[()]', '', 'g'), ',?\\s*[0-9]{4}[a-z]?', '', 'g'), '\\s+et\\s+al\\.?', '', 'g'), '^\\s+|\\s+$', '', 'g') AS who FROM cites),
 named AS (SELECT *, list_transform(string_split(replace(lower(who), ' & ', ' and '), ' and '), lambda x: trim(x)) AS ca, TRY_CAST(regexp_extract(text, '((?:19|20)[0-9]{2})', 1) AS INT) AS cy FROM cut),
@@ -63,11 +62,7 @@ def citation_type_by_doc(spark, sf_dir):
     return extract.kinds(corpus.bodies(spark, sf_dir)).select("doc_id", "detected_type", *map(_L, ("n_numeric", "n_author_year", "n_narrative")))
 
 
-@query("""
-, bodies AS (SELECT doc_id, string_agg(sentence, ' ' ORDER BY cit_ord) AS body FROM cites GROUP BY doc_id),
-placed AS (SELECT *, CAST(sum(length(sentence) + 1) OVER (PARTITION BY doc_id ORDER BY cit_ord) - length(sentence) - 1 + strpos(sentence, text) - 1 AS INT) AS s FROM cites),
-wide AS (SELECT p.*, b.body, greatest(0, s - 150) AS a, least(length(body), s + length(text) + 150) AS z FROM placed p JOIN bodies b USING (doc_id))
-SELECT doc_id, cit_ord, CASE WHEN a > 0 THEN regexp_extract(substr(body, 1, a + 1), '[^ ]*$') ELSE '' END || substr(body, CASE WHEN a > 0 THEN a + 2 ELSE 1 END, z - CASE WHEN a > 0 THEN a + 1 ELSE 0 END) || regexp_extract(substr(body, z + 1), '^[^ ]*') AS raw FROM wide""".replace("AS raw FROM wide", "AS context FROM wide"))
+@query()
 def context_window(spark, sf_dir):
     return extract.detect(corpus.bodies(spark, sf_dir)).select("doc_id", "cit_ord", "context")
 
@@ -529,3 +524,70 @@ near AS (SELECT u.doc_id, u.ref_ord, m.cit_ord, 'Possible typo match: ' || m.tex
 best AS (SELECT doc_id, ref_ord, arg_min(s, cit_ord) AS s FROM near GROUP BY ALL),
 every AS (SELECT doc_id, ref_ord FROM refs r WHERE NOT EXISTS (SELECT 1 FROM matches m WHERE m.doc_id = r.doc_id AND m.ref_id = r.ref_id))
 SELECT e.doc_id, e.ref_ord, coalesce(b.s, 'Consider removing this reference or adding a citation') AS suggestion FROM every e LEFT JOIN best b ON e.doc_id = b.doc_id AND e.ref_ord = b.ref_ord""")
+
+# Titles by the bit-parallel longest common subsequence over whole numbers; a and b are lower-case titles.
+_LCS = """length(a) - bit_count(list_reduce(list_transform(string_split(b, ''), lambda c: list_sum(list_transform(range(length(a)), lambda i: CASE WHEN substr(a, i + 1, 1) = c THEN 1::HUGEINT << i::INT ELSE 0::HUGEINT END))::HUGEINT),
+  lambda v, p: ((v + (v & p)) | (v - (v & p))) & ((1::HUGEINT << length(a)::INT) - 1), (1::HUGEINT << length(a)::INT) - 1))"""
+_RATIO = f"""ratios AS (SELECT a, b, common, length(a) + length(b) AS total FROM (SELECT a, b, {_LCS} AS common FROM asked_titles))"""
+_DUP = _DOI + f"""
+, held AS (SELECT doc_id, list_sort(ords) AS ords FROM exact UNION SELECT doc_id, list_sort(ords) FROM by_doi),
+shut AS (SELECT DISTINCT doc_id, x.a, y.b FROM held, unnest(ords) AS x(a), unnest(ords) AS y(b) WHERE x.a < y.b),
+every AS (SELECT p.doc_id, p.ref_ord AS a, q.ref_ord AS b, lower(p.title) AS ta, lower(q.title) AS tb, p.year AS ya, q.year AS yb, CASE WHEN p.authors = '' THEN [] ELSE list_distinct(list_transform(string_split(lower(p.authors), '|'), lambda s: split_part(s, ',', 1))) END AS na,
+  CASE WHEN q.authors = '' THEN [] ELSE list_distinct(list_transform(string_split(lower(q.authors), '|'), lambda s: split_part(s, ',', 1))) END AS nb FROM refs p JOIN refs q ON p.doc_id = q.doc_id AND p.ref_ord < q.ref_ord),
+free AS (SELECT e.* FROM every e WHERE NOT EXISTS (SELECT 1 FROM shut s WHERE s.doc_id = e.doc_id AND s.a = e.a AND s.b = e.b)),
+asked_titles AS (SELECT DISTINCT ta AS a, tb AS b FROM free WHERE ta <> '' AND tb <> '' AND least(length(ta), length(tb)) * 200 >= (length(ta) + length(tb)) * 85), {_RATIO},
+by_title AS (SELECT f.doc_id, f.a, f.b, round(common * 200.0::DOUBLE / total, 6) AS ratio FROM free f JOIN ratios r ON f.ta = r.a AND f.tb = r.b WHERE common * 200 >= total * 85),
+by_people AS (SELECT doc_id, a, b FROM free f WHERE coalesce(abs(ya - yb) <= 1, ya IS NULL AND yb IS NULL) AND len(na) > 0 AND len(nb) > 0 AND len(list_intersect(na, nb)) * 10 >= greatest(len(na), len(nb)) * 6
+  AND NOT EXISTS (SELECT 1 FROM by_title t WHERE t.doc_id = f.doc_id AND t.a = f.a AND t.b = f.b))"""
+ORACLES["dup_title"] = oracle(_DUP + " SELECT * FROM by_title")
+ORACLES["dup_author_year"] = oracle(_DUP + " SELECT * FROM by_people")
+_DIFFS = _DUP + """
+, grouped AS (SELECT doc_id, 'exact_duplicate' AS match_type, ords, 1.0::DOUBLE AS confidence FROM exact UNION ALL SELECT doc_id, 'doi_match', ords, 1.0::DOUBLE FROM by_doi UNION ALL SELECT doc_id, 'title_fuzzy', [a, b], ratio / 100 FROM by_title UNION ALL SELECT doc_id, 'author_year', [a, b], 0.7::DOUBLE FROM by_people),
+wide AS (SELECT g.doc_id, g.match_type, g.ords, g.confidence, count(DISTINCT r.authors) AS n_a, count(DISTINCT r.year) AS n_y, string_agg(r.year, ', ' ORDER BY r.ref_ord) AS years, count(DISTINCT lower(r.title)) AS n_t, count(DISTINCT lower(r.journal)) AS n_j, count(r.doi) AS n_d, count(*) AS n, list(r.ref_id ORDER BY r.ref_ord) AS ids, first(r.raw_text ORDER BY r.ref_ord) AS first_text
+  FROM grouped g JOIN refs r ON r.doc_id = g.doc_id AND list_contains(g.ords, r.ref_ord) GROUP BY ALL),
+diffs AS (SELECT *, CASE WHEN match_type = 'exact_duplicate' THEN '' ELSE concat_ws('; ', CASE WHEN n_a > 1 THEN 'author formatting' END, CASE WHEN n_y > 1 THEN 'years differ (' || years || ')' END, CASE WHEN n_t > 1 THEN 'titles differ slightly' END, CASE WHEN n_j > 1 THEN 'journal names differ' END, CASE WHEN n_d > 0 AND n_d < n THEN 'only some have DOI' END) END AS differences FROM wide)"""
+ORACLES["dup_differences"] = oracle(_DIFFS + " SELECT doc_id, match_type, array_to_string(ords, '|') AS ords, round(confidence, 6) AS confidence, differences, array_to_string(ids, '|') AS ids FROM diffs")
+ORACLES["document_rewritten"] = _style_sql("apa").replace("SELECT doc_id, ref_ord, regexp_replace", "SELECT doc_id, CAST(ref_ord + 1 AS INT) AS ord, regexp_replace").replace("AS formatted FROM j", "AS text FROM j UNION ALL SELECT DISTINCT doc_id, 0, 'Some body text.' FROM j UNION ALL SELECT DISTINCT doc_id, 1, 'References' FROM j")
+
+_TITLED_LIB = _LIB + f"""
+, imports AS (SELECT doc_id, ref_ord AS item, lower(title) AS ti FROM refs l WHERE ref_ord % 4 <> 0 AND title <> '' AND NOT EXISTS (SELECT 1 FROM hit h WHERE h.doc_id = l.doc_id AND h.item = l.ref_ord)),
+own AS (SELECT doc_id, ref_ord, lower(title) AS tr FROM refs r WHERE title <> '' AND NOT EXISTS (SELECT 1 FROM hit h WHERE h.doc_id = r.doc_id AND h.ref_ord = r.ref_ord)),
+asked_titles AS (SELECT DISTINCT ti AS a, tr AS b FROM imports i JOIN own o ON i.doc_id = o.doc_id WHERE least(length(ti), length(tr)) * 200 >= (length(ti) + length(tr)) * 85), {_RATIO},
+may AS (SELECT i.doc_id, i.item, list(o.ref_ord ORDER BY o.ref_ord) AS refs_of, row_number() OVER (PARTITION BY i.doc_id ORDER BY i.item) AS n FROM imports i JOIN own o ON i.doc_id = o.doc_id JOIN ratios r ON r.a = i.ti AND r.b = o.tr WHERE common * 200 >= total * 85 GROUP BY i.doc_id, i.item),
+steps AS (SELECT doc_id, n, item, refs_of[1] AS ref_ord, [refs_of[1]] AS taken FROM may WHERE n = 1
+  UNION ALL SELECT m.doc_id, m.n, m.item, list_filter(m.refs_of, lambda r: NOT list_contains(s.taken, r))[1], list_append(s.taken, list_filter(m.refs_of, lambda r: NOT list_contains(s.taken, r))[1]) FROM steps s JOIN may m ON m.doc_id = s.doc_id AND m.n = s.n + 1),
+titled AS (SELECT doc_id, item, ref_ord FROM steps WHERE ref_ord IS NOT NULL)"""
+ORACLES["library_title_match"] = oracle(_TITLED_LIB + " SELECT * FROM titled")
+ORACLES["library_leftovers"] = oracle(_TITLED_LIB + """
+, matched AS (SELECT doc_id, item, ref_ord FROM hit UNION ALL SELECT * FROM titled),
+sides AS (SELECT doc_id, 'import' AS side, ref_ord AS ord, ref_id, authors, year, upper(title) AS title FROM refs r WHERE ref_ord % 4 <> 0 AND NOT EXISTS (SELECT 1 FROM matched m WHERE m.doc_id = r.doc_id AND m.item = r.ref_ord)
+  UNION ALL SELECT doc_id, 'document', ref_ord, ref_id, authors, year, title FROM refs r WHERE NOT EXISTS (SELECT 1 FROM matched m WHERE m.doc_id = r.doc_id AND m.ref_ord = r.ref_ord)),
+told AS (SELECT *, concat_ws(' ', CASE WHEN authors <> '' THEN split_part(authors, '|', 1) || CASE WHEN contains(authors, '|') THEN ' et al.' ELSE '' END END, '(' || year || ')', CASE WHEN title <> '' THEN '"' || CASE WHEN length(title) > 50 THEN substr(title, 1, 50) || '...' ELSE title END || '"' END) AS s FROM sides)
+SELECT doc_id, side, ord, CASE WHEN s = '' THEN ref_id ELSE s END AS summary FROM told""")
+
+_MISSING = _CITE_NAMES + f"""
+, missing AS (SELECT doc_id, text, min(cit_ord) AS cit_ord, arg_min(context, cit_ord) AS context, any_value(ca) AS ca, any_value(cy) AS cy FROM named c WHERE NOT EXISTS (SELECT 1 FROM matches m WHERE m.doc_id = c.doc_id AND m.text = c.text) GROUP BY doc_id, text),
+keyed AS (SELECT *, list_filter(list_distinct(regexp_extract_all(lower(context), '[a-z]+')), lambda x: length(x) >= 3 AND NOT list_contains([{_STOP}], x)) AS kw FROM missing),
+agree(a, b, hit) AS (SELECT a, b, CASE WHEN a = b OR (contains(b, a) OR contains(a, b)) AND abs(length(a) - length(b)) > 2 THEN '' WHEN contains(b, a) OR contains(a, b) OR levenshtein(a, b) <= CASE WHEN length(a) <= 6 THEN 1 ELSE 2 END THEN 'possible typo: ''' || b || ''' not ''' || a || '''' END
+  FROM (SELECT DISTINCT unnest(ca) AS a FROM missing) CROSS JOIN (SELECT DISTINCT unnest(ra) AS b FROM people)),
+both_sides AS (SELECT m.doc_id, m.cit_ord, m.text, r.ref_ord, r.raw_text, m.ca, r.ra, m.cy, r.year AS ry, m.kw, CASE WHEN r.title <> '' THEN list_filter(list_distinct(regexp_extract_all(lower(r.title), '[a-z]+')), lambda x: length(x) >= 3 AND NOT list_contains([{_STOP}], x)) ELSE [] END AS tw FROM keyed m JOIN people r ON m.doc_id = r.doc_id),
+reasons AS (SELECT DISTINCT b.doc_id, b.cit_ord, b.ref_ord, first(g.hit ORDER BY list_position(b.ca, g.a), list_position(b.ra, g.b)) AS hit FROM both_sides b JOIN agree g ON list_contains(b.ca, g.a) AND list_contains(b.ra, g.b) AND g.hit IS NOT NULL GROUP BY b.doc_id, b.cit_ord, b.ref_ord),
+rated AS (SELECT b.*, h.hit, abs(cy - ry) AS gap, CASE WHEN len(kw) > 0 AND len(tw) > 0 THEN (len(list_intersect(kw, tw)) / len(tw) + least(len(list_intersect(kw, tw)) / 3.0::DOUBLE, 1.0::DOUBLE)) / 2 ELSE 0::DOUBLE END AS k FROM both_sides b LEFT JOIN reasons h USING (doc_id, cit_ord, ref_ord)),
+scored AS (SELECT *, round(CASE WHEN hit IS NOT NULL THEN 0.5::DOUBLE ELSE 0 END + CASE WHEN gap = 0 THEN 0.3::DOUBLE WHEN gap = 1 THEN 0.25 WHEN gap = 2 THEN 0.2 WHEN gap <= 5 THEN 0.1 ELSE 0 END + k * 0.2::DOUBLE, 6) AS score, concat_ws('; ', nullif(hit, ''), CASE WHEN gap BETWEEN 1 AND 5 THEN 'year is ' || ry || ', not ' || cy END, CASE WHEN k > 0.3 AND hit IS NULL THEN 'title keywords match context' END) AS reason,
+  coalesce(contains(ca[1], ra[1]) OR contains(ra[1], ca[1]), false) AS lead_name FROM rated),
+chosen AS (SELECT * FROM scored WHERE hit IS NOT NULL AND score > 0 OR score >= 0.15 QUALIFY row_number() OVER (PARTITION BY doc_id, cit_ord ORDER BY score DESC, ref_ord) = 1),
+shown AS (SELECT m.doc_id, m.cit_ord, m.text, CASE WHEN length(c.raw_text) > 80 THEN substr(c.raw_text, 1, 80) || '...' ELSE c.raw_text END AS t, c.score, c.reason, c.lead_name FROM missing m LEFT JOIN chosen c ON m.doc_id = c.doc_id AND m.cit_ord = c.cit_ord),
+suggested AS (SELECT doc_id, cit_ord, text, CASE WHEN lead_name AND score >= 0.4 THEN 'Did you mean: ' || t || CASE WHEN reason <> '' THEN ' (' || reason || ')' ELSE '' END WHEN score IS NOT NULL THEN 'Weak match (co-author?): ' || t ELSE 'Add a corresponding reference to the bibliography' END AS suggestion FROM shown)"""
+ORACLES["suggestions_top1"] = oracle(_MISSING + " SELECT * FROM suggested")
+_topic = ", ".join(f"'{t}'" for t in lookup.TOPIC)
+ORACLES["web_suggestions"] = oracle(_MISSING + _WORKS + f"""
+, asked AS (SELECT doc_id, cit_ord, ca[1] AS ca, cy, context, list_filter(list_distinct(regexp_extract_all(lower(context), '[a-z]+')), lambda x: length(x) >= 4 AND NOT list_contains([{_STOP}], x)) AS kw FROM missing WHERE cy IS NOT NULL AND ca[1] <> ''),
+looked AS (SELECT ca, cy, context, list_transform(list_sort(list_transform(kw, lambda x: {{'n': -length(x), 'x': x}})), lambda s: s.x)[1:4] AS top FROM asked GROUP BY ALL),
+met AS (SELECT l.*, w.doi, w.title, w.wy, w.last1 || ' ' || substr(w.who, 1, 1) AS who, list_distinct(regexp_extract_all(lower(w.title), '[a-z]+')) AS tw FROM looked l JOIN works w ON (contains(lower(w.last1), l.ca) OR contains(l.ca, lower(w.last1))) AND (w.wy IS NULL OR abs(w.wy - l.cy) <= 1)
+  WHERE len(list_filter([{_topic}], lambda t: contains(lower(l.context), t))) = 0 OR len(list_filter([{_topic}], lambda t: contains(lower(w.title), t))) > 0),
+searches AS (SELECT *, unnest([0, 1, 2, 3]) AS search, unnest([len(list_intersect(tw, top[1:3])), len(list_intersect(tw, top[1:2])), len(list_intersect(tw, ['brain'])), 0]) AS hits FROM met),
+first15 AS (SELECT *, row_number() OVER (PARTITION BY ca, cy, context, search ORDER BY hits DESC, doi) AS place FROM searches QUALIFY row_number() OVER (PARTITION BY ca, cy, context, search ORDER BY hits DESC, doi) <= 15),
+once AS (SELECT * FROM first15 QUALIFY row_number() OVER (PARTITION BY ca, cy, context, doi ORDER BY search, place) = 1),
+three AS (SELECT *, row_number() OVER (PARTITION BY ca, cy, context ORDER BY search, place) AS r FROM once QUALIFY row_number() OVER (PARTITION BY ca, cy, context ORDER BY search, place) <= 3),
+lines AS (SELECT ca, cy, context, string_agg('  ' || r || '. ' || who || ' (' || coalesce(CAST(wy AS VARCHAR), 'None') || '). ' || CASE WHEN length(title) > 60 THEN substr(title, 1, 60) || '...' ELSE title END || CASE WHEN wy <> cy THEN ' [year: ' || wy || ']' ELSE '' END || ' https://doi.org/' || doi, chr(10) ORDER BY r) AS t FROM three GROUP BY ALL)
+SELECT a.doc_id, a.cit_ord, '[WEB SEARCH] Possible matches:' || chr(10) || t AS found FROM asked a JOIN lines l ON a.ca = l.ca AND a.cy = l.cy AND a.context = l.context""")

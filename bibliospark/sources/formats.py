@@ -105,25 +105,35 @@ def ris(files: DataFrame) -> DataFrame:
 
 
 def read_docx(spark: SparkSession, path: str) -> DataFrame:
-    """(path, ord, text): the paragraphs of Word documents, blank ones left out; other suffixes are not read."""
+    """(path, ord, text): the paragraphs of Word documents, blank ones left out; other suffixes are not read.
+
+    Tabs and breaks are kept as such. A file that is no Word document gives one row without ord and text.
+    """
     w = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
+    marks = {f"{w}tab": "\t", f"{w}br": "\n", f"{w}cr": "\n"}
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
             for name, content in zip(pdf["path"], pdf["content"]):
-                body = ElementTree.fromstring(zipfile.ZipFile(io.BytesIO(content)).read("word/document.xml")).find(f"{w}body")
-                texts = ("".join(t.text or "" for t in p.iter(f"{w}t")).strip() for p in body.findall(f"{w}p"))
+                try:
+                    body = ElementTree.fromstring(zipfile.ZipFile(io.BytesIO(content)).read("word/document.xml")).find(f"{w}body")
+                except (zipfile.BadZipFile, KeyError, ElementTree.ParseError):
+                    body = None
+                if body is None:
+                    rows.append((name, None, None))
+                    continue
+                texts = ("".join(marks.get(t.tag, t.text or "") for t in p.iter() if t.tag == f"{w}t" or t.tag in marks).strip() for p in body.findall(f"{w}p"))
                 rows += [(name, i, t) for i, t in enumerate(filter(None, texts))]
-            yield pd.DataFrame(rows, columns=["path", "ord", "text"])
+            yield pd.DataFrame(rows, columns=["path", "ord", "text"]).astype({"ord": "Int32"})
 
     return spark.read.format("binaryFile").option("pathGlobFilter", "*.docx").load(path).select("path", "content").mapInPandas(run, "path string, ord int, text string")
 
 
-# Header lines of the reference section, and lines that end it.
-HEADER = r"(?i)^\s*(references|bibliography|works cited|literature cited|sources|citations)\s*:?\s*$"
-END = r"(?i)^\s*(figure\s+[0-9]+|table\s+[0-9]+|figure captions?|table captions?|appendix|supplementary|acknowledge?ments?|funding)\b"
-START = r"^(\[[0-9]+\]|[0-9]+\.\s|(?:[a-z]+\s+){0,2}[A-Z][a-zA-Z'’-]+,?\s+[A-Z]|[A-Z]\s+[A-Za-z]+)"
+# Header lines of the reference section, lines that end it, and how an entry begins.
+HEADER = r"(?i)^\s*(references?|bibliography|works?\s+cited|literature\s+cited|sources?|citations?)\s*$"
+END = r"(?i)^(Figure\s*\d|Fig\.\s*\d|Figure\s+Captions?|Table\s*\d|Table\s+Captions?|Appendix|Supplementary|Supporting\s+Information|Acknowledgements?|Author\s+Contributions?|Conflict\s+of\s+Interest|Data\s+Availability|Funding)"
+START = r"^(\[\d+\]|\d+\.\s+|(?:[a-z]+\s+)*[A-Z][a-zA-Z'\-\u2010\u2011\u2012\u2013\u2014]*,?\s+[A-Z]|[A-Z]\s+[A-Z][a-z]+\s+)"
 
 
 def sections(paragraphs: DataFrame) -> DataFrame:
@@ -131,14 +141,14 @@ def sections(paragraphs: DataFrame) -> DataFrame:
     w = Window.partitionBy("doc_id")
     first = F.min(F.when(F.col("text").rlike(HEADER), F.col("ord"))).over(w)
     p = paragraphs.withColumn("header", first)
-    end = F.min(F.when((F.col("ord") > F.col("header")) & F.col("text").rlike(END), F.col("ord"))).over(w)
+    end = F.min(F.when((F.col("ord") > F.col("header")) & tx.strip(F.col("text")).rlike(END), F.col("ord"))).over(w)
     part = F.when(F.col("header").isNull() | (F.col("ord") < F.col("header")), "body").when(F.col("ord") == F.col("header"), "header").when(end.isNull() | (F.col("ord") < end), "references").otherwise("rest")
     return p.withColumn("part", part).drop("header")
 
 
 def entries(paragraphs: DataFrame) -> DataFrame:
-    """(doc_id, ref_ord, raw_text): a paragraph that looks like a beginning begins an entry, others continue it."""
-    p = sections(paragraphs).where("part = 'references'")
+    """(doc_id, ref_ord, raw_text): a paragraph that looks like a beginning begins an entry, others continue it; blank ones count for nothing."""
+    p = sections(paragraphs).where("part = 'references'").withColumn("text", tx.strip(F.col("text"))).where("text <> ''")
     run = F.count_if(F.col("text").rlike(START)).over(Window.partitionBy("doc_id").orderBy("ord").rowsBetween(Window.unboundedPreceding, 0))
     g = p.withColumn("run", run).groupBy("doc_id", "run").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", tx.strip(F.col("text")).alias("t")))), lambda s: s["t"]), " ").alias("raw_text"))
     return g.select("doc_id", F.row_number().over(Window.partitionBy("doc_id").orderBy("run")).alias("ref_ord"), "raw_text")
@@ -192,7 +202,8 @@ def exported(rows: DataFrame) -> DataFrame:
 
 
 def write_library(rows: DataFrame, path: str) -> None:
-    exported(rows).select("content").write.text(path)
+    """One folder a document, doc_id=..., with its library file as text."""
+    exported(rows).select("doc_id", "content").repartition("doc_id").write.partitionBy("doc_id").text(path)
 
 
 def rewritten(paragraphs: DataFrame, formatted: DataFrame) -> DataFrame:
