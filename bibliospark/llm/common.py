@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -20,10 +21,13 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder name inside the cluster's shared checkpoint folder.
 
-    ``spark.checkpoint.dir`` names it; where it is unset (tests) a temporary folder is made and set.
+    ``spark.checkpoint.dir`` names it; where it is unset and all runs in one process (tests), a temporary folder is made
+    and set.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -40,7 +44,28 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """Write a table into the shared folder and read it again: cuts lineage, survives lost executors."""
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete stored tables that nothing will read again."""
+    for table in tables:
+        spark = table.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(table.stored_at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """These names, each lengthened until no column of the table has it."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 def bytes_of(column: pa.Array) -> list[bytes]:
@@ -192,6 +217,8 @@ def bundles(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int) ->
             held.append(batch.slice(begin))
     if held:
         yield pa.Table.from_batches(held)
+        held.clear()
+        give_back()
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -207,10 +234,11 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         both = now.select(F.col("v").alias("u"), F.col("m").alias("w")).unionAll(now.select(F.col("m").alias("u"), F.col("v").alias("w")))
         least = both.groupBy("u").agg(F.least(F.min("w"), F.col("u")).alias("least"))
         large = both.where("w > u").join(least, "u").select(F.col("w").alias("v"), F.col("least").alias("m")).where("v <> m")
-        large = stored(large, "edges")
+        large, last = stored(large, "edges"), now
         small_least = large.groupBy(F.col("v").alias("u")).agg(F.min("m").alias("least"))
         small = large.join(small_least, F.col("v") == F.col("u")).select(F.explode(F.array(F.struct(F.col("m").alias("v"), F.col("least").alias("m")), F.struct(F.col("v"), F.col("least").alias("m")))).alias("e")).select("e.*").where("v <> m").distinct()
         now = stored(small, "edges")
+        discard(large, last)
         state = now.agg(F.count("*"), F.sum(F.hash("v", "m").cast("long")), F.sum(F.xxhash64("v", "m").cast("decimal(38,0)"))).first()
         if state == before:
             break

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from . import countmin
-from .common import bundles, bytes_of, components, distinct, packed_gaps, small_batches, stored, unpacked_gaps, window_hashes, word_hashes
+from .common import bundles, bytes_of, components, discard, distinct, fresh, packed_gaps, small_batches, stored, unpacked_gaps, window_hashes, word_hashes
 
 #: Bins of the shingle counts; leaders of a bucket in a round after the first; one pair in so many must link for another round.
 COUNT_BITS, LEADERS, WORTH = 20, 16, 60
@@ -58,7 +58,7 @@ def _bin_counts(rows: DataFrame, n: int, many: bool) -> np.ndarray:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros(1 << COUNT_BITS, np.int64)
-        for table in bundles(batches, "text", 4 << 20):
+        for table in bundles(batches, "text", 2 << 20):
             h = np.concatenate(shingle_hashes(bytes_of(table["text"]), n))
             sums += np.bincount((h >> np.uint64(64 - COUNT_BITS)).astype(np.int64), minlength=1 << COUNT_BITS)
         yield from rows_of(sums, int(xxhash.xxh3_64_intdigest(sums.tobytes()) % 16))
@@ -129,7 +129,7 @@ class Join:
             from pyspark import TaskContext
 
             part, number, counts = TaskContext.get().partitionId(), 0, shared.value
-            for batch in bundles(batches, "text", 4 << 20):
+            for batch in bundles(batches, "text", 2 << 20):
                 out: dict[str, list] = {c: [] for c in ("n_shingles", "k1", "k2", "prefix", "parity")}
                 for s in map(distinct, shingle_hashes(bytes_of(batch["text"]), n)):
                     key = xxhash.xxh3_128_intdigest(s.tobytes())
@@ -153,7 +153,7 @@ class Join:
         """
 
         def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for table in bundles(batches, "prefix", 16 << 20):
+            for table in bundles(batches, "prefix", 4 << 20):
                 tokens = np.sort(np.frombuffer(b"".join(table["prefix"].to_pylist()), np.uint64))
                 if len(tokens):
                     yield countmin.counted(distinct(tokens), distinct(tokens[1:][tokens[1:] == tokens[:-1]]), bits)
@@ -203,7 +203,7 @@ class Join:
 
         def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             leader = held = None
-            for batch in bundles(batches, "text", 4 << 20):
+            for batch in bundles(batches, "text", 2 << 20):
                 out: dict[str, list] = {"a": [], "b": []}
                 for a, b, s in zip(batch["a"].to_pylist(), batch["b"].to_pylist(), map(distinct, shingle_hashes(bytes_of(batch["text"]), n))):
                     if b is None:
@@ -244,20 +244,24 @@ class Join:
         met = met.where(F.col("i.component") != F.col("l.component")) if "component" in index.columns else met
         return met.select(F.col("l.c").alias("a"), F.col("i.c").alias("b"))
 
-    def _left(self, index: DataFrame, part: DataFrame, least: int) -> DataFrame:
-        """The index with components and bucket sizes n, without buckets of one component or of fewer classes than least."""
+    def _left(self, index: DataFrame, part: DataFrame) -> DataFrame:
+        """The index with components, without buckets of one component."""
         index = stored(index.join(part, "c", "left").withColumn("component", F.coalesce("component", "c")), "indexed")
-        apart = index.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n"))
-        return stored(index.join(apart.where((F.col("low") != F.col("high")) & (F.col("n") >= least)).select("token", "n"), "token"), "apart")
+        apart = index.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
+        out = stored(index.join(apart.select("token"), "token", "left_semi"), "apart")
+        discard(index)
+        return out
 
     def _classed(self) -> DataFrame:
         """(k1, k2, component) of every class: links to leaders in rounds, then links between what those leave apart."""
         first = self.index.groupBy("token").agg(F.min(F.struct("c", "size", "pos")).alias("l"), F.count("*").alias("n")).where("n > 1")
-        tested = self._candidates(self._followers(self.index, stored(first.select("token", "l"), "leaders")))
+        first = stored(first, "leaders")
+        tested = self._candidates(self._followers(self.index, first))
         links = self._verified(tested)
         part = components(links)
-        columns = self.index.columns
-        left = self._left(self.index, part.withColumnRenamed("node", "c"), 3)  # a bucket of two is tested
+        several = self.index.join(first.where("n > 2").select("token", "n"), "token")  # a bucket of two is tested
+        columns = several.columns
+        left = self._left(several, part.withColumnRenamed("node", "c"))
         if not left.isEmpty():
             texts = self._texts(left.select(F.col("c").alias("row")).distinct())
             turn, grown = 0, True
@@ -274,7 +278,8 @@ class Join:
                 if linked:
                     links = links.unionAll(more)
                     part = components(links)
-                    left = self._left(left.select(*columns), part.withColumnRenamed("node", "c"), 3)
+                    left, last = self._left(left.select(*columns), part.withColumnRenamed("node", "c")), left
+                    discard(last)
             x, y = left.alias("x"), left.alias("y")
             on = (F.col("x.token") == F.col("y.token")) & (F.col("x.c") < F.col("y.c")) & (F.col("x.component") != F.col("y.component"))
             fresh = (F.col("x.prev") != F.col("y.prev")) | (F.col("x.prev") == F.col("x.token")) | (F.col("y.prev") == F.col("y.token"))
@@ -311,16 +316,17 @@ def one_of_each(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> D
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(bitmap.of(batch.column("_key").to_numpy().view(np.uint64)))], names=[*batch.schema.names, "_maybe"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(bitmap.of(batch.column(key_).to_numpy().view(np.uint64)))], names=[*batch.schema.names, maybe_])
 
-    keyed = docs.withColumn("_key", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
-    marked = keyed.mapInArrow(mark, T.StructType([*keyed.schema.fields, T.StructField("_maybe", T.BooleanType())]))
+    key_, maybe_, gone_, stays_ = fresh(docs, "_key", "_maybe", "_gone", "_stays")
+    keyed = docs.withColumn(key_, F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    marked = keyed.mapInArrow(mark, T.StructType([*keyed.schema.fields, T.StructField(maybe_, T.BooleanType())]))
     # only rows whose text may be a copy's are joined; the others' texts are not shuffled
-    d, g = marked.where("_maybe").alias("d"), some.alias("g")
-    on = F.col("d.doc_id").cast("long").eqNullSafe(F.col("g.doc_id")) & (F.col("d._key") == F.col("g.text_key"))
-    joined = d.join(g, on, "left").select("d.*", F.col("g.gone").isNotNull().alias("_gone"), F.coalesce(F.col("g.stays"), F.lit(False)).alias("_stays"))
-    once = joined.where("_gone and _stays").dropDuplicates(["doc_id", "_key"])
-    out = marked.where("not _maybe").select(*docs.columns).unionByName(joined.where("not _gone").select(*docs.columns))
+    d, g = marked.where(F.col(maybe_)).alias("d"), some.alias("g")
+    on = F.col("d.doc_id").cast("long").eqNullSafe(F.col("g.doc_id")) & (F.col(f"d.{key_}") == F.col("g.text_key"))
+    joined = d.join(g, on, "left").select("d.*", F.col("g.gone").isNotNull().alias(gone_), F.coalesce(F.col("g.stays"), F.lit(False)).alias(stays_))
+    once = joined.where(F.col(gone_) & F.col(stays_)).dropDuplicates(["doc_id", key_])
+    out = marked.where(~F.col(maybe_)).select(*docs.columns).unionByName(joined.where(~F.col(gone_)).select(*docs.columns))
     return out.unionByName(once.select(*docs.columns))
 
 

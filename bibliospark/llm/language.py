@@ -20,7 +20,7 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import bytes_of, give_back, small_batches
+from .common import bytes_of, fresh, give_back, small_batches
 
 WIDTHS, FILTERS, WINDOW = (2, 3, 4), 24, 256
 
@@ -106,15 +106,17 @@ def windows_of(text: bytes, size: int = WINDOW) -> np.ndarray:
     return np.frombuffer(padded, np.uint8).reshape(-1, size)
 
 
-def fit(docs: DataFrame, usable: Column | None = None, per_language: int = 400, windows: int = 6, most_languages: int = 64) -> ByteConvNet | None:
+def fit(docs: DataFrame, usable: Column | None = None, per_language: int = 400, windows: int = 6, most_documents: int = 25_600) -> ByteConvNet | None:
     """Train on documents with a language; ``usable`` says which may be learnt from. The documents of a language with
-    the smallest identifier hashes are taken; the languages with most documents where there are more than most_languages."""
+    the smallest identifier hashes are taken, per_language at most, fewer where all languages together would give more
+    than most_documents, but one of each."""
     small_batches(docs.sparkSession)
     some = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (usable if usable is not None else F.lit(True)))
     share = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1 << 40)) / float(1 << 40)
-    counts = some.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "lang").limit(most_languages)
-    limit = F.create_map(*[F.lit(x) for r in counts.collect() for x in (r.lang, per_language / r.n)] or [F.lit(""), F.lit(0.0)])
-    languages_seen = some.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"), share.alias("share"), limit[F.col("lang")].alias("limit"))
+    counts = some.groupBy("lang").agg(F.count("*").alias("n"), F.min(share).alias("least")).collect()  # one row a language
+    per_language = max(1, min(per_language, most_documents // max(1, len(counts))))
+    limit = F.create_map(*[F.lit(x) for r in counts for x in (str(r.lang), max(per_language / r.n, r.least + 1e-9))] or [F.lit(""), F.lit(0.0)])
+    languages_seen = some.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"), share.alias("share"), limit[F.col("lang").cast("string")].alias("limit"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -140,7 +142,9 @@ def fit(docs: DataFrame, usable: Column | None = None, per_language: int = 400,
 
 
 def identify(docs: DataFrame, net: ByteConvNet | None, batch_windows: int = 256) -> DataFrame:
-    """The documents' columns with lang_pred and score of every whole text."""
+    """The documents' columns with lang_pred and score of every whole text; columns of these names are replaced."""
+    docs = docs.drop("lang_pred", "score")
+    whole, lettered_ = fresh(docs, "_text", "_lettered")
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(net)
 
@@ -149,8 +153,8 @@ def identify(docs: DataFrame, net: ByteConvNet | None, batch_windows: int = 256)
         if net:
             net.freeze()
         for batch in batches:
-            texts = bytes_of(batch.column("_text"))
-            lettered = batch.column("_lettered").to_pylist()
+            texts = bytes_of(batch.column(whole))
+            lettered = batch.column(lettered_).to_pylist()
             labels: list[str] = ["und"] * len(texts)
             scores = np.zeros(len(texts))
             ask = [i for i, t in enumerate(texts) if lettered[i]] if net else []
@@ -167,14 +171,14 @@ def identify(docs: DataFrame, net: ByteConvNet | None, batch_windows: int = 256)
                     labels[i] = net.languages[b]
                 scores[ask] = p[np.arange(len(best)), best]
             give_back()
-            rest = batch.select([n for n in batch.schema.names if n not in ("_text", "_lettered")])
-            yield pa.RecordBatch.from_arrays([*rest.columns, pa.array(labels), pa.array(scores)], names=[*rest.schema.names, "_lang_pred", "_score"])
+            rest = batch.select([n for n in batch.schema.names if n not in (whole, lettered_)])
+            yield pa.RecordBatch.from_arrays([*rest.columns, pa.array(labels), pa.array(scores)], names=[*rest.schema.names, "lang_pred", "score"])
 
     from pyspark.sql import types as T
 
-    asked = docs.withColumns({"_text": F.col("text").cast("string"), "_lettered": F.coalesce(F.col("text").cast("string").rlike(r"\p{L}"), F.lit(False))})
-    schema = T.StructType([*docs.schema.fields, T.StructField("_lang_pred", T.StringType()), T.StructField("_score", T.DoubleType())])
-    return asked.mapInArrow(run, schema).withColumnsRenamed({"_lang_pred": "lang_pred", "_score": "score"})
+    asked = docs.withColumns({whole: F.col("text").cast("string"), lettered_: F.coalesce(F.col("text").cast("string").rlike(r"\p{L}"), F.lit(False))})
+    schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    return asked.mapInArrow(run, schema)
 
 
 def held_out(doc_id: Column) -> Column:

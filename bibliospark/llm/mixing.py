@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import stored
+from .common import fresh, stored
 
 #: Levels of the histogram and bits of the hash that each resolves: 60 bits in all.
 LEVELS, BITS = 5, 12
@@ -107,8 +107,9 @@ def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share
     p = plan(stored(_sizes(docs), "sizes"), weights, share, most).alias("p")
     d = docs.alias("d")
     copies = F.col("p.whole") + F.when(hash60(F.col("d.doc_id")) < F.col("p.threshold"), 1).otherwise(0)
-    taken = d.join(p, F.col("d.source").cast("string").eqNullSafe(F.col("p.source"))).select("d.*", F.array_repeat(F.lit(0), copies.cast("int")).alias("_copies"))
-    return taken.withColumn("_copy", F.explode("_copies")).drop("_copies", "_copy")
+    each, one = fresh(docs, "_copies", "_copy")
+    taken = d.join(p, F.col("d.source").cast("string").eqNullSafe(F.col("p.source"))).select("d.*", F.array_repeat(F.lit(0), copies.cast("int")).alias(each))
+    return taken.withColumn(one, F.explode(each)).drop(each, one)
 
 
 #: The same mix for DuckDB: documents of a source by hash, whole hashes below the rest of the target or nearest to it.

@@ -22,7 +22,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .common import stored
 
-PAGE = 256
+#: Entries of a page; numbers in the vectors of a block.
+PAGE, NUMBERS = 256, 1 << 19
 
 
 class MTree:
@@ -102,15 +103,21 @@ def integers(embedding: Column, scale: int = 256) -> Column:
     return F.when(usable, F.transform(embedding, lambda x: F.floor(x.cast("double") * scale).cast("long")))
 
 
-def top_k(vectors: DataFrame, is_query: Column, k: int = 5, block: int = 8192, query_block: int = 2048) -> DataFrame:
-    """(query_id, rank, vec_id, score) for every row that ``is_query`` picks; vectors: (vec_id, v array<long>)."""
+def top_k(vectors: DataFrame, is_query: Column, k: int = 5, block: int | None = None, query_block: int | None = None) -> DataFrame:
+    """(query_id, rank, vec_id, score) for every row that ``is_query`` picks; vectors: (vec_id, v array<long>).
+
+    block, query_block: candidates and queries of a task, by default as many as hold NUMBERS and twice NUMBERS numbers.
+    """
     rows = stored(vectors.where("vec_id is not null and v is not null").select("vec_id", "v", is_query.alias("asks")), "integers")
     salted = Window.partitionBy("v", F.pmod("vec_id", F.lit(64))).orderBy("vec_id")
     few = rows.select("vec_id", "v").distinct().withColumn("n", F.row_number().over(salted)).where(F.col("n") <= k + 1)
     few = few.withColumn("n", F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))).where(F.col("n") <= k + 1)
     entries = stored(few.groupBy("v").agg(F.array_sort(F.collect_list("vec_id")).alias("ids")), "entries")
     queries = rows.where("asks").select("vec_id", "v").distinct()
-    blocks = -(-entries.count() // block) or 1
+    total, most = entries.agg(F.count("*"), F.max(F.size("v"))).first()
+    block = block or max(PAGE, NUMBERS // (most or 1))
+    query_block = query_block or 2 * block
+    blocks = -(-total // block) or 1
     query_blocks = -(-queries.count() // query_block) or 1
     dim = F.size("v").alias("dim")
     held = entries.select(dim, F.pmod(F.xxhash64("v"), F.lit(blocks)).alias("b"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(query_blocks - 1).cast("long"))).alias("qb"), F.lit(None).cast("long").alias("query_id"), "ids", "v")

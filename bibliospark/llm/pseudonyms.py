@@ -22,6 +22,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .common import fresh
+
 ROUNDS = 8
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 #: IBAN lengths by country.
@@ -299,12 +301,16 @@ def pieces(m: Column, key: str) -> Column:
 
 
 def pseudonymise(docs: DataFrame, key: str, column: str = "text") -> DataFrame:
-    """The documents' columns, ``text`` with pseudonyms, and pii_found: an array of (kind, pseudonym) in order."""
+    """The documents' columns, ``text`` with pseudonyms, and pii_found: an array of (kind, pseudonym) in order.
+
+    A column named pii_found is replaced.
+    """
+    candidates, made_ = fresh(docs, "_candidates", "_made")
     text = F.col(column).cast("string")
     found = F.when(text.rlike("[0-9@]"), F.regexp_extract_all(text, F.lit(ANY), F.lit(0)))
-    held = docs.withColumn("_candidates", found)
-    made = F.transform("_candidates", lambda m: pieces(m, key))
-    held = held.withColumn("_made", made)
-    joined = F.array_join(F.zip_with(F.split(text, ANY, -1), F.col("_made"), lambda part, ps: F.concat(part, F.coalesce(F.array_join(F.transform(ps, lambda m: F.coalesce(m["new"], m["old"])), ""), F.lit("")))), "")
-    valid = F.transform(F.filter(F.coalesce(F.flatten("_made"), F.array().cast(f"array<{_PIECE}>")), lambda m: m["new"].isNotNull()), lambda m: F.struct(m["kind"].alias("kind"), m["new"].alias("pseudonym")))
-    return held.withColumn("pii_found", valid).withColumn(column, F.when(F.size("pii_found") > 0, joined).otherwise(text)).drop("_candidates", "_made")
+    held = docs.withColumn(candidates, found)
+    made = F.transform(candidates, lambda m: pieces(m, key))
+    held = held.withColumn(made_, made)
+    joined = F.array_join(F.zip_with(F.split(text, ANY, -1), F.col(made_), lambda part, ps: F.concat(part, F.coalesce(F.array_join(F.transform(ps, lambda m: F.coalesce(m["new"], m["old"])), ""), F.lit("")))), "")
+    valid = F.transform(F.filter(F.coalesce(F.flatten(made_), F.array().cast(f"array<{_PIECE}>")), lambda m: m["new"].isNotNull()), lambda m: F.struct(m["kind"].alias("kind"), m["new"].alias("pseudonym")))
+    return held.withColumn("pii_found", valid).withColumn(column, F.when(F.size("pii_found") > 0, joined).otherwise(text)).drop(candidates, made_)

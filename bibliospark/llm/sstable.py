@@ -235,7 +235,7 @@ def read_shards(manifest: DataFrame) -> DataFrame:
 
 
 def lookup(manifest: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(doc_id, ids) of the wanted identifiers: joined to the shards by range, found by binary search in each."""
+    """(doc_id, ids) of the wanted identifiers: a null one too; the shard by binary search among the shards' ends, then within it."""
 
     def find(key: tuple, table: pa.Table) -> pa.Table:
         out: dict[str, list] = {"doc_id": [], "ids": []}
@@ -246,6 +246,20 @@ def lookup(manifest: DataFrame, wanted: DataFrame) -> DataFrame:
                     out["ids"].append(ids.tobytes())
         return pa.table(out, pa.schema([("doc_id", pa.int64()), ("ids", pa.binary())]))
 
+    shards = [(key_of(r.first_id), key_of(r.last_id), r.path) for r in manifest.orderBy("shard").collect()]  # one row a shard, in order of keys
+    lasts = [last for _, last, _ in shards]
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: dict[str, list] = {"doc_id": [], "path": []}
+            for doc_id in batch.column("doc_id").to_pylist():
+                key = key_of(doc_id)
+                at = bisect.bisect_left(lasts, key)
+                while at < len(shards) and shards[at][0] <= key:
+                    out["doc_id"].append(doc_id)
+                    out["path"].append(shards[at][2])
+                    at += 1
+            yield pa.RecordBatch.from_pydict(out, pa.schema([("doc_id", pa.int64()), ("path", pa.string())]))
+
     ids = wanted.select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
-    near = ids.join(manifest.select("path", "first_id", "last_id"), F.col("doc_id").between(F.col("first_id"), F.col("last_id")))
-    return near.groupBy("path").applyInArrow(find, "doc_id long, ids binary")
+    return ids.mapInArrow(place, "doc_id long, path string").groupBy("path").applyInArrow(find, "doc_id long, ids binary")

@@ -27,6 +27,10 @@ _ALPHABET = [_HIDDEN.get(b, chr(b)) for b in range(256)]
 _SPACE = _ALPHABET[32]
 
 
+#: A text on which encoding by words must give what the library gives for the whole.
+PROBE = "A probe of words, we'll say: it's 12,345 long!\n\n\tNaïve  漢字 (x) .. end. " * 3
+
+
 class Memory(dict):
     """Ids by text, computed when missing; the last ``bound`` of them and those before are kept."""
 
@@ -65,6 +69,7 @@ class Encoder:
         self.code = array.array("H" if self.width == 2 else "I").typecode
         self.pieces = Memory(self._piece, self.PIECES)
         self.words = Memory(self._word, self.WORDS)
+        self.cuts = self.cuts and self.packed([PROBE]) == [self._whole(PROBE)]  # else a setting that the cuts do not know
 
     def _packed(self, ids: list[int]) -> bytes:
         return array.array(self.code, ids).tobytes() if sys.byteorder == "little" else np.array(ids, self.type).tobytes()

@@ -437,6 +437,32 @@ def test_equal_values_stay_linked(spark, forms):
     assert [r.text for r in rows] == [f"x {n} EUR 500" for n in new] and (forms[0][:3] != "+49" or all(n.startswith("+49") for n in new))
 
 
+def test_clashing_columns(spark):
+    rows = [(1, "mail a.b@x.com, the cat sat on the mat", "en", "s", 7, 8, 9, 10, 11, 12, 13), (2, None, None, None, 7, 8, 9, 10, 11, 12, 13), (1, "mail a.b@x.com, the cat sat on the mat", "en", "s", 7, 8, 9, 10, 11, 12, 13)]
+    names = ["_key", "_maybe", "_gone", "_copies", "_copy", "_candidates", "_text"]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, " + ", ".join(f"{n} int" for n in names))
+    assert jaccard.one_of_each(docs).columns == docs.columns and sorted(r.doc_id for r in jaccard.one_of_each(docs).collect()) == [1, 2]
+    mixed = mixing.mixed_documents(docs)
+    assert mixed.columns == docs.columns and {r._copy for r in mixed.collect()} <= {11}
+    assert [r._candidates for r in pseudonyms.pseudonymise(docs.withColumn("pii_found", F.lit(1)), "k").collect()] == [12] * 3
+    found = language.identify(docs.withColumn("score", F.lit("old")), None).collect()
+    assert [(r.lang_pred, r.score, r._text) for r in found] == [("und", 0.0, 13)] * 3
+
+
+def test_network_against_loops():
+    net = language.ByteConvNet(["a", "b", "c"], seed=3)
+    windows = np.random.default_rng(4).integers(0, 256, (3, 20)).astype(np.uint8)
+    slow = []
+    for w in windows:
+        h = [max(0.0, max(sum(float(t[i][w[at + i]][f]) for i in range(len(t))) for at in range(len(w) - len(t) + 1)) + float(b[f])) for t, b in zip(net.tables, net.bias) for f in range(language.FILTERS)]
+        z = [sum(x * float(net.out[i][k]) for i, x in enumerate(h)) + float(net.out_bias[k]) for k in range(3)]
+        top = max(z)
+        slow.append([v - top - np.log(sum(np.exp(u - top) for u in z)) for v in z])
+    assert np.allclose(net.log_probabilities(windows), slow, atol=1e-4)
+    net.freeze()
+    assert np.allclose(net.log_probabilities(windows), slow, atol=1e-4)
+
+
 def test_op2_changes_only_what_it_found(spark, sf_dir):
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
     for r in queries.op2_pseudonyms(spark, sf_dir).collect():

@@ -124,6 +124,12 @@ def test_packing_of_odd_rows(spark, rows):
     check_pieces(texts, out.withColumn("ids_crc32", F.crc32("ids")).collect())
 
 
+def test_lookup_of_a_null_identifier(spark):
+    manifest = sstable.write_shards(spark.createDataFrame([(None, "a b"), (1, "c"), (2, "d"), (2, "e")], "doc_id long, text string"), tokenizer_path(), end_id=2, shards=2)
+    wanted = spark.createDataFrame([(None,), (2,), (5,)], "doc_id long")
+    assert sorted(str(r.doc_id) for r in sstable.lookup(manifest, wanted).collect()) == ["2", "2", "None"]
+
+
 def test_steps_are_balanced(spark, sf_dir):
     out = op8_packing(spark, sf_dir).groupBy("step").sum("length").collect()
     assert len(out) > 1
