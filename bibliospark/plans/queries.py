@@ -591,3 +591,41 @@ once AS (SELECT * FROM first15 QUALIFY row_number() OVER (PARTITION BY ca, cy, c
 three AS (SELECT *, row_number() OVER (PARTITION BY ca, cy, context ORDER BY search, place) AS r FROM once QUALIFY row_number() OVER (PARTITION BY ca, cy, context ORDER BY search, place) <= 3),
 lines AS (SELECT ca, cy, context, string_agg('  ' || r || '. ' || who || ' (' || coalesce(CAST(wy AS VARCHAR), 'None') || '). ' || CASE WHEN length(title) > 60 THEN substr(title, 1, 60) || '...' ELSE title END || CASE WHEN wy <> cy THEN ' [year: ' || wy || ']' ELSE '' END || ' https://doi.org/' || doi, chr(10) ORDER BY r) AS t FROM three GROUP BY ALL)
 SELECT a.doc_id, a.cit_ord, '[WEB SEARCH] Possible matches:' || chr(10) || t AS found FROM asked a JOIN lines l ON a.ca = l.ca AND a.cy = l.cy AND a.context = l.context""")
+
+_ISSUE = "SELECT doc_id, {stage} AS stage, CAST({ord} AS INT) AS ord, '{kind}' AS issue_type, {description} AS description, {cited} AS citation_text, {suggestion} AS suggestion, {severity} AS severity FROM ({rows})"
+_RAW = "SELECT t.*, r.raw_text FROM ({rows}) t JOIN ({refs}) r ON t.doc_id = r.doc_id AND t.ref_ord = r.ref_ord"
+_DUP_ISSUES = oracle(_DIFFS + """
+, placed AS (SELECT *, array_to_string(list_transform(ords, lambda o: '#' || o), ', ') AS places FROM diffs)
+SELECT doc_id, ords[1] AS ord, CASE WHEN match_type = 'exact_duplicate' THEN 'Identical reference appears multiple times in reference list' ELSE 'Possible duplicate references (' || match_type || ', ' || CAST(round_even(confidence * 100, 0) AS INT) || '% confidence)' || CASE WHEN differences <> '' THEN ' Differences: ' || differences ELSE '' END END AS description,
+  'Refs ' || places || CASE WHEN len(list_distinct(ids)) = 1 THEN ': ' || substr(first_text, 1, 80) || '...' ELSE ' (' || array_to_string(ids, ', ') || ')' END AS citation_text, CASE WHEN confidence >= 0.9 THEN 'warning' ELSE 'info' END AS severity FROM placed""")
+
+
+def _issues_sql(retractions: bool) -> str:
+    """The union of the oracles of the single findings."""
+    raw = lambda name: _RAW.format(rows=ORACLES[name], refs=oracle(" SELECT doc_id, ref_ord, raw_text FROM refs"))
+    same = {"cited": "text", "suggestion": "suggestion", "severity": "'warning'"}
+    parts = [
+        dict(same, stage=0, ord="cit_ord", kind="missing_reference", description="'In-text citation has no matching reference'", rows=ORACLES["suggestions_top1"]),
+        dict(same, stage=1, ord="ref_ord", kind="spelling_mismatch", description="'Possible author name spelling mismatch'", rows=ORACLES["spelling_issues"]),
+        dict(same, stage=2, ord="ref_ord", kind="year_mismatch", description="'Year differs between citation and reference'", rows=ORACLES["year_issues"]),
+        dict(same, stage=3, ord="ref_ord", kind="uncited_reference", description="'Reference is not cited in the text'", cited="CASE WHEN length(raw_text) > 100 THEN substr(raw_text, 1, 100) || '...' ELSE raw_text END", rows=raw("typo_suggestions")),
+        dict(stage=4, ord="ord", kind="potential_duplicate", description="description", cited="citation_text", suggestion="'Remove the duplicate entry from your reference list'", severity="severity", rows=_DUP_ISSUES),
+        dict(same, stage=6, ord="cit_ord", kind="style_warning", description="'Use ''&'' instead of ''and'' inside parenthetical citations'", rows=ORACLES["ampersand_issues"]),
+        dict(stage=7, ord="ref_ord", kind="incomplete_reference", description="description", cited="citation_text", suggestion="suggestion", severity="severity", rows=ORACLES["completeness_issues"]),
+        dict(stage=8, ord="0", kind="inconsistent_journal_name", description="'Journal name spelled in several ways: ' || replace(names, '|', ', ')", cited="CAST(NULL AS VARCHAR)", suggestion="'Use ''' || canonical || ''' throughout'", severity="'warning'", rows=ORACLES["journal_inconsistent"]),
+    ]
+    if retractions:
+        parts.append(dict(stage=9, ord="ref_ord", kind="retracted_reference", description="'Retracted paper' || coalesce(' (retracted: ' || date || ')', '')", cited="CASE WHEN length(raw_text) > 100 THEN substr(raw_text, 1, 97) || '...' ELSE raw_text END", suggestion="'Remove or replace this reference'", severity="'error'", rows=raw("retraction_status") + " WHERE is_retracted"))
+    return " UNION ALL ".join(_ISSUE.format(**p) for p in parts)
+
+
+ORACLES["issues_all"] = _issues_sql(True)
+_REPORT = f"""
+SELECT c.doc_id, c.n_citations, c.n_references, c.n_matched, coalesce(i.n, 0) AS n_issues, coalesce(i.n, 0) = 0 AS is_valid FROM ({ORACLES['quick_check']}) c LEFT JOIN (SELECT doc_id, count(*) AS n FROM found GROUP BY doc_id) i ON c.doc_id = i.doc_id"""
+ORACLES["report_by_doc"] = f"WITH found AS ({_issues_sql(False)}) {_REPORT}"
+ORACLES["summary_text"] = f"""WITH found AS ({_issues_sql(False)}), report AS ({_REPORT}),
+lines AS (SELECT doc_id, stage, issue_type, ord, concat_ws(chr(10), '  - ' || description, '    Citation: ' || nullif(citation_text, ''), '    Suggestion: ' || nullif(suggestion, '')) AS t FROM found),
+kinds AS (SELECT doc_id, stage, chr(10) || upper(replace(issue_type, '_', ' ')) || ' (' || count(*) || '):' || chr(10) || repeat('-', 40) || chr(10) || string_agg(t, chr(10) ORDER BY ord, t) AS t FROM lines GROUP BY doc_id, stage, issue_type),
+texts AS (SELECT doc_id, string_agg(t, chr(10) ORDER BY stage) AS t FROM kinds GROUP BY doc_id)
+SELECT r.doc_id, concat_ws(chr(10), repeat('=', 50), 'CITATION VALIDATION REPORT', repeat('=', 50), '', 'Total in-text citations: ' || n_citations, 'Total references: ' || n_references, 'Matched citations: ' || n_matched, '',
+  CASE WHEN is_valid THEN 'Status: VALID - All citations match references' ELSE 'Status: ISSUES FOUND - ' || n_issues || ' issue(s)' || chr(10) || chr(10) || t END, '', repeat('=', 50)) AS summary FROM report r LEFT JOIN texts t ON r.doc_id = t.doc_id"""

@@ -2,6 +2,11 @@
 
 Stages, in order: language ID (rejected documents go), n-gram Jaccard join (one document of each group stays), PII
 pseudonyms, mixing sources to target weights (rows as often as they are taken), packing into sequences.
+
+Defined cases: a null text is kept by nothing but tables without any labelled document, as language ID rejects texts
+without letters; null lang becomes the one found, null source is a source of its own, null doc_id stays null; of rows
+that repeat one stays, of copies the one with the smallest doc_id; texts of any length are used whole; extra columns are
+handed on; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -50,7 +55,7 @@ STAGES = [
     ("mixing", mix_sources),
     ("packing", pack),
 ]
-#: A trained network, keyed hashes and a tokenizer are beyond SQL; the tests hold each stage against a brute-force version.
+#: A trained network, keyed hashes and a tokenizer are beyond SQL; the tests hold the stages' operators against brute-force versions.
 ORACLE_SQL = None
 
 
