@@ -9,6 +9,12 @@ from .text import fold, fold_dashes, let, split_words, strip
 # A last name with particles and the initials after a comma.
 PAIR = r"([A-Z][a-zA-Z'-]+(?:\s+[a-z]+)?(?:\s+[A-Z][a-zA-Z'-]+)*),\s*([A-Z]\.?\s*(?:[A-Z]\.?\s*)*)"
 
+# What is taken out of an in-text citation, what ends an author, initials at the end of a name, and a
+# name before capitals.
+YEAR, CITED_ET_AL, COLLEAGUES, AND = r",?\s*[0-9]{4}[a-z]?", r"(?i)\s+et\s+al\.?", r"(?i)\s+and\s+colleagues", r"(?i)\s+and\s+"
+ET_AL, INITIALS = r"(?i)\s+et al\.$", "^[A-Z]{1,4}$"
+BEFORE_CAPITALS = "^([A-Za-z][a-zA-Z\\-‐-—]+(?:\\s+[A-Za-z][a-zA-Z\\-‐-—]+)*)\\s+[A-Z]+"
+
 
 def trimmed(parts: Column) -> Column:
     return F.filter(F.transform(parts, strip), lambda p: p != "")
@@ -35,7 +41,7 @@ def author_list(text: Column) -> Column:
     """Names of an author string: "Last, Initials" pairs, else at ampersands, else at "and", else at commas."""
     def within(text: Column) -> Column:
         commas = F.length(text) - F.length(F.replace(text, F.lit(","), F.lit("")))
-        parts = F.when(F.contains(text, F.lit(" & ")), F.split(text, " & ")).when(F.lower(text).contains(" and "), F.split(text, r"(?i)\s+and\s+")).when(F.contains(text, F.lit(", ")) & (commas > 1), F.split(text, ", ")).otherwise(F.array(text))
+        parts = F.when(F.contains(text, F.lit(" & ")), F.split(text, " & ")).when(F.lower(text).contains(" and "), F.split(text, AND)).when(F.contains(text, F.lit(", ")) & (commas > 1), F.split(text, ", ")).otherwise(F.array(text))
         return let(initials_pairs(text), lambda pairs: F.when(F.size(pairs) > 0, pairs).otherwise(trimmed(parts)))
 
     return let(F.regexp_replace(strip(text), ",+$", ""), within)
@@ -48,26 +54,26 @@ def comma_list(text: Column) -> Column:
 def cited_authors(citation: Column, folded=fold) -> Column:
     """Lower-cased names of an in-text citation."""
     text = F.regexp_replace(citation, "[()]", "")
-    text = strip(F.regexp_replace(text, r",?\s*[0-9]{4}[a-z]?", ""))
-    text = F.regexp_replace(F.regexp_replace(text, r"(?i)\s+et\s+al\.?", ""), r"(?i)\s+and\s+colleagues", "")
-    parts = F.when(F.contains(text, F.lit(" & ")), F.split(text, " & ")).when(F.lower(text).contains(" and "), F.split(text, r"(?i)\s+and\s+")).otherwise(F.array(text))
+    text = strip(F.regexp_replace(text, YEAR, ""))
+    text = F.regexp_replace(F.regexp_replace(text, CITED_ET_AL, ""), COLLEAGUES, "")
+    parts = F.when(F.contains(text, F.lit(" & ")), F.split(text, " & ")).when(F.lower(text).contains(" and "), F.split(text, AND)).otherwise(F.array(text))
     return F.transform(trimmed(parts), lambda a: folded(F.lower(a)))
 
 
 def last_name(author: Column) -> Column:
     """For matching: before the comma; without the initials at the end; else the last word."""
-    a = F.regexp_replace(strip(author), r"(?i)\s+et al\.$", "")
+    a = F.regexp_replace(strip(author), ET_AL, "")
     words = split_words(a)
     last = F.element_at(words, -1)
     bare = F.replace(last, F.lit("."), F.lit(""))
-    several = F.when(bare.rlike("^[A-Z]{1,4}$"), F.array_join(F.slice(words, 1, F.size(words) - 1), " ")).otherwise(last)
+    several = F.when(bare.rlike(INITIALS), F.array_join(F.slice(words, 1, F.size(words) - 1), " ")).otherwise(last)
     return F.when(F.contains(a, F.lit(",")), strip(F.split(a, ",")[0])).when(F.size(words) >= 2, several).when(F.size(words) == 1, words[0]).otherwise(a)
 
 
 def suggested_last_name(author: Column) -> Column:
     """For suggestions: before the comma; the words before capitals; else the first or last word. Lower case."""
     a = strip(author)
-    head = F.regexp_extract(a, "^([A-Za-z][a-zA-Z\\-‐-—]+(?:\\s+[A-Za-z][a-zA-Z\\-‐-—]+)*)\\s+[A-Z]+", 1)
+    head = F.regexp_extract(a, BEFORE_CAPITALS, 1)
     words = split_words(a)
     by_word = F.when((F.size(words) > 1) & F.element_at(words, -1).rlike(r"^[A-Z]+\.?$"), words[0]).when(F.size(words) > 0, F.element_at(words, -1)).otherwise(a)
     return fold_dashes(F.lower(F.when(F.contains(a, F.lit(",")), strip(F.split(a, ",")[0])).when(head != "", head).otherwise(by_word)))

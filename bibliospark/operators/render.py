@@ -80,17 +80,23 @@ def rendered(refs: DataFrame, pattern: dict) -> DataFrame:
     return refs.select("doc_id", "ref_ord", F.when(F.endswith(out, F.lit(".")), out).otherwise(F.concat(out, F.lit("."))).alias("formatted"))
 
 
+# Signs of a style in an example entry, in the order in which they are tried.
+_AUTHOR_SIGNS = [(r"^[A-Z][a-z]+,\s+[A-Z]\.\s*[A-Z]?\.?", "{last}, {first_init}."), (r"^[A-Z][a-z]+\s+[A-Z][A-Z]?\.?", "{last} {first_init}"), (r"^[A-Z]\.\s*[A-Z]?\.?\s+[A-Z][a-z]+", "{first_init}. {last}")]
+_YEAR_SIGNS = [
+    (r"\.\s*\([0-9]{4}\)\.\s*[A-Z]", "({year})", "after_authors"), (r"\.\s+[A-Za-z\s]+[0-9]{4};[0-9]+", "{year}", "after_journal"), (r"[0-9]{4};", "{year}", "after_journal"),
+    (r"\)\.\s*[0-9]{4}\.", "{year}.", "after_authors"), (r"\([0-9]{4}\)", "({year})", "after_authors"), (r"[0-9]{4}\.", "{year}", "after_authors"), (r",\s*[0-9]{4}", ", {year}", "after_authors")]
+_GROUP_SIGNS = [(r"[A-Za-z]+\s+[0-9]{4};[0-9]+\([^)]+\):[0-9]+[-–][0-9]+", "yes"), (r"[A-Za-z]+\s+[0-9]{4};[0-9]+:[0-9]+[-–][0-9]+", "yes"), (r"[A-Za-z]+\s+[0-9]{4};[0-9]+\.", "yes"), (r"\.\s+[0-9]{4};[0-9]+:e[0-9]+", "yes")]
+_JOIN_SIGNS = [(", & ", ", & "), ("(?i), and ", ", and "), (" & ", " & "), ("(?i) and ", " and ")]
+
+
 def _features(example: Column) -> dict[str, Column]:
-    e = example
-    author = F.when(e.rlike(r"^[A-Z][a-z]+,\s+[A-Z]\.\s*[A-Z]?\.?"), "{last}, {first_init}.").when(e.rlike(r"^[A-Z][a-z]+\s+[A-Z][A-Z]?\.?"), "{last} {first_init}").when(e.rlike(r"^[A-Z]\.\s*[A-Z]?\.?\s+[A-Z][a-z]+"), "{first_init}. {last}")
-    forms = [(r"\.\s*\([0-9]{4}\)\.\s*[A-Z]", "({year})", "after_authors"), (r"\.\s+[A-Za-z\s]+[0-9]{4};[0-9]+", "{year}", "after_journal"), (r"[0-9]{4};", "{year}", "after_journal"), (r"\)\.\s*[0-9]{4}\.", "{year}.", "after_authors"), (r"\([0-9]{4}\)", "({year})", "after_authors"), (r"[0-9]{4}\.", "{year}", "after_authors"), (r",\s*[0-9]{4}", ", {year}", "after_authors")]
-    year = place = F
-    for pattern, y, at in forms:
-        year, place = year.when(e.rlike(pattern), y), place.when(e.rlike(pattern), at)
-    grouped = F.when(e.rlike(r"[A-Za-z]+\s+[0-9]{4};[0-9]+\([^)]+\):[0-9]+[-–][0-9]+"), "yes").when(e.rlike(r"[A-Za-z]+\s+[0-9]{4};[0-9]+:[0-9]+[-–][0-9]+"), "yes").when(e.rlike(r"[A-Za-z]+\s+[0-9]{4};[0-9]+\."), "yes").when(e.rlike(r"\.\s+[0-9]{4};[0-9]+:e[0-9]+"), "yes")
-    low = F.lower(e)
-    sep = F.when(e.contains(", & "), ", & ").when(low.contains(", and "), ", and ").when(e.contains(" & "), " & ").when(low.contains(" and "), " and ")
-    return {"author": author, "year": year, "year_place": place, "grouped": grouped, "last_sep": sep}
+    def first(signs: list[tuple], place: int = 1) -> Column:
+        out = F
+        for sign in signs:
+            out = out.when(example.rlike(sign[0]), sign[place])
+        return out
+
+    return {"author": first(_AUTHOR_SIGNS), "year": first(_YEAR_SIGNS), "year_place": first(_YEAR_SIGNS, 2), "grouped": first(_GROUP_SIGNS), "last_sep": first(_JOIN_SIGNS)}
 
 
 def learned(examples: DataFrame) -> DataFrame:
