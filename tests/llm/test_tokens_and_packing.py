@@ -131,5 +131,5 @@ def test_lookup_of_a_null_identifier(spark):
 
 
 def test_steps_are_balanced(spark, sf_dir):
-    out = op8_packing(spark, sf_dir).groupBy("step").sum("length").collect()
-    assert len(out) > 1
+    sizes = sorted(r[1] for r in op8_packing(spark, sf_dir).groupBy("step").sum("length").collect())
+    assert len(sizes) > 1 and sizes[-1] <= 1.05 * sizes[len(sizes) // 2] and sizes[len(sizes) // 4] >= 0.95 * sizes[len(sizes) // 2]  # the last of a task may be short
