@@ -277,6 +277,7 @@ class Join:
                 grown = linked >= LEADERS and linked * WORTH > found.count()  # else the pairs that are left cost less than further rounds
                 if linked:
                     links = links.unionAll(more)
+                if grown:
                     part = components(links)
                     left, last = self._left(left.select(*columns), part.withColumnRenamed("node", "c")), left
                     discard(last)
@@ -284,9 +285,7 @@ class Join:
             on = (F.col("x.token") == F.col("y.token")) & (F.col("x.c") < F.col("y.c")) & (F.col("x.component") != F.col("y.component"))
             fresh = (F.col("x.prev") != F.col("y.prev")) | (F.col("x.prev") == F.col("x.token")) | (F.col("y.prev") == F.col("y.token"))
             rest = self._candidates(x.join(y, on & fresh & self._may_link("x", "y")).select(F.col("x.c").alias("a"), F.col("y.c").alias("b")), tested)
-            more = self._verified(rest, texts)
-            if not more.isEmpty():
-                part = components(links.unionAll(more))
+            part = components(links.unionAll(self._verified(rest, texts)))
         return self.classes.join(part.withColumnRenamed("node", "c"), "c", "left").withColumn("component", F.coalesce("component", "c"))
 
     def components(self) -> DataFrame:
