@@ -186,14 +186,14 @@ class Join:
         left = F.least(na - pa_, nb - pb)
         return (na * self.den >= nb * self.num) & (nb * self.den >= na * self.num) & (left >= _need(na, nb, self.num, self.den))
 
-    def _verified(self, pairs: DataFrame, texts: DataFrame | None = None) -> DataFrame:
-        """The pairs (a, b) of classes that link: suffix filter, then whole texts (those given, or read for these pairs)."""
+    def _verified(self, pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b) of classes that link: suffix filter, then whole texts, read for the pairs that are left."""
         sets = self.sets.select(F.col("row"), F.col("n_shingles").alias("size"), "parity")
         near = pairs.join(sets.select(F.col("row").alias("a"), F.col("size").alias("size_a"), F.col("parity").alias("parity_a")), "a")
         near = near.join(sets.select(F.col("row").alias("b"), F.col("size").alias("size_b"), F.col("parity").alias("parity_b")), "b")
         most = F.col("size_a") + F.col("size_b") - 2 * _need(F.col("size_a"), F.col("size_b"), self.num, self.den)
         near = stored(near.where(_apart(F.col("parity_a"), F.col("parity_b")) <= most).select("a", "b"), "pairs")
-        texts = self._texts(near.select(F.explode(F.array("a", "b")).alias("row")).distinct()) if texts is None else texts
+        texts = self._texts(near.select(F.explode(F.array("a", "b")).alias("row")).distinct())
         salt = F.pmod(F.xxhash64("b"), F.ceil(F.col("followers") / FOLLOWERS))
         salted = near.join(near.groupBy("a").agg(F.count("*").alias("followers")), "a").select("a", "b", salt.alias("salt"))
         text = texts.select(F.col("row"), F.col("text"))
@@ -263,7 +263,6 @@ class Join:
         columns = several.columns
         left = self._left(several, part.withColumnRenamed("node", "c"))
         if not left.isEmpty():
-            texts = self._texts(left.select(F.col("c").alias("row")).distinct())
             turn, grown = 0, True
             while grown:
                 turn += 1
@@ -272,7 +271,7 @@ class Join:
                 led = stored(led.select("token", F.struct("c", "component", "size", "pos").alias("l")), "leaders")
                 found = self._candidates(self._followers(left, led), tested)
                 tested = tested.unionAll(found)
-                more = self._verified(found, texts)
+                more = self._verified(found)
                 linked = more.count()
                 grown = linked >= LEADERS and linked * WORTH > found.count()  # else the pairs that are left cost less than further rounds
                 if linked:
@@ -285,7 +284,7 @@ class Join:
             on = (F.col("x.token") == F.col("y.token")) & (F.col("x.c") < F.col("y.c")) & (F.col("x.component") != F.col("y.component"))
             fresh = (F.col("x.prev") != F.col("y.prev")) | (F.col("x.prev") == F.col("x.token")) | (F.col("y.prev") == F.col("y.token"))
             rest = self._candidates(x.join(y, on & fresh & self._may_link("x", "y")).select(F.col("x.c").alias("a"), F.col("y.c").alias("b")), tested)
-            part = components(links.unionAll(self._verified(rest, texts)))
+            part = components(links.unionAll(self._verified(rest)))
         return self.classes.join(part.withColumnRenamed("node", "c"), "c", "left").withColumn("component", F.coalesce("component", "c"))
 
     def components(self) -> DataFrame:
