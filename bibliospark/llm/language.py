@@ -141,7 +141,7 @@ def fit(docs: DataFrame, usable: Column | None = None, per_language: int = 400,
     return net
 
 
-def identify(docs: DataFrame, net: ByteConvNet | None, batch_windows: int = 256) -> DataFrame:
+def identify(docs: DataFrame, net: ByteConvNet | None, batch_windows: int = 128) -> DataFrame:
     """The documents' columns with lang_pred and score of every whole text; columns of these names are replaced."""
     docs = docs.drop("lang_pred", "score")
     whole, lettered_ = fresh(docs, "_text", "_lettered")
