@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import covertree, jaccard, language, licenses, mixing, mtree, packing, pseudonyms, sstable, substrings
+from . import covertree, exact, jaccard, language, licenses, mixing, mtree, packing, pseudonyms, sstable, substrings
 
 
 def op9_mtree(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,5 +71,9 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "sequence_length", "step")
 
 
-QUERIES = {"op1_sstable": op1_sstable, "op2_pseudonyms": op2_pseudonyms, "op3_jaccard": op3_jaccard, "op4_mixing": op4_mixing, "op5_language": op5_language, "op6_covertree": op6_covertree, "op7_substrings": op7_substrings, "op8_packing": op8_packing, "op9_mtree": op9_mtree, "op10_licenses": op10_licenses}
-ORACLES = {"op3_jaccard": jaccard.SQL, "op4_mixing": mixing.SQL, "op6_covertree": covertree.SQL, "op7_substrings": substrings.SQL, "op9_mtree": mtree.SQL}
+def op11_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact.groups(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op1_sstable": op1_sstable, "op2_pseudonyms": op2_pseudonyms, "op3_jaccard": op3_jaccard, "op4_mixing": op4_mixing, "op5_language": op5_language, "op6_covertree": op6_covertree, "op7_substrings": op7_substrings, "op8_packing": op8_packing, "op9_mtree": op9_mtree, "op10_licenses": op10_licenses, "op11_exact": op11_exact}
+ORACLES = {"op3_jaccard": jaccard.SQL, "op4_mixing": mixing.SQL, "op6_covertree": covertree.SQL, "op7_substrings": substrings.SQL, "op9_mtree": mtree.SQL, "op11_exact": exact.SQL}
