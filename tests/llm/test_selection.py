@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from bibliospark.llm import exact
+from bibliospark.llm import exact, resample
 
 BLANKS = re.compile(r"[\x20\x09-\x0D]+")
 
@@ -69,3 +69,81 @@ def test_exact_one_of_each(spark):
 def exact_kept(i, t):
     same = [j for j, u in TEXTS if BLANKS.sub(" ", u or "") == BLANKS.sub(" ", t or "")]
     return i == min((j for j in same if j is not None), default=None)
+
+
+WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+
+
+def lowered(text):
+    return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+
+
+def features_of(text):
+    words = WORD.findall(lowered(text))
+    return [" ".join(words[i : i + n]) for n in (1, 2, 3) for i in range(len(words) - n + 1)], len(words)
+
+
+def resampled_by_hand(rows, target, percent, least, seed, buckets):
+    """Counter of (doc_id, n_features, weight, score, rank, n_words)."""
+    bucket = lambda f: zlib.crc32(f.encode()) % buckets
+    docs = [(i, *features_of(t)) for i, t in rows]
+    s, t = Counter(bucket(f) for _, fs, _ in docs for f in fs), Counter(bucket(f) for x in target for f in features_of(x)[0])
+    all_s, all_t = sum(s.values()), sum(t.values())
+    gain = [math.floor(1000 * math.log((t[b] + 1) * (all_s + buckets) / ((s[b] + 1) * (all_t + buckets)))) for b in range(buckets)]
+    scored = []
+    for i, fs, n in docs:
+        weight = sum(gain[bucket(f)] for f in fs)
+        h = int(hashlib.sha256(f"{seed}:{'' if i is None else i}".encode()).hexdigest()[:8], 16)
+        scored.append((i, len(fs), weight, weight + math.floor(-1000 * math.log(-math.log((h + 0.5) / 2**32))), n))
+    eligible = sorted((x for x in scored if x[4] >= least), key=lambda x: (-x[3], x[0] is None, x[0] or 0))
+    most = percent * len(eligible) // 100
+    out = [(*x[:4], r if r <= most else None, x[4]) for r, x in enumerate(eligible, 1)]
+    return Counter(out + [(*x[:4], None, x[4]) for x in scored if x[4] < least])
+
+
+def resample_rows():
+    rng = np.random.default_rng(5)
+    some = lambda n, of: " ".join(f"{'Wé' if rng.integers(9) == 0 else 'w'}{rng.integers(of)}" for _ in range(n))
+    rows = [(i, some(int(rng.integers(1, 80)), 30)) for i in range(60)]
+    rows += [(100, None), (101, ""), (102, " -- !\x00"), (103, "One"), (104, "a" * 5000 + " b " + "c" * 200 + " d"), (None, some(40, 9)), (None, some(40, 9))]
+    rows += [(200 + i, "same words again and " * 8) for i in range(9)] + [(7, rows[7][1]), (105, "x-y_z;1é2" * 50), (106, "tail word " * 400)]
+    return rows, [some(30, 6), None, "", "tail word", "tail word"]
+
+
+def test_resample(spark):
+    rows, target = resample_rows()
+    got = resample.resample(docs_of(spark, rows).repartition(3), docs_of(spark, [(1, t) for t in target]), percent=30, least_words=8, seed=7, buckets=97)
+    assert Counter(map(tuple, got.collect())) == resampled_by_hand(rows, target, 30, 8, 7, 97)
+
+
+def test_resample_production_parameters(spark):
+    rows, target = resample_rows()
+    docs = docs_of(spark, rows)
+    got = resample.resample(docs, docs_of(spark, [(1, t) for t in target]))
+    want = resampled_by_hand(rows, target, 5, 20, 42, 10_000)
+    assert Counter(map(tuple, got.collect())) == want
+    drawn = resample.drawn(docs, docs_of(spark, [(1, t) for t in target]))
+    assert drawn.columns == docs.columns and {r.doc_id for r in drawn.collect()} == {x[0] for x in want if x[4] is not None}
+
+
+def test_resample_empty_tables(spark):
+    none, some = docs_of(spark, []), docs_of(spark, [(1, "a b c"), (2, "a b")])
+    assert resample.resample(none, some).count() == 0 == resample.resample(none, none).count()
+    assert Counter(map(tuple, resample.resample(some, none, least_words=1).collect())) == resampled_by_hand([(1, "a b c"), (2, "a b")], [], 5, 1, 42, 10_000)
+
+
+def test_pieces_give_the_features_of_the_whole(monkeypatch):
+    texts = [b"one two three", b"", b"x" * 100, b"a b c d e f " * 30, b"--", "é ü".encode() * 20]
+    whole = Counter((int(d), int(b)) for doc, bucket, _ in resample.features(texts) for d, b in zip(doc, bucket))
+    want = Counter((i, zlib.crc32(f.encode()) % 10_000) for i, t in enumerate(texts) for f in features_of(t.decode())[0])
+    assert whole == want
+    for piece in (1, 7, 50):
+        monkeypatch.setattr(resample, "PIECE", piece)
+        assert Counter((int(d), int(b)) for doc, bucket, _ in resample.features(texts) for d, b in zip(doc, bucket)) == want
+
+
+@pytest.mark.parametrize("n", [0, 1, 63, 64, 65, 1000, 70_000])
+def test_shifted_checksums_join(n):
+    a, b = b"some words", bytes(range(256)) * (n // 256 + 1)
+    joined = resample.shifted(np.array([zlib.crc32(a)], np.uint32), np.array([n])) ^ np.uint32(zlib.crc32(b[:n]))
+    assert joined[0] == zlib.crc32(a + b[:n])
