@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import covertree, exact, jaccard, language, licenses, mixing, mtree, packing, pseudonyms, resample, sstable, substrings
+from . import covertree, exact, hardneg, jaccard, language, licenses, mixing, mtree, packing, pseudonyms, resample, sstable, substrings
 
 
 def op9_mtree(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,5 +80,12 @@ def op12_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_features", "weight", "score", "rank")
 
 
-QUERIES = {"op1_sstable": op1_sstable, "op2_pseudonyms": op2_pseudonyms, "op3_jaccard": op3_jaccard, "op4_mixing": op4_mixing, "op5_language": op5_language, "op6_covertree": op6_covertree, "op7_substrings": op7_substrings, "op8_packing": op8_packing, "op9_mtree": op9_mtree, "op10_licenses": op10_licenses, "op11_exact": op11_exact, "op12_resample": op12_resample}
-ORACLES = {"op3_jaccard": jaccard.SQL, "op4_mixing": mixing.SQL, "op6_covertree": covertree.SQL, "op7_substrings": substrings.SQL, "op9_mtree": mtree.SQL, "op11_exact": exact.SQL, "op12_resample": resample.SQL}
+def op13_hardneg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every seventh row's label is moved by one, so that anchors have negatives close by."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = _table(spark, sf_dir, "embeddings").select("vec_id", label.alias("label"), mtree.integers(F.col("embedding")).alias("v"))
+    return hardneg.mine(rows, F.col("vec_id") % 50 == 0)
+
+
+QUERIES = {"op1_sstable": op1_sstable, "op2_pseudonyms": op2_pseudonyms, "op3_jaccard": op3_jaccard, "op4_mixing": op4_mixing, "op5_language": op5_language, "op6_covertree": op6_covertree, "op7_substrings": op7_substrings, "op8_packing": op8_packing, "op9_mtree": op9_mtree, "op10_licenses": op10_licenses, "op11_exact": op11_exact, "op12_resample": op12_resample, "op13_hardneg": op13_hardneg}
+ORACLES = {"op3_jaccard": jaccard.SQL, "op4_mixing": mixing.SQL, "op6_covertree": covertree.SQL, "op7_substrings": substrings.SQL, "op9_mtree": mtree.SQL, "op11_exact": exact.SQL, "op12_resample": resample.SQL, "op13_hardneg": hardneg.SQL}

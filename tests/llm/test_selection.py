@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from bibliospark.llm import exact, resample
+from bibliospark.llm import exact, hardneg, resample
 
 BLANKS = re.compile(r"[\x20\x09-\x0D]+")
 
@@ -147,3 +147,63 @@ def test_shifted_checksums_join(n):
     a, b = b"some words", bytes(range(256)) * (n // 256 + 1)
     joined = resample.shifted(np.array([zlib.crc32(a)], np.uint32), np.array([n])) ^ np.uint32(zlib.crc32(b[:n]))
     assert joined[0] == zlib.crc32(a + b[:n])
+
+
+def mined_by_hand(rows, anchors, positives, negatives, low, high):
+    rows = sorted({(i, label, tuple(v)) for i, label, v in rows if None not in (i, label, v)})
+    score = lambda a, b: sum(x * y for x, y in zip(a[2], b[2]))
+    out = Counter()
+    for a in (r for r in rows if anchors(r[0])):
+        other = [(-score(a, b), b[0], b[1]) for b in rows if b[0] != a[0] and len(b[2]) == len(a[2])]
+        for p, positive in sorted((s, i) for s, i, label in other if label == a[1])[:positives]:
+            band = sorted((s, i) for s, i, label in other if label != a[1] and low * -p <= 100 * -s <= high * -p)
+            for rank, (n, negative) in enumerate(band[:negatives], 1):
+                out[a[0], positive, rank, negative, -p, -n] += 1
+    return out
+
+
+def vectors(seed=11, n=260):
+    rng = np.random.default_rng(seed)
+    centers = rng.normal(size=(9, 5)) * 40
+    rows = [(i, int(rng.integers(3)), [int(x) for x in centers[rng.integers(9)] + rng.normal(size=5) * 9]) for i in range(n)]
+    rows += [(1000 + i, i % 2, [30, 1, 0, 0, 2]) for i in range(40)] + [(1100 + i, 2, [0] * 5) for i in range(3)]  # one common vector
+    rows += [(1200, None, [1] * 5), (1201, 1, None), (None, 1, [1] * 5), (1203, 1, []), (1204, 1, []), (1205, 2, []), (1206, 1, [3, 4]), (1207, 1, [3, 5]), (1208, 0, [3, 3]), (1209, 0, [-9, -9])]
+    return rows + [rows[0], rows[5], (rows[10][0], 1, rows[11][2]), (1300, 7, [50] * 5)]
+
+
+VECTORS = "vec_id long, label int, v array<long>, cell string, q string"
+
+
+@pytest.mark.parametrize("block,cell", [(None, None), (40, 30), (25, 10**6)])
+def test_hard_negatives(spark, block, cell):
+    rows = vectors()
+    table = spark.createDataFrame([(*r, "x", "y") for r in rows], VECTORS).repartition(3)
+    got = hardneg.mine(table, F.col("vec_id") % 3 == 0, 4, 3, 50, 95, block, cell)
+    want = mined_by_hand(rows, lambda i: i % 3 == 0, 4, 3, 50, 95)
+    assert Counter(map(tuple, got.collect())) == want and len(want) > 100
+
+
+def test_hard_negatives_empty_tables(spark):
+    none = spark.createDataFrame([], VECTORS)
+    assert hardneg.mine(none, F.lit(True)).count() == 0
+    alone = spark.createDataFrame([(1, 1, [1, 2], "", ""), (2, 2, [1, 1], "", "")], VECTORS)
+    assert hardneg.mine(alone, F.lit(True)).count() == 0 == hardneg.mine(alone, F.lit(False)).count()
+
+
+@pytest.mark.parametrize("leaf", [2, 16])
+def test_pairs_of_trees(monkeypatch, leaf):
+    """The walk alone against all pairs, with small leaves; clusters let whole groups of queries go."""
+    monkeypatch.setattr(hardneg, "LEAF", leaf)
+    monkeypatch.setattr(hardneg, "HITS", 50)
+    rng = np.random.default_rng(leaf)
+    centers = rng.normal(size=(20, 4)) * 300
+    x = np.floor(centers[rng.integers(20, size=900)] + rng.normal(size=(900, 4)) * 3)
+    q = x[::9]
+    lows, highs = np.full(len(q), -np.inf), np.where(np.arange(len(q)) % 2, np.inf, 0.9 * (q**2).sum(1))
+    search = hardneg.Search(3, lows, highs, np.full(len(q), -1), [[i, i + 1000] for i in range(len(x))])
+    search.walk(np.arange(len(q)), q, np.arange(len(x)), x)
+    got = Counter(zip(*(a.tolist() for a in search.result())))
+    scores = q @ x.T
+    want = Counter((i, e, scores[i, e % 1000]) for i in range(len(q)) for _, e in sorted((-scores[i, j], e) for j in range(len(x)) if scores[i, j] <= highs[i] for e in (j, j + 1000))[:3])
+    assert got == want
+    assert leaf > 2 or search.pairs < 0.3 * 4 * len(q) * len(x) / leaf**2
