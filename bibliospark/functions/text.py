@@ -56,16 +56,6 @@ def split_words(c: Column) -> Column:
     return F.filter(F.split(strip(c), r"\s+"), lambda w: w != "")
 
 
-def context(text: Column, start: Column, end: Column, n: int = 150) -> Column:
-    """n characters on both sides, widened to white space, blanks made single."""
-    begin, stop = F.greatest(start - n, F.lit(0)), F.least(end + n, F.length(text))
-    left = F.regexp_extract(F.substr(text, F.lit(1), begin + 1), r"[^ \n\t]*$", 0)
-    begin = F.when(begin > 0, begin + 1 - F.length(left)).otherwise(F.lit(0))
-    right = F.regexp_extract(F.substr(text, stop + 1, F.length(text)), r"^[^ \n\t]*", 0)
-    piece = F.substr(text, begin + 1, stop + F.length(right) - begin)
-    return strip(F.regexp_replace(piece, r"\s+", " "))
-
-
 def keywords(c: Column) -> Column:
     found = F.regexp_extract_all(F.lower(c), F.lit(r"(?<![\p{L}\p{N}_])[a-z]{3,}(?![\p{L}\p{N}_])"), F.lit(0))
     return F.array_except(F.array_distinct(found), F.array(*map(F.lit, STOP_WORDS)))
