@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import functools
 import re
 import tempfile
 import uuid
@@ -18,18 +19,21 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+@functools.cache
+def _own_folder() -> str:
+    return "file://" + tempfile.mkdtemp(prefix="spark-")
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder name inside the cluster's shared checkpoint folder.
 
-    ``spark.checkpoint.dir`` names it; where it is unset and all runs in one process (tests), a temporary folder is made
-    and set.
+    ``spark.checkpoint.dir`` names it; where it is unset and all runs in one process (tests), a temporary folder is made.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        base = _own_folder()
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
