@@ -31,6 +31,12 @@ def ratio_may_reach(a: Column, b: Column, least: int) -> Column:
     return F.least(F.length(a), F.length(b)) * 200 >= (F.length(a) + F.length(b)) * least
 
 
+def edits_allow(a: str, b: str, least: int) -> Column:
+    """Whether two columns' ratio may be ``least`` or more by their edit distance, which stops early: a replaced character
+    counts once there and twice in the ratio, so the distance is at most the share of both lengths that may differ."""
+    return F.expr(f"levenshtein({a}, {b}, cast((length({a}) + length({b})) * {100 - least} div 100 as int)) >= 0")
+
+
 def ratio_reaches(common: Column, a: Column, b: Column, least: int) -> Column:
     """In integers, so both engines agree at the edge."""
     return common * 200 >= (F.length(a) + F.length(b)) * least

@@ -115,7 +115,7 @@ def references_uncited(spark, sf_dir):
 
 _COUNTS = _CITE_NAMES + """
 , hits AS (SELECT DISTINCT doc_id, text FROM matches),
-per AS (SELECT c.doc_id, count(*) AS n_citations, count(h.text) AS n_matched, count(DISTINCT CASE WHEN h.text IS NULL THEN c.text END) AS n_unmatched FROM cites c LEFT JOIN hits h ON c.doc_id = h.doc_id AND c.text = h.text GROUP BY c.doc_id),
+per AS (SELECT c.doc_id, count(*) AS n_citations, count(h.text) AS n_matched, count(*) - count(h.text) AS n_unmatched FROM cites c LEFT JOIN hits h ON c.doc_id = h.doc_id AND c.text = h.text GROUP BY c.doc_id),
 totals AS (SELECT coalesce(p.doc_id, r.doc_id) AS doc_id, coalesce(n_citations, 0) AS n_citations, coalesce(n_references, 0) AS n_references, coalesce(n_matched, 0) AS n_matched, coalesce(n_unmatched, 0) AS n_unmatched FROM per p FULL JOIN (SELECT doc_id, count(*) AS n_references FROM refs GROUP BY doc_id) r ON p.doc_id = r.doc_id)"""
 
 
@@ -240,7 +240,7 @@ def journal_normalized(spark, sf_dir):
 @query(_CANON + """ SELECT r.doc_id, min(c.canonical) AS canonical, array_to_string(list_sort(list(DISTINCT r.journal)), '|') AS names, count(*) AS n_references FROM refs r JOIN canon c ON r.journal = c.journal WHERE c.confidence > 0
 GROUP BY r.doc_id, lower(c.canonical) HAVING count(DISTINCT r.journal) > 1""")
 def journal_inconsistent(spark, sf_dir):
-    return quality.inconsistent(corpus.refs(spark, sf_dir)).withColumn("names", F.array_join("names", "|"))
+    return quality.inconsistent(corpus.refs(spark, sf_dir)).drop("ids").withColumn("names", F.array_join("names", "|"))
 
 
 @query(_CANON + " SELECT r.doc_id, r.ref_ord, r.journal, c.canonical FROM refs r JOIN canon c ON r.journal = c.journal WHERE c.confidence > 0 AND lower(c.canonical) <> lower(r.journal)")
@@ -440,9 +440,36 @@ def web_suggestions(spark, sf_dir):
     return lookup.web_suggestions(match.unmatched(c, m), corpus.works(spark, sf_dir))
 
 
+_related = lambda df: df.withColumn("related_references", F.array_join("related_references", "|"))
+
+
 @query()
 def issues_all(spark, sf_dir):
-    return process.issues(corpus.cites(spark, sf_dir), corpus.refs(spark, sf_dir), corpus.works(spark, sf_dir))
+    c, r, w = corpus.cites(spark, sf_dir), corpus.refs(spark, sf_dir), corpus.works(spark, sf_dir)
+    return _related(process.issues(c, r, w, search=False, retractions=True))
+
+
+@query()
+def issues_plain_duplicates(spark, sf_dir):
+    """What the plain rule for duplicates gives in place of the tiers."""
+    c, r = corpus.cites(spark, sf_dir), corpus.refs(spark, sf_dir)
+    return _related(process.issues(c, r, duplicates_=False, completeness=False, journals=False)).where("issue_type = 'duplicate_reference'")
+
+
+@query(_CANON + """
+, changed AS (SELECT r.doc_id, r.ref_ord, r.ref_id, r.journal, c.canonical, c.confidence FROM refs r JOIN canon c ON r.journal = c.journal WHERE c.confidence > 0 AND lower(c.canonical) <> lower(r.journal)),
+last AS (SELECT doc_id, ref_id, min(ref_ord) AS ord, arg_max(journal, ref_ord) AS journal, arg_max(canonical, ref_ord) AS canonical, arg_max(confidence, ref_ord) AS confidence FROM changed GROUP BY ALL)
+SELECT doc_id, ord, 'Journal name can be standardized' AS description, ref_id || ': ''' || journal || '''' AS citation_text,
+  'Consider using canonical name: ''' || canonical || ''' (confidence: ' || CAST(round_even(confidence * 100, 0) AS INT) || '%)' AS suggestion FROM last""")
+def journal_normalization_issues(spark, sf_dir):
+    return quality.normalisation_issues(corpus.refs(spark, sf_dir))
+
+
+@query()
+def import_results(spark, sf_dir):
+    r = corpus.refs(spark, sf_dir)
+    found = library.result(_library(r), r)
+    return found.select("doc_id", _L("imported_count"), _L("matched_count"), *[F.array_join(c, "; ").alias(c) for c in ("unmatched_document_refs", "unmatched_import_refs", "suggestions")])
 
 
 @query()
@@ -562,9 +589,16 @@ ORACLES["library_leftovers"] = oracle(_TITLED_LIB + """
 , matched AS (SELECT doc_id, item, ref_ord FROM hit UNION ALL SELECT * FROM titled),
 sides AS (SELECT doc_id, 'import' AS side, ref_ord AS ord, ref_id, authors, year, upper(title) AS title FROM refs r WHERE ref_ord % 4 <> 0 AND NOT EXISTS (SELECT 1 FROM matched m WHERE m.doc_id = r.doc_id AND m.item = r.ref_ord)
   UNION ALL SELECT doc_id, 'document', ref_ord, ref_id, authors, year, title FROM refs r WHERE NOT EXISTS (SELECT 1 FROM matched m WHERE m.doc_id = r.doc_id AND m.ref_ord = r.ref_ord)),
-told AS (SELECT *, concat_ws(' ', CASE WHEN authors <> '' THEN split_part(authors, '|', 1) || CASE WHEN contains(authors, '|') THEN ' et al.' ELSE '' END END, '(' || year || ')', CASE WHEN title <> '' THEN '"' || CASE WHEN length(title) > 50 THEN substr(title, 1, 50) || '...' ELSE title END || '"' END) AS s FROM sides)
+told AS (SELECT *, concat_ws(' ', CASE WHEN authors <> '' THEN split_part(split_part(authors, '|', 1), ',', 1) || CASE WHEN contains(authors, '|') THEN ' et al.' ELSE '' END END, '(' || year || ')', CASE WHEN title <> '' THEN '"' || CASE WHEN length(title) > 50 THEN substr(title, 1, 50) || '...' ELSE title END || '"' END) AS s FROM sides)
 SELECT doc_id, side, ord, CASE WHEN s = '' THEN ref_id ELSE s END AS summary FROM told""")
 
+ORACLES["import_results"] = ORACLES["library_leftovers"].replace("SELECT doc_id, side, ord, CASE WHEN s = '' THEN ref_id ELSE s END AS summary FROM told", """, texts AS (SELECT doc_id, string_agg(CASE WHEN s = '' THEN ref_id ELSE s END, '; ' ORDER BY ord) FILTER (side = 'document') AS d, string_agg(CASE WHEN s = '' THEN ref_id ELSE s END, '; ' ORDER BY ord) FILTER (side = 'import') AS i,
+  count(*) FILTER (side = 'document') AS nd, count(*) FILTER (side = 'import') AS ni FROM told GROUP BY doc_id),
+per AS (SELECT doc_id, count(CASE WHEN ref_ord % 4 <> 0 THEN 1 END) AS imported_count FROM refs GROUP BY doc_id), pairs_of AS (SELECT doc_id, count(*) AS n FROM matched GROUP BY doc_id)
+SELECT p.doc_id, p.imported_count, coalesce(m.n, 0) AS matched_count, coalesce(d, '') AS unmatched_document_refs, coalesce(i, '') AS unmatched_import_refs,
+  concat_ws('; ', CASE WHEN nd > 0 THEN nd || ' reference(s) in document not found in your library' END, CASE WHEN ni > 0 THEN ni || ' reference(s) in library not cited in document' END) AS suggestions
+FROM per p LEFT JOIN pairs_of m USING (doc_id) LEFT JOIN texts t USING (doc_id)""".removeprefix(""))
+
 _MISSING = _CITE_NAMES + f"""
 , missing AS (SELECT doc_id, text, min(cit_ord) AS cit_ord, arg_min(context, cit_ord) AS context, any_value(ca) AS ca, any_value(cy) AS cy FROM named c WHERE NOT EXISTS (SELECT 1 FROM matches m WHERE m.doc_id = c.doc_id AND m.text = c.text) GROUP BY doc_id, text),
 keyed AS (SELECT *, list_filter(list_distinct(regexp_extract_all(lower(context), '[a-z]+')), lambda x: length(x) >= 3 AND NOT list_contains([{_STOP}], x)) AS kw FROM missing),
@@ -592,12 +626,14 @@ three AS (SELECT *, row_number() OVER (PARTITION BY ca, cy, context ORDER BY sea
 lines AS (SELECT ca, cy, context, string_agg('  ' || r || '. ' || who || ' (' || coalesce(CAST(wy AS VARCHAR), 'None') || '). ' || CASE WHEN length(title) > 60 THEN substr(title, 1, 60) || '...' ELSE title END || CASE WHEN wy <> cy THEN ' [year: ' || wy || ']' ELSE '' END || ' https://doi.org/' || doi, chr(10) ORDER BY r) AS t FROM three GROUP BY ALL)
 SELECT a.doc_id, a.cit_ord, '[WEB SEARCH] Possible matches:' || chr(10) || t AS found FROM asked a JOIN lines l ON a.ca = l.ca AND a.cy = l.cy AND a.context = l.context""")
 
-_ISSUE = "SELECT doc_id, {stage} AS stage, CAST({ord} AS INT) AS ord, '{kind}' AS issue_type, {description} AS description, {cited} AS citation_text, {suggestion} AS suggestion, {severity} AS severity FROM ({rows})"
+_ISSUE = "SELECT doc_id, {stage} AS stage, CAST({ord} AS INT) AS ord, '{kind}' AS issue_type, {description} AS description, {cited} AS citation_text, {suggestion} AS suggestion, {severity} AS severity, {related} AS related_references FROM ({rows})"
 _RAW = "SELECT t.*, r.raw_text FROM ({rows}) t JOIN ({refs}) r ON t.doc_id = r.doc_id AND t.ref_ord = r.ref_ord"
 _DUP_ISSUES = oracle(_DIFFS + """
 , placed AS (SELECT *, array_to_string(list_transform(ords, lambda o: '#' || o), ', ') AS places FROM diffs)
 SELECT doc_id, ords[1] AS ord, CASE WHEN match_type = 'exact_duplicate' THEN 'Identical reference appears multiple times in reference list' ELSE 'Possible duplicate references (' || match_type || ', ' || CAST(round_even(confidence * 100, 0) AS INT) || '% confidence)' || CASE WHEN differences <> '' THEN ' Differences: ' || differences ELSE '' END END AS description,
-  'Refs ' || places || CASE WHEN len(list_distinct(ids)) = 1 THEN ': ' || substr(first_text, 1, 80) || '...' ELSE ' (' || array_to_string(ids, ', ') || ')' END AS citation_text, CASE WHEN confidence >= 0.9 THEN 'warning' ELSE 'info' END AS severity FROM placed""")
+  'Refs ' || places || CASE WHEN len(list_distinct(ids)) = 1 THEN ': ' || substr(first_text, 1, 80) || '...' ELSE ' (' || array_to_string(ids, ', ') || ')' END AS citation_text, CASE WHEN confidence >= 0.9 THEN 'warning' ELSE 'info' END AS severity, array_to_string(ids, '|') AS related FROM placed""")
+_SPELT = oracle(_CANON + """ SELECT r.doc_id, min(c.canonical) AS canonical, array_to_string(list_sort(list(DISTINCT r.journal)), '|') AS names, string_agg(r.ref_id, '|' ORDER BY r.ref_ord) AS related FROM refs r JOIN canon c ON r.journal = c.journal WHERE c.confidence > 0
+GROUP BY r.doc_id, lower(c.canonical) HAVING count(DISTINCT r.journal) > 1""")
 
 
 def _issues_sql(retractions: bool) -> str:
@@ -609,17 +645,20 @@ def _issues_sql(retractions: bool) -> str:
         dict(same, stage=1, ord="ref_ord", kind="spelling_mismatch", description="'Possible author name spelling mismatch'", rows=ORACLES["spelling_issues"]),
         dict(same, stage=2, ord="ref_ord", kind="year_mismatch", description="'Year differs between citation and reference'", rows=ORACLES["year_issues"]),
         dict(same, stage=3, ord="ref_ord", kind="uncited_reference", description="'Reference is not cited in the text'", cited="CASE WHEN length(raw_text) > 100 THEN substr(raw_text, 1, 100) || '...' ELSE raw_text END", rows=raw("typo_suggestions")),
-        dict(stage=4, ord="ord", kind="potential_duplicate", description="description", cited="citation_text", suggestion="'Remove the duplicate entry from your reference list'", severity="severity", rows=_DUP_ISSUES),
+        dict(stage=4, ord="ord", kind="potential_duplicate", description="description", cited="citation_text", suggestion="'Remove the duplicate entry from your reference list'", severity="severity", related="related", rows=_DUP_ISSUES),
         dict(same, stage=6, ord="cit_ord", kind="style_warning", description="'Use ''&'' instead of ''and'' inside parenthetical citations'", rows=ORACLES["ampersand_issues"]),
         dict(stage=7, ord="ref_ord", kind="incomplete_reference", description="description", cited="citation_text", suggestion="suggestion", severity="severity", rows=ORACLES["completeness_issues"]),
-        dict(stage=8, ord="0", kind="inconsistent_journal_name", description="'Journal name spelled in several ways: ' || replace(names, '|', ', ')", cited="CAST(NULL AS VARCHAR)", suggestion="'Use ''' || canonical || ''' throughout'", severity="'warning'", rows=ORACLES["journal_inconsistent"]),
+        dict(stage=8, ord="0", kind="inconsistent_journal_name", description="'Journal name spelled in several ways: ' || replace(names, '|', ', ')", cited="CAST(NULL AS VARCHAR)", suggestion="'Use ''' || canonical || ''' throughout'", severity="'warning'", related="related", rows=_SPELT),
     ]
     if retractions:
         parts.append(dict(stage=9, ord="ref_ord", kind="retracted_reference", description="'Retracted paper' || coalesce(' (retracted: ' || date || ')', '')", cited="CASE WHEN length(raw_text) > 100 THEN substr(raw_text, 1, 97) || '...' ELSE raw_text END", suggestion="'Remove or replace this reference'", severity="'error'", rows=raw("retraction_status") + " WHERE is_retracted"))
-    return " UNION ALL ".join(_ISSUE.format(**p) for p in parts)
+    return " UNION ALL ".join(_ISSUE.format(**{"related": "''"} | p) for p in parts)
 
 
 ORACLES["issues_all"] = _issues_sql(True)
+ORACLES["issues_plain_duplicates"] = _ISSUE.format(stage=4, ord="ord", kind="duplicate_reference", description="'Possible duplicate references found'", cited="ids", suggestion="'Review and merge these references if they are duplicates'", severity="'warning'", related="''", rows=oracle("""
+, keys AS (SELECT doc_id, ref_ord, ref_id, concat_ws('|', CASE WHEN authors <> '' THEN substr(lower(last1), 1, 10) END, CAST(year AS VARCHAR), CASE WHEN title <> '' THEN array_to_string(string_split(lower(title), ' ')[1:3], '_') END) AS key FROM refs)
+SELECT doc_id, min(ref_ord) AS ord, string_agg(ref_id, '; ' ORDER BY ref_ord) AS ids FROM keys GROUP BY doc_id, key HAVING count(*) > 1"""))
 _REPORT = f"""
 SELECT c.doc_id, c.n_citations, c.n_references, c.n_matched, coalesce(i.n, 0) AS n_issues, coalesce(i.n, 0) = 0 AS is_valid FROM ({ORACLES['quick_check']}) c LEFT JOIN (SELECT doc_id, count(*) AS n FROM found GROUP BY doc_id) i ON c.doc_id = i.doc_id"""
 ORACLES["report_by_doc"] = f"WITH found AS ({_issues_sql(False)}) {_REPORT}"

@@ -6,24 +6,43 @@ import io
 import re
 import zipfile
 from collections.abc import Iterator
-from xml.etree import ElementTree
+from xml.parsers import expat
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions import names, text as tx
+from . import files as named
 
 ZOTERO = "array<struct<key:string,title:string,creators:array<struct<creatorType:string,lastName:string,firstName:string>>,date:string,publicationTitle:string,volume:string,issue:string,pages:string,DOI:string,extra:string>>"
+_ZOTERO_FIELDS = ("key", "title", "creators", "date", "publicationTitle", "volume", "issue", "pages", "DOI", "extra")
 _REF = ("lib_id", "item", "ref_id", "authors", "title", "year", "journal", "volume", "issue", "pages", "doi")
 
 
 def read_library(spark: SparkSession, path: str, kind: str) -> DataFrame:
-    """Reader by kind: zotero, bibtex or ris; one row an entry, one lib_id a file. Other kinds are a ValueError."""
-    readers = {"zotero": zotero, "bibtex": bibtex, "ris": ris}
+    """Reader by kind, or by the manager that writes it: zotero, bibtex (mendeley) or ris (endnote); one row an entry, one
+    lib_id a file. Other kinds are a ValueError."""
+    readers = {"zotero": zotero, "bibtex": bibtex, "mendeley": bibtex}
+    if kind in ("ris", "endnote"):
+        return read_ris(spark, path)
     if kind not in readers:
         raise ValueError(f"unsupported library kind: {kind}")
-    files = spark.read.text(path, wholetext=True).select(F.xxhash64(F.col("_metadata.file_path")).alias("lib_id"), F.col("value").alias("content"))
-    return readers[kind](files)
+    return readers[kind](library_files(spark, path))
+
+
+def library_files(spark: SparkSession, path: str) -> DataFrame:
+    """(lib_id, content) of whole files."""
+    return spark.read.text(path, wholetext=True).select(_lib_id().alias("lib_id"), F.col("value").alias("content"))
+
+
+def _lib_id() -> Column:
+    return F.xxhash64(F.col("_metadata.file_path"))
+
+
+def unread(files: DataFrame, entries: DataFrame, kind: str) -> DataFrame:
+    """(lib_id, reason) of library files (lib_id, content) that are not blank and gave no entry: they stop nothing else."""
+    some = files.where(tx.filled(tx.strip(F.col("content")))).select("lib_id")
+    return some.join(entries.select("lib_id").distinct(), "lib_id", "left_anti").withColumn("reason", F.lit(f"no {kind} entry"))
 
 
 def _free_year(c: Column) -> Column:
@@ -31,13 +50,14 @@ def _free_year(c: Column) -> Column:
 
 
 def zotero(files: DataFrame) -> DataFrame:
-    """Entries of (lib_id, content): an array, an object with items, or one object. Authors only; DOI also from extra."""
+    """Entries of (lib_id, content): an array, an object with items, or one object. Authors only; DOI also from extra.
+    What has no known field, as text that is no JSON, is no entry."""
     c = F.col("content")
     item = ZOTERO.removeprefix("array<").removesuffix(">")
-    boxed = F.from_json(c, f"struct<items:{ZOTERO}>")["items"]
-    one = F.array(F.from_json(c, item))
-    items = F.when(tx.strip(c).startswith("["), F.from_json(c, ZOTERO)).when(boxed.isNotNull(), boxed).otherwise(one)
-    z = files.select("lib_id", F.posexplode(items).alias("i", "z"))
+    boxed = F.from_json(c, "struct<items:array<string>>")["items"]
+    texts = F.when(tx.strip(c).startswith("["), F.from_json(c, "array<string>")).when(boxed.isNotNull(), boxed).otherwise(F.array(c))
+    items = F.transform(texts, lambda t: F.from_json(t, item))  # each by itself: one that cannot be read spoils no other
+    z = files.select("lib_id", F.posexplode(items).alias("i", "z")).where(F.coalesce(*[F.col(f"z.{c}").cast("string") for c in _ZOTERO_FIELDS]).isNotNull())
     people = F.filter("z.creators", lambda p: (F.coalesce(p["creatorType"], F.lit("author")) == "author") & tx.filled(p["lastName"]))
     authors = F.transform(people, lambda p: F.concat_ws(", ", p["lastName"], F.nullif(p["firstName"], F.lit(""))))
     doi = F.coalesce(F.nullif("z.DOI", F.lit("")), F.nullif(F.regexp_extract("z.extra", r"DOI:\s*(\S+)", 1), F.lit("")))
@@ -92,16 +112,48 @@ def _bibtex_entries(content: str) -> Iterator[tuple[str, dict[str, str]]]:
         yield head[2], fields
 
 
+#: A line of a RIS file: tag and value; and where a record begins.
+_RIS_LINE, _RIS_BEGIN = r"^\s*([A-Z][A-Z0-9])\s{2}-\s?(.*)$", r"(?m)^(?=[ \t]*TY  -)"
+
+
+def _ris_records(rows: DataFrame, text: str) -> DataFrame:
+    """A row a record, in the column record with its number in the text, from 0, as i; what stands before the first goes."""
+    parts = rows.select(*[c for c in rows.columns if c != text], F.posexplode(F.split(text, _RIS_BEGIN)).alias("i", "record"))
+    return parts.where(F.col("record").rlike(r"^[ \t]*TY  -"))
+
+
+def _ris_fields(records: DataFrame) -> DataFrame:
+    """Entries of (lib_id, item, record), each record folded in its row: of other tags than AU and A1 the last value wins."""
+    lines = F.transform(F.split("record", r"\r?\n"), lambda t: F.struct(F.regexp_extract(t, _RIS_LINE, 1).alias("tag"), tx.strip(F.regexp_extract(t, _RIS_LINE, 2)).alias("v")))
+    r = records.withColumn("t", F.filter(lines, lambda x: (x["tag"] != "") & (x["v"] != ""))).where(F.size("t") > 0)
+    of = lambda *tags: F.filter("t", lambda x: x["tag"].isin(*tags))
+    last = lambda *tags: F.coalesce(*[F.try_element_at(of(tag), F.lit(-1))["v"] for tag in tags])
+    pages = F.when(last("SP").isNotNull(), F.concat_ws("-", last("SP"), last("EP")))
+    return r.select(
+        "lib_id", "item", F.concat(F.lit("ris_"), F.col("item").cast("string")).alias("ref_id"), F.transform(of("AU", "A1"), lambda x: x["v"]).alias("authors"),
+        last("TI", "T1").alias("title"), _free_year(last("PY", "Y1", "DA")).alias("year"), last("JO", "T2", "JF", "JA").alias("journal"), last("VL").alias("volume"),
+        last("IS").alias("issue"), pages.alias("pages"), last("DO").alias("doi"))
+
+
 def ris(files: DataFrame) -> DataFrame:
-    """Entries of (lib_id, content): a record is begun by its TY line; of other tags than AU the last value wins."""
-    lines = files.select("lib_id", F.posexplode(F.split("content", r"\r?\n")).alias("line", "t"))
-    form = r"^\s*([A-Z][A-Z0-9])\s{2}-\s?(.*)$"
-    t = lines.select("lib_id", "line", F.regexp_extract("t", form, 1).alias("tag"), tx.strip(F.regexp_extract("t", form, 2)).alias("v")).where("tag <> ''")
-    t = t.withColumn("item", F.count_if(F.col("tag") == "TY").over(Window.partitionBy("lib_id").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)).cast("int")).where("item > 0 and v <> ''")
-    last = lambda *tags: F.coalesce(*[F.max_by("v", F.when(F.col("tag") == tag, F.col("line"))) for tag in tags])
-    authors = F.transform(F.array_sort(F.collect_list(F.when(F.col("tag").isin("AU", "A1"), F.struct("line", "v")))), lambda s: s["v"])
-    g = t.groupBy("lib_id", "item").agg(authors.alias("authors"), last("TI", "T1").alias("title"), last("PY", "Y1", "DA").alias("y"), last("JO", "T2", "JF", "JA").alias("journal"), last("VL").alias("volume"), last("IS").alias("issue"), last("SP").alias("sp"), last("EP").alias("ep"), last("DO").alias("doi"))
-    return g.select("lib_id", "item", F.concat(F.lit("ris_"), F.col("item").cast("string")).alias("ref_id"), "authors", "title", _free_year(F.col("y")).alias("year"), "journal", "volume", "issue", F.concat_ws("-", "sp", "ep").alias("pages"), "doi").withColumn("pages", F.nullif("pages", F.lit("")))
+    """Entries of (lib_id, content): a record is begun by its TY line. No shuffle: a text is cut and folded in its row."""
+    r = _ris_records(files.withColumn("first", F.col("content").rlike(r"\A[ \t]*TY  -")), "content")
+    return _ris_fields(r.select("lib_id", (F.col("i") + F.col("first").cast("int")).alias("item"), "record"))
+
+
+def read_ris(spark: SparkSession, path: str) -> DataFrame:
+    """Entries of RIS files, cut at their end tags while they are read, so that many tasks read one file.
+
+    Numbers follow from counts: records before the block that a task reads, then the place in that block. No window holds
+    more than a block's records.
+    """
+    read = spark.read.text(path, lineSep="\nER  -").select(_lib_id().alias("lib_id"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("place"), "value")
+    r = _ris_records(read, "value")
+    own = F.row_number().over(Window.partitionBy("lib_id", "block").orderBy("place", "i"))
+    sizes = r.groupBy("lib_id", "block").agg(F.count("*").alias("n"))  # one row a block of a file
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("lib_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    r = r.withColumn("own", own).join(sizes.select("lib_id", "block", before.alias("before")), ["lib_id", "block"])
+    return _ris_fields(r.select("lib_id", (F.col("before") + F.col("own")).cast("int").alias("item"), "record"))
 
 
 def read_docx(spark: SparkSession, path: str) -> DataFrame:
@@ -109,22 +161,17 @@ def read_docx(spark: SparkSession, path: str) -> DataFrame:
 
     Tabs and breaks are kept as such. A file that is no Word document gives one row without ord and text.
     """
-    w = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
-    marks = {f"{w}tab": "\t", f"{w}br": "\n", f"{w}cr": "\n"}
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
             for name, content in zip(pdf["path"], pdf["content"]):
                 try:
-                    body = ElementTree.fromstring(zipfile.ZipFile(io.BytesIO(content)).read("word/document.xml")).find(f"{w}body")
-                except (zipfile.BadZipFile, KeyError, ElementTree.ParseError):
-                    body = None
-                if body is None:
+                    found, _ = named.word_paragraphs(zipfile.ZipFile(io.BytesIO(content)).read("word/document.xml"))
+                except (zipfile.BadZipFile, KeyError, ValueError, expat.ExpatError):
                     rows.append((name, None, None))
                     continue
-                texts = ("".join(marks.get(t.tag, t.text or "") for t in p.iter() if t.tag == f"{w}t" or t.tag in marks).strip() for p in body.findall(f"{w}p"))
-                rows += [(name, i, t) for i, t in enumerate(filter(None, texts))]
+                rows += [(name, i, text) for i, text in enumerate(p.text for p in found if p.text)]
             yield pd.DataFrame(rows, columns=["path", "ord", "text"]).astype({"ord": "Int32"})
 
     return spark.read.format("binaryFile").option("pathGlobFilter", "*.docx").load(path).select("path", "content").mapInPandas(run, "path string, ord int, text string")
@@ -201,9 +248,14 @@ def exported(rows: DataFrame) -> DataFrame:
     return rows.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ref_ord", "entry"))), lambda s: s["entry"]), "\n\n").alias("content"), F.count("*").alias("entry_count"))
 
 
-def write_library(rows: DataFrame, path: str) -> None:
-    """One folder a document, doc_id=..., with its library file as text."""
-    exported(rows).select("doc_id", "content").repartition("doc_id").write.partitionBy("doc_id").text(path)
+def write_library(rows: DataFrame, path: str, suffix: str, mode: str = "append") -> None:
+    """One library file a document, <doc_id>.bib or .ris, all or none of them."""
+    named.write_libraries(exported(rows), path, suffix, mode)
+
+
+def write_docx(spark: SparkSession, path: str, out: str, formatted: DataFrame, mode: str = "append") -> None:
+    """Copies of the Word documents below a path with their reference lists replaced, all or none of them."""
+    named.write_docx(spark, path, out, formatted, HEADER, mode)
 
 
 def rewritten(paragraphs: DataFrame, formatted: DataFrame) -> DataFrame:

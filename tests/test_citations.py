@@ -150,13 +150,6 @@ def test_odd_word_documents(spark, tmp_path):
     assert got == {("a.docx", 0, "a\tb\nc"), ("bad.docx", None, None)}
 
 
-def test_one_folder_a_library(spark, tmp_path):
-    refs = spark.createDataFrame([ref(), ref(doc=2, title="Other")], REF)
-    formats.write_library(formats.ris_entries(refs), str(tmp_path / "out"))
-    back = spark.read.text(str(tmp_path / "out"), wholetext=True).collect()
-    assert {r.doc_id: "TI  - Other" in r.value for r in back} == {1: False, 2: True}
-
-
 WORK = "doi string, title string, authors array<struct<given:string,family:string>>, year int, type string, update_types array<string>, retracted_by string, updated array<int>"
 
 
@@ -243,7 +236,7 @@ def test_streamed_documents(spark, tmp_path):
 
 def test_unknown_library_kind(spark):
     with pytest.raises(ValueError):
-        formats.read_library(spark, "x", "endnote")
+        formats.read_library(spark, "x", "unknown")
 
 
 def test_works_has_every_part_once(spark, tmp_path):
