@@ -20,6 +20,8 @@ results; e-mail domains, country codes and the first digit of cards are kept.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import fresh
@@ -51,10 +53,16 @@ PATTERNS = {
 ANY = "|".join(PATTERNS.values())
 #: What may stand between the cards of a run of digit groups; a card, and its usual groupings.
 INNER = "|".join([PATTERNS["iso_date"], PATTERNS["ssn"], r"(?<![0-9-])[0-9]{3}-[0-9]{3}-[0-9]{4}(?![0-9]|[.-][0-9])"])
-CARD = r"^[0-9](?:[ -]?[0-9]){12,18}$"
+CARD, MOST_CARD = r"^[0-9](?:[ -]?[0-9]){12,18}$", 37
 USUAL = r"^(?:[0-9]{13,19}|[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{4}(?:\1[0-9]{1,3})?|[0-9]{4}([ -])[0-9]{6}\2[0-9]{4,5})$"
-#: Days of a 400-year cycle from 1800-01-01, as a product; areas and groups of social security numbers, and serials.
-DAYS, AREAS, SERIALS = (189, 773), 898 * 99, 9999
+#: Days of a 400-year cycle from its first day on, as a product, and those of them that are a 13th or later; areas and
+#: groups of social security numbers, and serials.
+FIRST_DAY, DAYS, LATE_DAYS, AREAS, SERIALS = "1800-01-01", (189, 773), (9, 9833), 898 * 99, 9999
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), the value evaluated once: within a lambda it would be evaluated again for each element."""
+    return F.transform(F.array(value), body)[0]
 
 
 def _hash(key: str, kind: str, turn: Column, half: Column) -> Column:
@@ -111,20 +119,26 @@ def _only(text: Column, kept: str) -> Column:
 
 def _put(form: Column, kept: str, values: Column) -> Column:
     """The form with its letters and digits replaced, in order, by the values."""
-    nth = lambda i: F.length(_only(F.substr(form, F.lit(1), i + 1), kept))
-    return F.array_join(F.transform(_letters(form), lambda c, i: F.when(c.rlike(f"[{kept}]"), F.substr(values, nth(i), F.lit(1))).otherwise(c)), "")
+
+    def put(form: Column, values: Column) -> Column:
+        nth = lambda i: F.length(_only(F.substr(form, F.lit(1), i + 1), kept))
+        return F.array_join(F.transform(_letters(form), lambda c, i: F.when(c.rlike(f"[{kept}]"), F.substr(values, nth(i), F.lit(1))).otherwise(c)), "")
+
+    return _let(F.struct(form.alias("form"), values.alias("values")), lambda x: put(x["form"], x["values"]))
 
 
 def _luhn(digits: Column) -> Column:
     """Sum of the Luhn rule for digits that a check digit follows."""
-    n = F.length(digits)
 
-    def part(c: Column, i: Column) -> Column:
-        d = c.cast("int")
-        twice = (n - i) % 2 == 1
-        return F.when(twice & (d > 4), d * 2 - 9).when(twice, d * 2).otherwise(d)
+    def total(digits: Column) -> Column:
+        def part(c: Column, i: Column) -> Column:
+            d = c.cast("int")
+            twice = (F.length(digits) - i) % 2 == 1
+            return F.when(twice & (d > 4), d * 2 - 9).when(twice, d * 2).otherwise(d)
 
-    return F.aggregate(F.transform(_letters(digits), part), F.lit(0), lambda s, x: s + x)
+        return F.aggregate(F.transform(_letters(digits), part), F.lit(0), lambda s, x: s + x)
+
+    return _let(digits, total)
 
 
 def _mod97(text: Column) -> Column:
@@ -137,21 +151,28 @@ def _mod97(text: Column) -> Column:
     return F.aggregate(_letters(text), F.lit(0), part)
 
 
-def _card(m: Column, key: str) -> Column:
-    digits = _only(m, "0-9")
+def _is_card(digits: Column) -> Column:
+    """Whether digits, not all of them 0, end in the check digit of those before."""
     n = F.length(digits)
-    body = F.substr(digits, F.lit(1), n - 1)
-    valid = (_luhn(body) + F.substr(digits, n, F.lit(1)).cast("int")) % 10 == 0
-    new = F.concat(F.substring(digits, 1, 1), permuted_text(F.substr(digits, F.lit(2), n - 2), key, "card"))
-    return F.when(valid & (F.regexp_replace(digits, "0", "") != ""), _put(m, "0-9", F.concat(new, ((F.lit(10) - _luhn(new) % 10) % 10).cast("string"))))
+    return ((_luhn(F.substr(digits, F.lit(1), n - 1)) + F.substr(digits, n, F.lit(1)).cast("int")) % 10 == 0) & digits.rlike("[1-9]")
+
+
+def _card(m: Column, key: str) -> Column:
+    """Of digits that are a card's: the first stays, the check digit is computed anew."""
+
+    def made(digits: Column) -> Column:
+        new = F.concat(F.substring(digits, 1, 1), permuted_text(F.substr(digits, F.lit(2), F.length(digits) - 2), key, "card"))
+        return _let(new, lambda x: F.concat(x, ((F.lit(10) - _luhn(x) % 10) % 10).cast("string")))
+
+    return _put(m, "0-9", _let(_only(m, "0-9"), made))
 
 
 def _phone(m: Column, key: str) -> Column:
     """The country code stays; the national number is permuted as digits, so that its punctuation does not matter."""
+    code = lambda digits: F.when(~F.startswith(m, F.lit("+")), 0).when(digits.rlike("^[17]"), 1).when(F.substring(digits, 1, 2).isin(*TWO_DIGIT_CODES), 2).otherwise(3)
+    made = lambda digits: F.concat(F.substr(digits, F.lit(1), code(digits)), permuted_text(F.substr(digits, code(digits) + 1, F.length(digits)), key, "phone"))
     digits = _only(m, "0-9")
-    code = F.when(~F.startswith(m, F.lit("+")), 0).when(digits.rlike("^[17]"), 1).when(F.substring(digits, 1, 2).isin(*TWO_DIGIT_CODES), 2).otherwise(3)
-    new = F.concat(F.substr(digits, F.lit(1), code), permuted_text(F.substr(digits, code + 1, F.length(digits)), key, "phone"))
-    return F.when(F.length(digits).between(8, 15), _put(m, "0-9", new))
+    return F.when(F.length(digits).between(8, 15), _put(m, "0-9", _let(digits, made)))
 
 
 def _cased(new: Column, form: Column) -> Column:
@@ -171,39 +192,60 @@ def _iban(m: Column, key: str) -> Column:
     country = F.substring(plain, 1, 2)
     body = F.substr(plain, F.lit(5), F.length(plain))
     valid = (_mod97(F.concat(body, F.substring(plain, 1, 4))) == 1) & F.length(plain).between(15, 34)
-    new = permuted_text(body, key, "iban")
-    check = F.lpad((F.lit(98) - _mod97(F.concat(new, country, F.lit("00")))).cast("string"), 2, "0")
-    return F.when(valid, _cased(_put(F.upper(m), "A-Z0-9", F.concat(country, check, new)), m))
+    check = lambda new: F.lpad((F.lit(98) - _mod97(F.concat(new, country, F.lit("00")))).cast("string"), 2, "0")
+    whole = _let(permuted_text(body, key, "iban"), lambda new: F.concat(country, check(new), new))
+    return F.when(valid, _cased(_put(F.upper(m), "A-Z0-9", whole), m))
 
 
 def _ip(m: Column, key: str) -> Column:
     x = F.aggregate(F.split(m, r"\."), F.lit(0).cast("long"), lambda s, o: s * 256 + o.cast("long"))
     y = permuted_number(x, 65536, 65536, key, "ip")
-    return F.concat_ws(".", *[(F.shiftright(y, s) % 256).cast("string") for s in (24, 16, 8, 0)])
+    return _let(y, lambda y: F.concat_ws(".", *[(F.shiftright(y, s) % 256).cast("string") for s in (24, 16, 8, 0)]))
 
 
 def _new_day(day: Column, key: str) -> Column:
-    first = F.to_date(F.lit("1800-01-01"))
-    x = F.datediff(day, first).cast("long")
-    new = F.date_add(first, permuted_number(x, *DAYS, key, "date").cast("int"))
+    x = F.datediff(day, F.lit(FIRST_DAY).cast("date")).cast("long")
+    new = F.date_add(F.lit(FIRST_DAY).cast("date"), permuted_number(x, *DAYS, key, "date").cast("int"))
     return F.when(x.between(0, DAYS[0] * DAYS[1] - 1), new)
 
 
+def _new_late_day(day: Column, key: str) -> Column:
+    """The same among the days from the 13th of a month on: what is written month first stays what only that order reads."""
+    first = F.lit(FIRST_DAY).cast("date")
+    month = lambda m: F.add_months(first, m)
+    before = lambda m: F.datediff(month(m), first) - 12 * m  # noqa: E731 - late days before the month m of the cycle
+    x = (F.datediff(day, first) - 12 * ((F.year(day) - 1800) * 12 + F.month(day))).cast("long")
+
+    def placed(y: Column) -> Column:
+        near = F.floor(y * 4800 / (LATE_DAYS[0] * LATE_DAYS[1])).cast("int")
+        own = F.array_max(F.filter(F.transform(F.sequence(F.lit(-3), F.lit(3)), lambda i: near + i), lambda m: (m >= 0) & (before(m) <= y)))
+        return _let(own, lambda m: F.date_add(month(m), (y - before(m)).cast("int") + 12))
+
+    return F.when(x.between(0, LATE_DAYS[0] * LATE_DAYS[1] - 1), _let(permuted_number(x, *LATE_DAYS, key, "late date"), placed))
+
+
 def _iso_date(m: Column, key: str) -> Column:
     return F.date_format(_new_day(F.try_to_date(m, "yyyy-MM-dd"), key), "yyyy-MM-dd")
 
 
 def _date(m: Column, key: str) -> Column:
-    """Day first where it can be one, month first else; both parts keep two digits unless one was given."""
+    """Day first where it can be one, month first else; both parts keep two digits unless one was given.
+
+    Dates that are month first, as the second part is no month, are permuted among themselves.
+    """
     parts, mark = F.split(m, "[./]"), F.regexp_extract(m, "[./]", 0)
     a, b, year = parts[0], parts[1], parts[2]
     day_first = b.cast("int") <= 12
     iso = F.concat_ws("-", year, F.lpad(F.when(day_first, b).otherwise(a), 2, "0"), F.lpad(F.when(day_first, a).otherwise(b), 2, "0"))
-    new = _new_day(F.try_to_date(iso, "yyyy-MM-dd"), key)
     padded = (F.length(a) == 2) & (F.length(b) == 2)
-    day = F.when(padded, F.date_format(new, "dd")).otherwise(F.dayofmonth(new).cast("string"))
-    month = F.when(padded, F.date_format(new, "MM")).otherwise(F.month(new).cast("string"))
-    return F.when(new.isNotNull(), F.concat(F.when(day_first, day).otherwise(month), mark, F.when(day_first, month).otherwise(day), mark, F.date_format(new, "yyyy")))
+
+    def written(new: Column) -> Column:
+        day = F.when(padded, F.date_format(new, "dd")).otherwise(F.dayofmonth(new).cast("string"))
+        month = F.when(padded, F.date_format(new, "MM")).otherwise(F.month(new).cast("string"))
+        return F.when(new.isNotNull(), F.concat(F.when(day_first, day).otherwise(month), mark, F.when(day_first, month).otherwise(day), mark, F.date_format(new, "yyyy")))
+
+    given = F.try_to_date(iso, "yyyy-MM-dd")
+    return _let(F.when(day_first, _new_day(given, key)).otherwise(_new_late_day(given, key)), written)
 
 
 def _ssn(m: Column, key: str) -> Column:
@@ -211,10 +253,14 @@ def _ssn(m: Column, key: str) -> Column:
     valid = area.between(1, 899) & (area != 666) & (group > 0) & (serial > 0)
     index = area - F.when(area > 666, 2).otherwise(1)
     y = permuted_number((index * 99 + group - 1) * SERIALS + serial - 1, AREAS, SERIALS, key, "ssn")
-    high = F.floor(y / SERIALS)
-    i = F.floor(high / 99) + 1
-    i = i + F.when(i > 665, 1).otherwise(0)
-    return F.when(valid, F.concat_ws("-", F.lpad(i.cast("string"), 3, "0"), F.lpad((high % 99 + 1).cast("string"), 2, "0"), F.lpad((y % SERIALS + 1).cast("string"), 4, "0")))
+
+    def written(y: Column) -> Column:
+        high = F.floor(y / SERIALS)
+        i = F.floor(high / 99) + 1
+        i = i + F.when(i > 665, 1).otherwise(0)
+        return F.concat_ws("-", F.lpad(i.cast("string"), 3, "0"), F.lpad((high % 99 + 1).cast("string"), 2, "0"), F.lpad((y % SERIALS + 1).cast("string"), 4, "0"))
+
+    return F.when(valid, _let(y, written))
 
 
 _MAKERS = {"email": _email, "iban": _iban, "ip": _ip, "iso_date": _iso_date, "date": _date, "ssn": _ssn, "phone": _phone, "card": _card}
@@ -265,24 +311,25 @@ def _cards(text: Column, key: str) -> Column:
     places = F.aggregate(groups, start, place, lambda a: a["out"])
 
     def runs(p: Column, ps: Column, i: Column) -> Column:
-        texts = F.transform(F.slice(ps, i + 1, 19), lambda q: F.struct(p["s"].alias("s"), q["e"].alias("e"), F.substr(text, p["s"] + 1, q["e"] - p["s"]).alias("old")))
-        fit = F.filter(texts, lambda r: r["old"].rlike(CARD))
-        made = F.transform(fit, lambda r: F.struct(F.when(r["old"].rlike(USUAL), 0).otherwise(1).alias("odd"), (-F.length(_only(r["old"], "0-9"))).alias("digits"), r["s"].alias("s"), r["e"].alias("e"), r["old"].alias("old"), _card(r["old"], key).alias("new")))
-        return F.filter(made, lambda r: r["new"].isNotNull())
+        near = F.substr(text, p["s"] + 1, F.lit(MOST_CARD))  # looked up once: places of a text are counted from its beginning
+        texts = _let(near, lambda x: F.transform(F.slice(ps, i + 1, 19), lambda q: F.struct(p["s"].alias("s"), q["e"].alias("e"), F.substr(x, F.lit(1), q["e"] - p["s"]).alias("old"))))
+        fit = F.filter(texts, lambda r: (r["e"] - r["s"] <= MOST_CARD) & r["old"].rlike(CARD))
+        cards = F.filter(fit, lambda r: _let(_only(r["old"], "0-9"), _is_card))
+        return F.transform(cards, lambda r: F.struct(F.when(r["old"].rlike(USUAL), 0).otherwise(1).alias("odd"), (-F.length(_only(r["old"], "0-9"))).alias("digits"), r["s"].alias("s"), r["e"].alias("e")))
 
     found = F.flatten(F.transform(F.array(places), lambda ps: F.flatten(F.transform(ps, lambda p, i: runs(p, ps, i)))))
-    none = F.array().cast("array<struct<s:int,e:int,old:string,new:string>>")
+    none = F.array().cast(spans)
 
     def pick(a: Column, r: Column) -> Column:
-        one = F.array(F.struct(r["s"].alias("s"), r["e"].alias("e"), r["old"].alias("old"), r["new"].alias("new")))
+        one = F.array(F.struct(r["s"].alias("s"), r["e"].alias("e")))
         return F.when(F.exists(a, lambda x: (x["s"] < r["e"]) & (r["s"] < x["e"])), a).otherwise(F.concat(a, one))
 
     picked = F.array_sort(F.aggregate(F.array_sort(found), none, pick))
     begin = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{_PIECE}>").alias("out"))
 
     def put(a: Column, r: Column) -> Column:
-        gap = _plain(F.substr(text, a["at"] + 1, r["s"] - a["at"]))
-        return F.struct(r["e"].alias("at"), F.concat(a["out"], F.array(gap, _piece(F.lit("card"), r["new"], r["old"]))).alias("out"))
+        gap, old = _plain(F.substr(text, a["at"] + 1, r["s"] - a["at"])), F.substr(text, r["s"] + 1, r["e"] - r["s"])
+        return F.struct(r["e"].alias("at"), F.concat(a["out"], F.array(gap, _piece(F.lit("card"), _card(old, key), old))).alias("out"))
 
     return F.aggregate(picked, begin, put, lambda a: F.concat(a["out"], F.array(_plain(F.substr(text, a["at"] + 1, F.length(text))))))
 
