@@ -28,14 +28,14 @@ def style(name: str) -> dict:
     return rows.get(name, rows["apa"])
 
 
-def _put(template: str, **values: Column) -> Column:
-    out = F.lit(template)
+def _put(template: Column, **values: Column) -> Column:
+    out = template
     for name, value in values.items():
         out = F.replace(out, F.lit("{" + name + "}"), F.coalesce(value, F.lit("")))
     return out
 
 
-def _author(author: Column, template: str) -> Column:
+def _author(author: Column, template: Column) -> Column:
     a = tx.strip(author)
     words = tx.split_words(a)
     comma, tail = F.contains(a, F.lit(",")), F.element_at(words, -1)
@@ -51,33 +51,47 @@ def _author(author: Column, template: str) -> Column:
     return _put(template, last=last, first_init=F.when((first == "") & several & initials, dotted).otherwise(letters), first=first)
 
 
-def rendered(refs: DataFrame, pattern: dict) -> DataFrame:
-    """(doc_id, ref_ord, formatted) in the style's pattern."""
-    p = pattern
+def _formatted(p: dict[str, Column]) -> Column:
+    """A reference's text by the fields of a pattern, which may be literals or columns."""
     who = F.transform("authors", lambda a: _author(a, p["author"]))
     n = F.size("authors")
-    authors = F.when(n == 1, who[0]).when(n > 1, F.concat(F.array_join(F.slice(who, 1, F.greatest(n - 1, F.lit(0))), ", "), F.lit(p["last_sep"]), F.element_at(who, -1)))
+    authors = F.when(n == 1, who[0]).when(n > 1, F.concat(F.array_join(F.slice(who, 1, F.greatest(n - 1, F.lit(0))), ", "), p["last_sep"], F.element_at(who, -1)))
     year = F.when(F.col("year") != 0, _put(p["year"], year=F.col("year").cast("string")))
-    title = tx.sentence_case(F.col("title")) if p["title"] == "sentence" else tx.title_case(F.col("title"))
-    title = F.when(tx.filled(F.col("title")), F.concat(F.lit('"'), title, F.lit('"')) if p["quotes"] else title)
+    title = F.when(p["title"] == "sentence", tx.sentence_case(F.col("title"))).otherwise(tx.title_case(F.col("title")))
+    title = F.when(tx.filled(F.col("title")), F.when(p["quotes"], F.concat(F.lit('"'), title, F.lit('"'))).otherwise(title))
     has = lambda c: tx.filled(F.col(c))
     volume = _put(p["volume"], volume=F.col("volume"), issue=F.col("issue"))
     volume = F.when(has("volume"), F.regexp_replace(F.regexp_replace(volume, r"\(\)", ""), r", no\. $", ""))
     pages = F.when(has("pages"), _put(p["pages"], pages=F.col("pages")))
     journal = F.when(has("journal"), F.col("journal"))
-    late = F.lit(None).cast("string") if p["year_place"] == "after_authors" else year
-    parts = F.array(journal, late, volume, pages)
-    if p["grouped"]:
-        some = lambda c, t: F.when(has(c), t).otherwise("")
-        tail = F.when(has("volume") | has("pages"), F.concat(F.lit(";"), some("volume", F.concat("volume", some("issue", F.concat(F.lit("("), "issue", F.lit(")"))))), some("pages", F.concat(some("volume", F.lit(":")), "pages")))).otherwise("")
-        group = F.concat("journal", F.when(F.col("year") != 0, F.concat(F.lit(" "), F.col("year").cast("string"))).otherwise(""), tail)
-        parts = F.when(has("journal"), F.array(group)).otherwise(parts)
-    early = year if p["year_place"] == "after_authors" else F.lit(None).cast("string")
+    early = p["year_place"] == "after_authors"
+    some = lambda c, t: F.when(has(c), t).otherwise("")
+    tail = F.when(has("volume") | has("pages"), F.concat(F.lit(";"), some("volume", F.concat("volume", some("issue", F.concat(F.lit("("), "issue", F.lit(")"))))), some("pages", F.concat(some("volume", F.lit(":")), "pages")))).otherwise("")
+    group = F.concat("journal", F.when(F.col("year") != 0, F.concat(F.lit(" "), F.col("year").cast("string"))).otherwise(""), tail)
+    parts = F.when(p["grouped"] & has("journal"), F.array(group)).otherwise(F.array(journal, F.when(~early, year), volume, pages))
     doi = F.when(has("doi"), _put(p["doi"], doi=F.col("doi")))
-    out = F.array_join(F.concat(F.array(authors, early, title), parts, F.array(doi)), ". ")
+    out = F.array_join(F.concat(F.array(authors, F.when(early, year), title), parts, F.array(doi)), ". ")
     for old, new in ((r"\.\.+", "."), (r"\?\.\s*", "? "), (r"!\.\s*", "! "), (r"\s+", " ")):
         out = F.regexp_replace(out, old, new)
-    return refs.select("doc_id", "ref_ord", F.when(F.endswith(out, F.lit(".")), out).otherwise(F.concat(out, F.lit("."))).alias("formatted"))
+    return F.when(F.endswith(out, F.lit(".")), out).otherwise(F.concat(out, F.lit(".")))
+
+
+def rendered(refs: DataFrame, pattern: dict) -> DataFrame:
+    """(doc_id, ref_ord, formatted) in the style's pattern."""
+    return refs.select("doc_id", "ref_ord", _formatted({f: F.lit(v) for f, v in pattern.items()}).alias("formatted"))
+
+
+def rendered_each(refs: DataFrame, choices: DataFrame, patterns: DataFrame) -> DataFrame:
+    """(doc_id, ref_ord, formatted), each document in the style that it has chosen: one plan for any number of styles.
+
+    choices: (doc_id, style), of several rows for a document the first style by name counts; patterns: a row a style, as
+    ``styles`` and ``learned_styles`` give. A document without a choice, and a style without a pattern, are apa.
+    """
+    rows = patterns.select("style", F.struct(*_FIELDS).alias("_pattern"))
+    chosen = choices.groupBy("doc_id").agg(F.min("style").alias("style")).join(rows, "style", "left").select("doc_id", "_pattern")
+    apa = F.struct(*[F.lit(v).alias(f) for f, v in style("apa").items()])
+    r = refs.join(chosen, "doc_id", "left").withColumn("_pattern", F.coalesce("_pattern", apa))
+    return r.select("doc_id", "ref_ord", _formatted({f: F.col("_pattern")[f] for f in _FIELDS}).alias("formatted"))
 
 
 # Signs of a style in an example entry, in the order in which they are tried.
@@ -99,16 +113,30 @@ def _features(example: Column) -> dict[str, Column]:
     return {"author": first(_AUTHOR_SIGNS), "year": first(_YEAR_SIGNS), "year_place": first(_YEAR_SIGNS, 2), "grouped": first(_GROUP_SIGNS), "last_sep": first(_JOIN_SIGNS)}
 
 
-def learned(examples: DataFrame) -> DataFrame:
-    """(feature, value) of (example_ord, example): each feature's commonest value, on ties the one seen first."""
+def learned(examples: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """(feature, value) of (example_ord, example): each feature's commonest value, on ties the one seen first; for each
+    value of the columns by, which come first."""
     f = _features(F.col("example"))
-    rows = examples.select("example_ord", "example", F.explode(F.map_from_arrays(F.array(*map(F.lit, f)), F.array(*f.values()))).alias("feature", "value")).where("value is not null")
-    counted = rows.groupBy("feature", "value").agg(F.count("*").alias("n"), F.min("example_ord").alias("first"))
-    best = counted.groupBy("feature").agg(F.max_by("value", F.struct("n", -F.col("first"))).alias("value"))
-    quotes = examples.agg(F.bool_or(F.contains("example", F.lit('"'))).alias("q")).where("q").select(F.lit("quotes").alias("feature"), F.lit("yes").alias("value"))
+    rows = examples.select(*by, "example_ord", "example", F.explode(F.map_from_arrays(F.array(*map(F.lit, f)), F.array(*f.values()))).alias("feature", "value")).where("value is not null")
+    counted = rows.groupBy(*by, "feature", "value").agg(F.count("*").alias("n"), F.min("example_ord").alias("first"))
+    best = counted.groupBy(*by, "feature").agg(F.max_by("value", F.struct("n", -F.col("first"))).alias("value"))
+    quotes = examples.groupBy(*by).agg(F.bool_or(F.contains("example", F.lit('"'))).alias("q")).where("q").select(*by, F.lit("quotes").alias("feature"), F.lit("yes").alias("value"))
     return best.unionByName(quotes)
 
 
+def learned_styles(examples: DataFrame) -> DataFrame:
+    """Patterns as rows, in the columns of ``styles``, learned from (style, example_ord, example): one a style whose
+    examples show something; what they do not show is as in apa."""
+    found = learned(examples.where("style is not null"), ("style",)).groupBy("style").agg(F.map_from_entries(F.collect_list(F.struct("feature", "value"))).alias("f"))
+    base = style("apa")
+
+    def field(name: str) -> Column:
+        value = F.try_element_at("f", F.lit(name))
+        return F.coalesce(value == "yes" if name in ("quotes", "grouped") else value, F.lit(base[name])).alias(name)
+
+    return found.select("style", *[field(name) for name in _FIELDS[1:]])
+
+
 def learned_style(examples: DataFrame) -> dict:
     """The style as a pattern; at most six rows are read."""
     found = {r.feature: r.value for r in learned(examples).collect()}
