@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -9,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..functions import journals, names, similarity, text as tx
 from ..operators import duplicates, extract, library, match, parse, quality, render, works as lookup
 from ..sources import formats
+from ..tables import shared_folder
 from . import corpus, process
 from .corpus import oracle
 
@@ -308,10 +310,39 @@ def styles(spark, sf_dir):
     return render.styles(spark)
 
 
-@query()
+@query(" UNION ALL ".join(f"SELECT * FROM ({_style_sql(name)}) WHERE doc_id % 6 IN ({rests})" for name, rests in (("apa", "0, 5"), ("mla", "1"), ("chicago", "2"), ("vancouver", "3"), ("ieee", "4"))), plain=True)
+def style_by_doc(spark, sf_dir):
+    """Each document in a style of its own; harvard has no pattern."""
+    refs = corpus.refs(spark, sf_dir)
+    name = F.get(F.array(*map(F.lit, ("apa", "mla", "chicago", "vancouver", "ieee", "harvard"))), (F.col("doc_id") % 6).cast("int"))
+    return render.rendered_each(refs, refs.select("doc_id", name.alias("style")), render.styles(spark))
+
+
+# What the forms of entries show: names with a hyphen nothing, form 0 a year in parentheses, form 2 all in one group.
+_SHOWN = """
+, shown AS (SELECT {group} AS g, {ord} AS ord, style AS form, last1 LIKE '%-%' AS hyphen FROM refs),
+signs AS (SELECT g, ord, unnest(['author', 'year', 'year_place', 'grouped']) AS feature, unnest([CASE WHEN hyphen OR form = 3 THEN NULL WHEN form = 2 THEN '{{last}} {{first_init}}' ELSE '{{last}}, {{first_init}}.' END,
+  CASE WHEN form = 0 THEN '({{year}})' ELSE '{{year}}' END, CASE WHEN form < 2 THEN 'after_authors' ELSE 'after_journal' END, CASE WHEN form = 2 THEN 'yes' END]) AS value FROM shown),
+counted AS (SELECT g, feature, value, count(*) AS n, min(ord) AS seen FROM signs WHERE value IS NOT NULL GROUP BY ALL),
+best AS (SELECT g, feature, value FROM counted QUALIFY row_number() OVER (PARTITION BY g, feature ORDER BY n DESC, seen) = 1)"""
+
+
+def _examples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = corpus.entries(spark, sf_dir)
+    return r.select(F.col("doc_id").cast("string").alias("style"), (F.col("doc_id") * 100 + F.col("ref_ord")).alias("example_ord"), F.col("raw_text").alias("example"))
+
+
+@query(_SHOWN.format(group="0", ord="doc_id * 100 + ref_ord") + " SELECT feature, value FROM best")
 def learned_style(spark, sf_dir):
-    examples = corpus._run(spark, sf_dir, corpus.REFS).select((F.col("doc_id") * 100 + F.col("ref_ord")).alias("example_ord"), F.col("raw_text").alias("example"))
-    return render.learned(examples)
+    return render.learned(_examples(spark, sf_dir))
+
+
+@query(_SHOWN.format(group="CAST(doc_id AS VARCHAR)", ord="ref_ord") + """
+SELECT g AS style, coalesce(max(value) FILTER (feature = 'author'), '{last}, {first_init}.') AS author, ', & ' AS last_sep, max(value) FILTER (feature = 'year_place') AS year_place, max(value) FILTER (feature = 'year') AS year,
+  'sentence' AS title, false AS quotes, coalesce(max(value) FILTER (feature = 'grouped') = 'yes', false) AS grouped, '{volume}({issue})' AS volume, '{pages}' AS pages, 'https://doi.org/{doi}' AS doi FROM best GROUP BY g""")
+def learned_by_doc(spark, sf_dir):
+    """The style of each document's own entries."""
+    return render.learned_styles(_examples(spark, sf_dir))
 
 
 _BIB_KEYS = ", b AS (SELECT *, CASE WHEN authors = '' THEN '' ELSE lower(regexp_replace(last1, '[^a-zA-Z]', '', 'g')) END || coalesce(CAST(year AS VARCHAR), '') AS base FROM refs), kd AS (SELECT *, base || CASE WHEN n > 1 THEN chr(CAST(95 + n AS INT)) ELSE '' END AS key FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, base ORDER BY ref_ord) AS n FROM b))"
@@ -416,6 +447,14 @@ def doi_resolved(spark, sf_dir):
     return lookup.resolved(corpus.refs(spark, sf_dir), corpus.works(spark, sf_dir)).withColumn("authors", F.array_join("authors", "|"))
 
 
+@query(ORACLES["doi_resolved"], plain=True)
+def doi_resolved_remembered(spark, sf_dir):
+    """A first run looks all up; a second one, to which no work is given, has it from memory."""
+    refs, known, path = corpus.refs(spark, sf_dir), corpus.works(spark, sf_dir), f"{shared_folder(spark)}/memo-{uuid.uuid4().hex}"
+    lookup.resolved_remembered(refs, known, path)
+    return lookup.resolved_remembered(refs, known.where("false"), path).withColumn("authors", F.array_join("authors", "|"))
+
+
 _RETRACT = """
 , w AS (SELECT '10.1000/x' || p_partkey AS doi, CASE WHEN p_partkey % 41 = 0 THEN CASE (p_partkey // 41) % 4 WHEN 0 THEN 'update' WHEN 1 THEN 'relation' WHEN 2 THEN 'type' ELSE 'title' END END AS method, '2021-' || lpad(CAST(1 + p_partkey % 12 AS VARCHAR), 2, '0') AS at FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem)),
 status AS (SELECT r.doc_id, r.ref_ord, r.doi, w.method IS NOT NULL AS is_retracted, w.method, CASE WHEN w.method IS NOT NULL THEN w.at END AS date, CASE WHEN w.doi IS NULL THEN 'DOI not found' END AS error FROM refs r LEFT JOIN w ON r.doi = w.doi WHERE r.doi IS NOT NULL)"""
