@@ -13,9 +13,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import distinct, packed_gaps, unpacked_gaps
+from .common import discard, distinct, packed_gaps, stored, unpacked_gaps
 
 ROWS, RANGE_BITS = 2, 20
+#: Keys that a task gathers before it counts them as members.
+MEMBERS = 1 << 18
 SCHEMA = "cell int, salt int, once binary, twice binary"
 _ARROW = pa.schema([("cell", pa.int32()), ("salt", pa.int32()), ("once", pa.binary()), ("twice", pa.binary())])
 
@@ -73,13 +75,14 @@ class Repeated:
     def __init__(self, spark: SparkSession, sketches: DataFrame, bits: int, many: bool = False):
         """many: sum in two steps, so that no task reads the sketches of all others."""
         low = min(bits, RANGE_BITS)
-        merged = _summed(_summed(sketches, low, 16) if many else sketches, low, 1)
+        merged = stored(_summed(_summed(sketches, low, 16) if many else sketches, low, 1).select("cell", "twice"), "sketch")
         maps = [np.zeros(1 << bits >> 3, np.uint8) for _ in range(ROWS)]
-        for cell, twice in merged.select("cell", "twice").toLocalIterator():  # at most ROWS * 2^(bits - low) rows
+        for cell, twice in merged.toLocalIterator():  # at most ROWS * 2^(bits - low) rows; stored, as each partition is a job here and most are empty
             held = np.zeros(1 << low, np.uint8)
             held[unpacked_gaps(bytes(twice))] = 1
             begin = (cell & (1 << 20) - 1) << low >> 3
             maps[cell >> 20][begin : begin + (1 << low >> 3)] = np.packbits(held, bitorder="little")
+        discard(merged)
         self.bits, self.shared = bits, spark.sparkContext.broadcast([m.tobytes() for m in maps])
 
     def of(self, keys: np.ndarray) -> np.ndarray:
@@ -96,9 +99,16 @@ def members(wanted: DataFrame) -> Repeated:
     bits = bits_for(4 * wanted.count(), 26)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys = distinct(batch.column("text_key").to_numpy().view(np.uint64))
-            if len(keys):
-                yield counted(keys, keys, bits)
+        held: list[np.ndarray] = []
+        for batch in batches:  # a sketch has a row for each range of counters, so it is made of many keys
+            held.append(distinct(batch.column("text_key").to_numpy().view(np.uint64)))
+            if sum(map(len, held)) >= MEMBERS:
+                held = [distinct(np.concatenate(held))]
+                if len(held[0]) >= MEMBERS // 2:
+                    yield counted(held[0], held[0], bits)
+                    held = []
+        keys = distinct(np.concatenate(held)) if held else np.empty(0, np.uint64)
+        if len(keys):
+            yield counted(keys, keys, bits)
 
     return Repeated(wanted.sparkSession, wanted.select("text_key").mapInArrow(count, SCHEMA), bits, False)

@@ -82,9 +82,11 @@ def _bin_counts(rows: DataFrame, n: int, many: bool) -> np.ndarray:
     if many:
         sketch = sketch.repartition("part", "salt").mapInArrow(add, schema)
     out = np.zeros(1 << COUNT_BITS, np.int64)
-    for part, _, bins, counts in sketch.repartition("part").mapInArrow(add, schema).toLocalIterator():
+    total = stored(sketch.repartition("part").mapInArrow(add, schema), "counts")  # most partitions are empty, and each is a job below
+    for part, _, bins, counts in total.toLocalIterator():
         at = unpacked_gaps(bytes(bins))
         out[at + part] += np.frombuffer(bytes(counts), "<u4" if len(counts) == 4 * len(at) else "<u8").astype(np.int64)
+    discard(total)
     return out
 
 
@@ -245,12 +247,15 @@ class Join:
         return met.select(F.col("l.c").alias("a"), F.col("i.c").alias("b"))
 
     def _left(self, index: DataFrame, part: DataFrame) -> DataFrame:
-        """The index with components, without buckets of one component."""
-        index = stored(index.join(part, "c", "left").withColumn("component", F.coalesce("component", "c")), "indexed")
-        apart = index.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
-        out = stored(index.join(apart.select("token"), "token", "left_semi"), "apart")
-        discard(index)
-        return out
+        """The index with components, without rows that have no class of another component near enough in size in their
+        bucket. In order of size such a class is the one before or after the run of classes of the row's own component."""
+        index, columns = index.join(part, "c", "left").withColumn("component", F.coalesce("component", "c")), [*index.columns, "component"]
+        for near, order in (("below", ["size", "c"]), ("above", [F.desc("size"), F.desc("c")])):
+            w = Window.partitionBy("token").orderBy(*order)
+            edge = F.when(F.lag("component").over(w) != F.col("component"), F.lag("size").over(w))
+            index = index.withColumn("edge", edge).withColumn(near, F.last("edge", True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+        close = (F.col("below") * self.den >= F.col("size") * self.num) | (F.col("size") * self.den >= F.col("above") * self.num)
+        return stored(index.where(close).select(*columns), "apart")
 
     def _classed(self) -> DataFrame:
         """(k1, k2, component) of every class: links to leaders in rounds, then links between what those leave apart."""
@@ -270,6 +275,8 @@ class Join:
                 led = left.where(F.col("n") > 4 * LEADERS).withColumn("place", F.row_number().over(order)).where(F.col("place") <= LEADERS)
                 led = stored(led.select("token", F.struct("c", "component", "size", "pos").alias("l")), "leaders")
                 found = self._candidates(self._followers(left, led), tested)
+                if found.isEmpty():
+                    break
                 tested = tested.unionAll(found)
                 more = self._verified(found)
                 linked = more.count()
