@@ -102,8 +102,11 @@ class Packer:
         return out
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, tiers: tuple[int, ...] = TIERS, step_sequences: int = 64, bundle_bytes: int = 8 << 20) -> DataFrame:
-    """Pieces of all documents with their ids (little-endian unsigned 32-bit); columns as in ``SCHEMA``."""
+def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, tiers: tuple[int, ...] = TIERS, step_sequences: int = 64, bundle_bytes: int = 8 << 20, remembered: int | None = None) -> DataFrame:
+    """Pieces of all documents with their ids (little-endian unsigned 32-bit); columns as in ``SCHEMA``.
+
+    remembered: texts of which a worker keeps the ids; fewer take less memory and more time.
+    """
 
     small_batches(docs.sparkSession)
 
@@ -111,7 +114,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, tiers: tuple[in
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
-        code, packer = encoder(tokenizer), Packer(tiers)
+        code, packer = encoder(tokenizer, remembered), Packer(tiers)
         end = np.array([end_id], code.type).tobytes()
         held: dict[int, tuple] = {}  # document's number in the task -> (doc_id, ids)
         number = sequence = step = 0

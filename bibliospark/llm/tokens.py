@@ -32,7 +32,10 @@ PROBE = "A probe of words, we'll say: it's 12,345 long!\n\n\tNaïve  漢字 (x)
 
 
 class Memory(dict):
-    """Ids by text, computed when missing; the last ``bound`` of them and those before are kept."""
+    """Ids by text, computed when missing; the last ``bound`` of them and those before are kept, of short texts only: what is
+    long rarely comes again, and would leave the memory without a bound in bytes."""
+
+    LONGEST = 64
 
     def __init__(self, compute, bound: int):
         self.compute, self.bound, self.old = compute, bound, {}
@@ -41,6 +44,8 @@ class Memory(dict):
         value = self.old.get(text)
         if value is None:
             value = self.compute(text)
+        if len(text) > self.LONGEST:
+            return value
         if len(self) >= self.bound:
             self.old = dict(self)
             self.clear()
@@ -53,7 +58,7 @@ class Encoder:
 
     PIECES, WORDS = 250_000, 400_000
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, remembered: int | None = None):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -67,8 +72,8 @@ class Encoder:
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.type = np.dtype(f"<u{self.width}")
         self.code = array.array("H" if self.width == 2 else "I").typecode
-        self.pieces = Memory(self._piece, self.PIECES)
-        self.words = Memory(self._word, self.WORDS)
+        self.pieces = Memory(self._piece, remembered or self.PIECES)
+        self.words = Memory(self._word, remembered or self.WORDS)
         self.cuts = self.cuts and self.packed([PROBE]) == [self._whole(PROBE)]  # else a setting that the cuts do not know
 
     def _packed(self, ids: list[int]) -> bytes:
@@ -111,11 +116,11 @@ class Encoder:
         return out
 
 
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[tuple[str, int | None], Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
-    """One encoder a worker process and path."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+def encoder(path: str, remembered: int | None = None) -> Encoder:
+    """One encoder a worker process, path and number of texts that it remembers."""
+    if (path, remembered) not in _encoders:
+        _encoders[path, remembered] = Encoder(path, remembered)
+    return _encoders[path, remembered]

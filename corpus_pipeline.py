@@ -44,8 +44,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of sequences with their ids."""
-    return packing.pack_documents(docs, tokenizer_path(), end_id=0)
+    """Pieces of sequences with their ids. Executors have filled their heaps in the stages before, so workers take little."""
+    return packing.pack_documents(docs, tokenizer_path(), end_id=0, bundle_bytes=2 << 20, remembered=80_000)
 
 
 STAGES = [

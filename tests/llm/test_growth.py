@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import uuid
 
+import corpus_pipeline
 import numpy as np
 from pyspark.sql import functions as F
 
-from bibliospark.llm import common, countmin, jaccard
+from bibliospark.llm import common, countmin, jaccard, packing, tokens
 
 
 def test_jobs_do_not_grow_with_the_partitions(spark):
@@ -55,3 +56,18 @@ def test_classes_without_a_size_near_enough_leave_the_bucket(spark):
     left = join._left(index, part).collect()
     assert sorted((r.token, r.c) for r in left) == [(t, c) for t in (1, 2) for c in (1, 2, 3, 4, 8)]
     assert {r.c: r.component for r in left} == {1: 1, 2: 1, 3: 3, 4: 4, 8: 8}
+def test_long_texts_are_not_remembered():
+    seen = []
+    memory = tokens.Memory(lambda t: seen.append(t) or b"x", 10)
+    assert [memory["a" * n] for n in (3, 3, 500, 500)] == [b"x"] * 4
+    assert seen == ["aaa", "a" * 500, "a" * 500] and list(memory) == ["aaa"]
+
+
+def test_the_pipeline_packs_with_a_small_memory(spark, monkeypatch):
+    bounds = {}
+    monkeypatch.setattr(packing, "pack_documents", lambda docs, path, **bound: bounds.update(bound))
+    corpus_pipeline.pack(spark, None, "")
+    small = tokens.encoder(corpus_pipeline.tokenizer_path(), bounds["remembered"])
+    assert small.pieces.bound + small.words.bound < (tokens.Encoder.PIECES + tokens.Encoder.WORDS) / 4 and bounds["bundle_bytes"] <= 2 << 20
+    texts = ["A few words, again: a few words.", "", "x" * 300]
+    assert small.packed(texts) == tokens.encoder(corpus_pipeline.tokenizer_path()).packed(texts)
