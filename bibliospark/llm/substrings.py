@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import countmin
-from .common import bundles, bytes_of, mixed, packed_gaps, small_batches, stored, unpacked_gaps, window_hashes, word_hashes
+from .common import bundles, bytes_of, joined_blobs, mixed, packed_gaps, plain_blobs, small_batches, stored, unpacked_gaps, window_hashes, word_hashes
 
 
 class Windows:
@@ -130,12 +130,15 @@ def repeated_windows(rows: DataFrame, n: int, most_bits: int, bundle_bytes: int)
 
 
 def _known(doc: np.ndarray, pos: np.ndarray, ids: np.ndarray, keys: np.ndarray) -> tuple:
-    """One row for many documents: their identifiers and keys, and (count, starts) of each as packed gaps."""
+    """One row for many documents: their identifiers and keys, and (size, starts) of each, as packed gaps where they are many."""
     order = np.lexsort((pos, doc))
     begins = np.flatnonzero(np.concatenate([[True], np.diff(doc[order]) != 0])) if len(order) else order
     docs = doc[order][begins]
     ends = np.append(begins[1:], len(order))
-    blobs = [packed_gaps(pos[order[i:j]]) for i, j in zip(begins, ends)]
+    if len(order) < 32 * len(begins):
+        blobs = plain_blobs(pos[order], begins, ends)
+    else:
+        blobs = [packed_gaps(pos[order[i:j]]) for i, j in zip(begins, ends)]
     lengths = np.array([len(b) for b in blobs], "<u4").tobytes()
     return None, None, None, None, None, ids[docs].tobytes(), keys[docs].tobytes(), lengths + b"".join(blobs)
 
@@ -169,8 +172,7 @@ def remove_repeats(docs: DataFrame, n: int = 13, most_bits: int = 28, bundle_byt
                 words = kept = text.split()
                 if windows:
                     covered = np.zeros(len(words) + 1, np.int64)
-                    for blob in windows:
-                        at = unpacked_gaps(blob)
+                    for at in joined_blobs(windows):
                         covered[at] += 1
                         covered[at + n] -= 1
                     keep = np.cumsum(covered[:-1]) == 0
@@ -180,7 +182,8 @@ def remove_repeats(docs: DataFrame, n: int = 13, most_bits: int = 28, bundle_byt
                 out["text"].append(b" ".join(kept).decode("utf-8", "replace"))
             yield pa.RecordBatch.from_pydict(out, pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("text", pa.string())]))
 
-    found = stored(_by_document(repeated_windows(rows, n, most_bits, bundle_bytes)), "repeats")
+    found = _by_document(repeated_windows(rows, n, most_bits, bundle_bytes)).groupBy("doc_id", "text_key").agg(F.collect_list("windows").alias("windows"))
+    found = stored(found, "repeats")  # a row a document
     held = countmin.members(found)
 
     def marked(wanted: bool):
@@ -193,7 +196,7 @@ def remove_repeats(docs: DataFrame, n: int = 13, most_bits: int = 28, bundle_byt
     schema = "doc_id long, n_words long, n_removed long, text string"
     whole = rows.mapInArrow(lambda batches: cut(marked(False)(batches)), schema)
     r = rows.mapInArrow(marked(True), rows.schema).alias("r")
-    f = found.groupBy("doc_id", "text_key").agg(F.collect_list("windows").alias("windows")).alias("f")
+    f = found.alias("f")
     joined = r.join(f, (F.col("r.doc_id") == F.col("f.doc_id")) & (F.col("r.text_key") == F.col("f.text_key")), "left").select("r.doc_id", "r.text", "f.windows")
     return whole.unionAll(joined.mapInArrow(cut, schema))
 

@@ -71,3 +71,10 @@ def test_the_pipeline_packs_with_a_small_memory(spark, monkeypatch):
     assert small.pieces.bound + small.words.bound < (tokens.Encoder.PIECES + tokens.Encoder.WORDS) / 4 and bounds["bundle_bytes"] <= 2 << 20
     texts = ["A few words, again: a few words.", "", "x" * 300]
     assert small.packed(texts) == tokens.encoder(corpus_pipeline.tokenizer_path()).packed(texts)
+
+
+def test_plain_blobs():
+    values = np.array([5, 9, 70_000, 1, 2])
+    blobs = common.plain_blobs(values, np.array([0, 3]), np.array([3, 5]))
+    assert [common.unpacked_gaps(b).tolist() for b in blobs] == [[5, 9, 70_000], [1, 2]]
+    assert sorted(np.concatenate(common.joined_blobs([*blobs, common.packed_gaps(np.array([3, 4]))])).tolist()) == [1, 2, 3, 4, 5, 9, 70_000]
