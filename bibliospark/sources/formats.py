@@ -118,16 +118,18 @@ _RIS_LINE, _RIS_BEGIN = r"^\s*([A-Z][A-Z0-9])\s{2}-\s?(.*)$", r"(?m)^(?=[ \t]*TY
 
 def _ris_records(rows: DataFrame, text: str) -> DataFrame:
     """A row a record, in the column record with its number in the text, from 0, as i; what stands before the first goes."""
-    parts = rows.select(*[c for c in rows.columns if c != text], F.posexplode(F.split(text, _RIS_BEGIN)).alias("i", "record"))
+    parts = rows.select(*[c for c in rows.columns if c != text], F.posexplode_outer(F.split(text, _RIS_BEGIN)).alias("i", "record"))
     return parts.where(F.col("record").rlike(r"^[ \t]*TY  -"))
 
 
 def _ris_fields(records: DataFrame) -> DataFrame:
     """Entries of (lib_id, item, record), each record folded in its row: of other tags than AU and A1 the last value wins."""
     lines = F.transform(F.split("record", r"\r?\n"), lambda t: F.struct(F.regexp_extract(t, _RIS_LINE, 1).alias("tag"), tx.strip(F.regexp_extract(t, _RIS_LINE, 2)).alias("v")))
-    r = records.withColumn("t", F.filter(lines, lambda x: (x["tag"] != "") & (x["v"] != ""))).where(F.size("t") > 0)
-    of = lambda *tags: F.filter("t", lambda x: x["tag"].isin(*tags))
-    last = lambda *tags: F.coalesce(*[F.try_element_at(of(tag), F.lit(-1))["v"] for tag in tags])
+    told = F.filter(lines, lambda x: (x["tag"] != "") & (x["v"] != ""))
+    # exploded, so that no later step computes the lines once more (outer: Spark tests the size of others first); the last line comes first
+    r = records.select("lib_id", "item", F.explode_outer(F.array(F.reverse(told))).alias("t")).where(F.size("t") > 0)
+    of = lambda *tags: F.filter(F.reverse("t"), lambda x: x["tag"].isin(*tags))
+    last = lambda *tags: F.coalesce(*[F.get("t.v", (F.array_position("t.tag", F.lit(tag)) - 1).cast("int")) for tag in tags])
     pages = F.when(last("SP").isNotNull(), F.concat_ws("-", last("SP"), last("EP")))
     return r.select(
         "lib_id", "item", F.concat(F.lit("ris_"), F.col("item").cast("string")).alias("ref_id"), F.transform(of("AU", "A1"), lambda x: x["v"]).alias("authors"),
