@@ -1,6 +1,7 @@
 """Costly expressions stand once in the optimized plans: neither a condition nor a generator computes them again."""
 
 from bibliospark.functions import text as tx
+from bibliospark.operators import match
 from bibliospark.plans import corpus
 from bibliospark.sources import formats
 
@@ -9,6 +10,15 @@ def plan(df):
     return df._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_keywords_are_found_once_a_citation_and_once_a_reference(spark):
+    missing = spark.createDataFrame([(1, 1, "(Smyth, 2001)", "sleep and memory in mice")], "doc_id long, cit_ord int, text string, context string")
+    rows = [(1, 1, "Smith, A. 2001", "Memory in mice", 2001, ["Smith, A."]), (1, 2, "Doe, J.", "", 1990, ["Doe, J."]), (2, 1, "Smyth, B.", "Sleep", 2001, ["Smyth, B."])]
+    refs = spark.createDataFrame(rows, "doc_id long, ref_ord int, raw_text string, title string, year int, authors array<string>")
+    found = match.scored(missing, refs)
+    assert plan(found).count("regexp_extract_all") == 2
+    assert [(r.doc_id, r.ref_ord, r.score) for r in found.collect()] == [(1, 1, 0.966667)]
+
+
 def test_ris_lines_are_read_once(spark):
     files = spark.createDataFrame([(1, "TY  - JOUR\nAU  - A, B.\nAU  - C, D.\nTI  - old \nTI  -  New one\nSP  - 3\nEP  - 9\nPY  - 2001\nER  - \n")], "lib_id long, content string")
     found = formats.ris(files)
