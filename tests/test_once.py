@@ -1,7 +1,7 @@
 """Costly expressions stand once in the optimized plans: neither a condition nor a generator computes them again."""
 
 from bibliospark.functions import text as tx
-from bibliospark.operators import match
+from bibliospark.operators import match, render
 from bibliospark.plans import corpus
 from bibliospark.sources import formats
 
@@ -27,6 +27,21 @@ def test_ris_lines_are_read_once(spark):
     assert (row.item, row.authors, row.title, row.year, row.pages, row.doi) == (1, ["A, B.", "C, D."], "New one", 2001, "3-9", None)
 
 
+def test_signs_of_the_year_are_looked_for_once(spark):
+    examples = spark.createDataFrame([("x", 1, "Smith, J. (2001). Title. Journal.")], "style string, example_ord int, example string")
+    sign = r"\)\.\s*[0-9]{4}\."
+    found = render.learned(examples)
+    assert plan(found).count(sign) == 1
+    assert {r.feature: r.value for r in found.collect()} == {"author": "{last}, {first_init}.", "year": "({year})", "year_place": "after_authors"}
+
+
+def test_a_rendered_text_is_made_once(spark):
+    refs = spark.createDataFrame([(1, 1, ["Smith, Jane"], 2001, "On sleep?", "Sleep \t\n Med", "3", None, None, None)], "doc_id long, ref_ord int, authors array<string>, year int, title string, journal string, volume string, issue string, pages string, doi string")
+    found = render.rendered(refs, render.style("apa"))
+    assert plan(found).count(r"\.\.+") == 1
+    assert found.first().formatted == "Smith, J. (2001). On sleep? Sleep Med. 3."
+
+
 def test_white_space_is_stripped_without_regular_expressions(spark):
     df = spark.createDataFrame([(" \t\x0b\f\r\n a  b \n",), ("\n ",), (None,)], "c string")
     stripped = df.select(tx.strip(df.c).alias("c"))
