@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from bibliospark import tables
-from bibliospark.operators import duplicates, titles
+from bibliospark.operators import duplicates, titles, works as lookup
 from bibliospark.plans import corpus, process
 
 REFS = "doc_id long, ref_ord int, ref_id string, raw_text string, authors array<string>, title string, year int, journal string, doi string"
@@ -61,3 +61,9 @@ def test_large_documents_have_the_same_pairs_of_authors(spark, monkeypatch):
         monkeypatch.setattr(titles, "TILE", tile)
         got.append(sorted(map(tuple, duplicates._peopled(keyed, 0.6).collect())))
     assert got[0] == got[1] == got[2] and len(got[0]) > 10
+
+
+def test_parts_and_works_are_never_sent_to_the_driver(spark, sf_dir):
+    refs, works = corpus.refs(spark, sf_dir), corpus.works(spark, sf_dir)
+    for found in (refs.select("doc_id"), works.select("doi"), lookup.verified(refs, works), lookup.backfilled(refs, works), lookup.resolved(refs, works)):
+        assert "BroadcastExchange" not in plan(found)
